@@ -1,11 +1,17 @@
 """The registered queries of this subpackage and their SQL counterparts."""
 
+from .bpe import op9_backtracking_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .sharding import op7_stratified_shards
+from .token_counts import op6_prefix_token_counts
+from .token_store import op2_token_store
 
 QUERIES = {
+    "op2_token_store": op2_token_store,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_prefix_token_counts": op6_prefix_token_counts,
     "op7_stratified_shards": op7_stratified_shards,
+    "op9_backtracking_bpe": op9_backtracking_bpe,
 }
 
 ORACLES = {
