@@ -2,15 +2,19 @@
 
 from .bpe import op9_backtracking_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .jaccard_join import op8_divide_skip_join
+from .packing import op4_bin_completion
 from .sharding import op7_stratified_shards
 from .token_counts import op6_prefix_token_counts
 from .token_store import op2_token_store
 
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op4_bin_completion": op4_bin_completion,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_prefix_token_counts": op6_prefix_token_counts,
     "op7_stratified_shards": op7_stratified_shards,
+    "op8_divide_skip_join": op8_divide_skip_join,
     "op9_backtracking_bpe": op9_backtracking_bpe,
 }
 
