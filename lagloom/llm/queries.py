@@ -7,6 +7,7 @@ from .packing import op4_bin_completion
 from .sharding import op7_stratified_shards
 from .token_counts import op6_prefix_token_counts
 from .token_store import op2_token_store
+from .topk import OP10_SQL, op10_uniform_threshold
 
 QUERIES = {
     "op2_token_store": op2_token_store,
@@ -16,8 +17,10 @@ QUERIES = {
     "op7_stratified_shards": op7_stratified_shards,
     "op8_divide_skip_join": op8_divide_skip_join,
     "op9_backtracking_bpe": op9_backtracking_bpe,
+    "op10_uniform_threshold": op10_uniform_threshold,
 }
 
 ORACLES = {
     "op5_exact_dedup": OP5_SQL,
+    "op10_uniform_threshold": OP10_SQL,
 }
