@@ -8,9 +8,11 @@ from .sharding import op7_stratified_shards
 from .token_counts import op6_prefix_token_counts
 from .token_store import op2_token_store
 from .topk import OP10_SQL, op10_uniform_threshold
+from .toxicity import op3_factorization_machine
 
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op3_factorization_machine": op3_factorization_machine,
     "op4_bin_completion": op4_bin_completion,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_prefix_token_counts": op6_prefix_token_counts,
