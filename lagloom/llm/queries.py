@@ -4,6 +4,7 @@ from .bpe import op9_backtracking_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .jaccard_join import op8_divide_skip_join
 from .packing import op4_bin_completion
+from .secret_scan import op1_secret_scan
 from .sharding import op7_stratified_shards
 from .token_counts import op6_prefix_token_counts
 from .token_store import op2_token_store
@@ -11,6 +12,7 @@ from .topk import OP10_SQL, op10_uniform_threshold
 from .toxicity import op3_factorization_machine
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_token_store": op2_token_store,
     "op3_factorization_machine": op3_factorization_machine,
     "op4_bin_completion": op4_bin_completion,
