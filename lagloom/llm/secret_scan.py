@@ -31,7 +31,7 @@ MASK = "[secret]"
 _CHAR = r"A-Za-z0-9_+/=.@\-"
 CANDIDATE = (
     rf"(?=[A-Za-z_+/=.@\-]{{0,255}}+[0-9])[{_CHAR}]{{8,{MOST}}}"
-    rf"|(?<=(?:password|passwd|secret|token|api_key|apikey)[=:] ?[\"']?)[^\s\"']{{6,{MOST}}}"
+    rf"|(?:password|passwd|secret|token|api_?key)[=:] ?[\"']?[^\s\"']{{6,{MOST}}}"
 )
 KEYS = "pass|pwd|secret|token|api_?key|auth|cred|private|bearer"
 BENIGN = "commit|sha|checksum|md5|etag|integrity|uuid|trace|request|version|phone|tel|card|isbn|order|http|mail|id="
@@ -69,7 +69,7 @@ def _flow_table(labelled: DataFrame) -> dict[str, float]:
 
 def _value(candidate: Column) -> Column:
     """What a candidate such as key=value assigns; else all of it."""
-    after = F.regexp_extract(candidate, r"^[A-Za-z_\-]+=([^=].*)$", 1)
+    after = F.regexp_extract(candidate, r"^[A-Za-z_\-]+[=:] ?[\"']?([^=].*)$", 1)
     return F.when(F.length(after) >= 6, after).otherwise(candidate)
 
 
@@ -85,8 +85,8 @@ def _share(value: Column, pattern: str) -> Column:
 
 def features(candidate: Column, before: Column, path: Column, flow: dict[str, float]) -> list[Column]:
     v, c = _value(candidate), _classes(_value(candidate))
-    near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.substring_index(candidate, "=", 1)))
-    near = F.when(F.contains(candidate, F.lit("=")), near).otherwise(F.lower(F.right(before, F.lit(NEAR))))
+    key = F.regexp_extract(candidate, r"^([A-Za-z_\-]+)[=:]", 1)
+    near = F.lower(F.concat(F.right(before, F.lit(NEAR)), key))
     table = F.create_map(*[F.lit(x) for kv in (flow or {"--": 0.0}).items() for x in kv])
     steps = F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1)))
     total = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.coalesce(F.try_element_at(table, F.substr(c, i, F.lit(2))), F.lit(0.0)))
