@@ -34,7 +34,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, partitions, stored
@@ -45,8 +45,9 @@ from .shingles import shingle_sets
 #: of them at most MOST_COMMON, the commonest. Results don't depend on either.
 COMMON_SHARE, COMMON_LEAST, MOST_COMMON = 1 / 1000, 6, 1 << 16
 #: Candidates searched together, slots of the bitmap of searched documents
-#: (a full bitmap costs time, not links), and DivideSkip's cost ratio.
-BLOCK, SLOTS, MU = 64, 1 << 22, 0.01
+#: (a full bitmap costs time, not links), DivideSkip's cost ratio, and the groups
+#: that a common shingle's bucket is dealt over.
+BLOCK, SLOTS, MU, SALTS = 64, 1 << 22, 0.01, 64
 
 
 def least_overlap(n: int, m: int) -> int:
@@ -115,7 +116,8 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, common: dict[int, int]) -> DataFrame:
-    """shingle, doc_id, n, pos for each document's probing prefix."""
+    """shingle, salt, doc_id, n << 32 | place for each document's probing
+    prefix; salt is -1 but for common shingles."""
     keys = np.sort(np.array(list(common), "i8").view("u8"))
     levels = np.array([common[k] for k in keys.view("i8").tolist()], "u8")
 
@@ -127,21 +129,21 @@ def _prefixes(docs: DataFrame, common: dict[int, int]) -> DataFrame:
                 if not n or i is None:
                     continue
                 size = n - (4 * n + 4) // 5 + 1
+                level = np.zeros(n, "u8")
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     level = np.where(keys[at] == s, levels[at], 0)
-                    first = s[np.argsort(level, kind="stable")[:size]] if level.any() else s[:size]
-                else:
-                    first = s[:size]
-                for column, v in zip(out, (first.view("i8"), np.full(size, i), np.full(size, n), np.arange(size)), strict=True):
+                first = np.argsort(level, kind="stable")[:size]
+                salt = np.where(level[first] > 0, i % SALTS, -1)
+                for column, v in zip(out, (s[first].view("i8"), salt, np.full(size, i), (n << 32) + np.arange(size)), strict=True):
                     column.append(v)
             columns = [np.concatenate([np.empty(0, "i8"), *c]).astype("i8") for c in out]
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, columns[:2]), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())],
-                ["shingle", "doc_id", "n", "pos"],
+                [pa.array(columns[0]), pa.array(columns[1], pa.int32()), *map(pa.array, columns[2:])],
+                ["shingle", "salt", "doc_id", "n_pos"],
             )
 
-    return docs.mapInArrow(rows, "shingle long, doc_id long, n int, pos int")
+    return docs.mapInArrow(rows, "shingle long, salt int, doc_id long, n_pos long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -173,7 +175,6 @@ def _tested(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those that reach the overlap."""
     spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(_sets_of(docs, wanted), "sets")
     per = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "block-counts")
     dealt = stored(
         pairs.join(per.hint("merge"), "a").select(
@@ -181,11 +182,11 @@ def _tested(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         ),
         "dealt-pairs",
     )
-    queries = dealt.select("a", "block").distinct()
-    queries = queries.join(sets.withColumnRenamed("doc_id", "a").hint("merge"), "a").select(
-        "a", "block", F.lit(None).cast("long").alias("b"), "shingles"
+    # A null b marks the query; its set goes to each block of its candidates.
+    needed = dealt.select("a", "block", "b", F.col("b").alias("doc_id")).unionByName(
+        dealt.select("a", "block").distinct().select("a", "block", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
     )
-    candidates = dealt.join(sets.withColumnRenamed("doc_id", "b").hint("merge"), "b").select("a", "block", "b", "shingles")
+    needed = stored(needed, "needed-sets").join(_sets_of(docs, wanted).hint("merge"), "doc_id")
 
     def search(batches):
         group, query, names, sets_ = None, [], [], []
@@ -218,7 +219,7 @@ def _tested(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             )
 
     return stored(
-        queries.unionByName(candidates)
+        needed.select("a", "block", "b", "shingles")
         .repartition(partitions(spark), "a", "block")
         .sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
         .mapInArrow(search, "a long, b long"),
@@ -231,7 +232,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = stored(_scan(docs), "scan")
     common = {
-        r["d1"]: int(log2(r["n"]))
+        r["d1"]: 1 + int(log2(r["n"]))
         for r in scanned.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST_COMMON).collect()
     }
     sized = scanned.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL")
@@ -239,17 +240,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classed = stored(
         sized.join(classes.hint("merge"), ["d1", "d2", "n"]).select("doc_id", "class", "n").distinct(), "classed"
     )
-    prefixes = stored(_prefixes(docs, common), "prefixes")
-    buckets = stored(
-        prefixes.groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-        .where("least < most"),
-        "buckets",
+    # One shuffle makes the buckets. A bucket of a common shingle is dealt over
+    # SALTS groups; each group has its own least document.
+    bucket = Window.partitionBy("shingle", "salt")
+    members = stored(
+        _prefixes(docs, common)
+        .repartition(partitions(docs.sparkSession), "shingle", "salt")
+        .select("*", F.count(F.lit(1)).over(bucket).alias("held"), F.min("doc_id").over(bucket).alias("least"))
+        .where("held > 1 OR salt >= 0")
+        .select("shingle", "doc_id", "n_pos", "salt", "held", "least"),
+        "members",
     )
-    members = stored(prefixes.join(buckets.drop("most").hint("merge"), "shingle"), "members")
+    heads = members.where("salt >= 0").groupBy("shingle", "salt").agg(F.min("doc_id").alias("doc_id"))
+    firsts = heads.groupBy("shingle").agg(F.min("doc_id").alias("least"))
+    heads = heads.join(firsts.hint("merge"), "shingle").select("least", "doc_id")
 
     # Star pairs: each bucket's classes against its least document (its class's own).
-    star = members.where("doc_id <> least").select("least", "doc_id").distinct()
+    star = members.select("least", "doc_id").unionByName(heads).where("doc_id <> least").distinct()
     star = star.join(classed.select("doc_id", F.col("class").alias("b"), F.col("n").alias("nb")).hint("merge"), "doc_id")
     star = star.select("least", "b", "nb").distinct()
     star = star.join(
@@ -266,7 +273,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stars = stored(components(found), "star-components")
 
     # What is left: pairs of different components in a bucket of three or more.
-    rest = members.where("held > 2").select("shingle", "doc_id", "n", "pos")
+    rest = members.where("held > 2 OR salt >= 0").selectExpr(
+        "shingle", "doc_id", "shiftright(n_pos, 32) AS n", "n_pos & 4294967295 AS pos"
+    )
     rest = rest.join(classed.select("doc_id", "class").hint("merge"), "doc_id")
     rest = rest.groupBy("shingle", "class").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     rest = rest.join(stars.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn(
