@@ -1,4 +1,6 @@
 """Named queries over the driver's tables and their SQL counterparts."""
 
-QUERIES = {}
-ORACLES = {}
+from . import queries_signals
+
+QUERIES = dict(queries_signals.QUERIES)
+ORACLES = dict(queries_signals.ORACLES)
