@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .lagged import same_frame_pairs
 
-BY_TIME = Window.partitionBy("series_id").orderBy("t")
+def _by_time():
+    return Window.partitionBy("series_id").orderBy("t")
 
 
 def rolling_coherence(panel: DataFrame, window: int = 20, value: str = "value") -> DataFrame:
@@ -36,7 +37,7 @@ def frame_features(panel: DataFrame, windows: tuple[int, ...] = (5, 20, 50)) ->
     rows = rows.join(low_frequency(base.select("series_id", "t", F.col("f_abs").alias("x"))), ["series_id", "t"], "left")
     for w in windows:
         for c in ("f_step", "f_square"):
-            over = BY_TIME.rowsBetween(-(w - 1), 0)
+            over = _by_time().rowsBetween(-(w - 1), 0)
             rows = rows.withColumn(f"{c}_mean{w}", F.avg(c).over(over)).withColumn(f"{c}_sd{w}", F.stddev_pop(c).over(over))
     names = [c for c in rows.columns if c.startswith("f_")]
     every = Window.partitionBy("series_id")
@@ -65,7 +66,7 @@ def low_frequency(rows: DataFrame, window: int = 64) -> DataFrame:
             out.append(float(power[: max(1, len(power) // 4)].sum() / (power.sum() + 1e-10)))
         return pd.Series(out, dtype="float64")
 
-    held = F.collect_list("x").over(BY_TIME.rowsBetween(-(window - 1), 0))
+    held = F.collect_list("x").over(_by_time().rowsBetween(-(window - 1), 0))
     return rows.select("series_id", "t", F.pandas_udf(share, "double")(held).alias("f_low"))
 
 
@@ -91,8 +92,8 @@ def smoothed(labels: DataFrame, window: int = 5) -> DataFrame:
 
 def segments(labels: DataFrame, label: str = "label", least: int = 1) -> DataFrame:
     """Runs of one label: segment_id, regime_id, start, end (exclusive)."""
-    change = (F.col(label) != F.lag(label).over(BY_TIME)).cast("int")
-    runs = labels.withColumn("_run", F.sum(F.coalesce(change, F.lit(1))).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    change = (F.col(label) != F.lag(label).over(_by_time())).cast("int")
+    runs = labels.withColumn("_run", F.sum(F.coalesce(change, F.lit(1))).over(_by_time().rowsBetween(Window.unboundedPreceding, 0)))
     found = runs.groupBy("series_id", "_run").agg(
         F.first(label).alias("regime_id"), F.min("t").alias("start"), (F.max("t") + 1).alias("end")
     )
@@ -103,7 +104,7 @@ def segments(labels: DataFrame, label: str = "label", least: int = 1) -> DataFra
 
 def transitions(labels: DataFrame, label: str = "label") -> DataFrame:
     """Share of each next regime after each regime, where it occurs."""
-    steps = labels.select("series_id", F.col(label).alias("a"), F.lead(label).over(BY_TIME).alias("b")).where("b IS NOT NULL")
+    steps = labels.select("series_id", F.col(label).alias("a"), F.lead(label).over(_by_time()).alias("b")).where("b IS NOT NULL")
     counts = steps.groupBy("series_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     row = F.sum("n").over(Window.partitionBy("series_id", "a"))
     return counts.select("series_id", "a", "b", (F.col("n") / (row + 1e-12)).alias("share"))

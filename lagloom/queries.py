@@ -1,6 +1,6 @@
 """Named queries over the driver's tables and their SQL counterparts."""
 
-from . import queries_signals
+from . import queries_edges, queries_signals
 
-QUERIES = dict(queries_signals.QUERIES)
-ORACLES = dict(queries_signals.ORACLES)
+QUERIES = queries_signals.QUERIES | queries_edges.QUERIES
+ORACLES = queries_signals.ORACLES | queries_edges.ORACLES
