@@ -5,14 +5,14 @@ Two documents link if their sets of five-word shingles have 100 * intersection
 
 1. Documents with equal sets form a class; its least doc_id stands for it.
 2. Candidates come from prefixes: in any one order of all shingles, two linked
-   sets share a shingle among the first n - ceil(8n/9) + 1 of the smaller and
-   the first n - ceil(4n/5) + 1 of the larger. The order puts shingles seen in
+   sets share a shingle among the first n - ceil(4n/5) + 1 of each. The order puts shingles seen in
    many documents last (any order gives the same links), so a passage that
    many documents share makes no candidates.
 3. Within a bucket of a shared shingle, each class is tested against the least
    one only; the links found give components. Then pairs of different
    components that still share a bucket are tested, and no others: inside a
-   component there is nothing left to learn.
+   component there is nothing left to learn. Either way a pair is tested only
+   if its prefixes share as many shingles as the overlap T leaves them to.
 4. A test is a T-occurrence search: the candidates' shingles form inverted
    lists over at most BLOCK candidates; of the query's lists the short ones are
    heap-merged, the long ones binary-probed, and candidates that reach the
@@ -43,7 +43,7 @@ from .shingles import shingle_sets
 
 #: Shingles in at least this share of a batch's documents are ordered last;
 #: of them at most MOST_COMMON, the commonest. Results don't depend on either.
-COMMON_SHARE, COMMON_LEAST, MOST_COMMON = 1 / 1000, 6, 1 << 16
+COMMON_SHARE, COMMON_LEAST, MOST_COMMON = 1 / 4000, 3, 1 << 19
 #: Candidates searched together, slots of the bitmap of searched documents
 #: (a full bitmap costs time, not links), DivideSkip's cost ratio, and the groups
 #: that a common shingle's bucket is dealt over.
@@ -54,6 +54,17 @@ def least_overlap(n: int, m: int) -> int:
     return -(-4 * (n + m) // 9)
 
 
+def _may_link(n: str, m: str, shared: str) -> str:
+    """SQL: sizes n and m can link, and of the probing prefixes enough shingles
+    are shared. All shared shingles up to where the first prefix ends lie in
+    both prefixes, and at most ceil(4 max / 5) - 1 lie beyond."""
+    top = f"greatest({n}, {m})"
+    return (
+        f"5 * least({n}, {m}) >= 4 * {top} AND {shared} >= 1 "
+        f"AND {shared} >= (4 * ({n} + {m}) + 8) div 9 - (4 * {top} + 4) div 5 + 1"
+    )
+
+
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], needed: list[int]) -> list[int]:
     """Which of the sets share at least ``needed`` elements with the query."""
     if not sets:
@@ -115,11 +126,13 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "kind int, doc_id long, n long, d1 long, d2 long")
 
 
-def _prefixes(docs: DataFrame, common: dict[int, int]) -> DataFrame:
+def _prefixes(docs: DataFrame, common: pa.Table) -> DataFrame:
     """shingle, salt, doc_id, n << 32 | place for each document's probing
     prefix; salt is -1 but for common shingles."""
-    keys = np.sort(np.array(list(common), "i8").view("u8"))
-    levels = np.array([common[k] for k in keys.view("i8").tolist()], "u8")
+    keys = common.column("d1").to_numpy().view("u8")
+    levels = 1 + np.log2(common.column("n").to_numpy()).astype("u1")
+    order = np.argsort(keys)
+    keys, levels = keys[order], levels[order]
 
     def rows(batches):
         for b in batches:
@@ -129,7 +142,7 @@ def _prefixes(docs: DataFrame, common: dict[int, int]) -> DataFrame:
                 if not n or i is None:
                     continue
                 size = n - (4 * n + 4) // 5 + 1
-                level = np.zeros(n, "u8")
+                level = np.zeros(n, "u1")
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     level = np.where(keys[at] == s, levels[at], 0)
@@ -231,10 +244,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = stored(_scan(docs), "scan")
-    common = {
-        r["d1"]: 1 + int(log2(r["n"]))
-        for r in scanned.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST_COMMON).collect()
-    }
+    common = (
+        scanned.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST_COMMON).toArrow()
+    )
     sized = scanned.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL")
     classes = stored(sized.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class")), "classes")
     classed = stored(
@@ -256,14 +268,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     heads = heads.join(firsts.hint("merge"), "shingle").select("least", "doc_id")
 
     # Star pairs: each bucket's classes against its least document (its class's own).
-    star = members.select("least", "doc_id").unionByName(heads).where("doc_id <> least").distinct()
-    star = star.join(classed.select("doc_id", F.col("class").alias("b"), F.col("n").alias("nb")).hint("merge"), "doc_id")
-    star = star.select("least", "b", "nb").distinct()
-    star = star.join(
-        classed.select(F.col("doc_id").alias("least"), F.col("class").alias("a"), F.col("n").alias("na")).hint("merge"), "least"
+    n_of = classed.select("doc_id", F.col("class").alias("b"), F.col("n").alias("nb"))
+    star = members.select("least", "doc_id").unionByName(heads).where("doc_id <> least")
+    star = stored(star.groupBy("least", "doc_id").agg(F.count(F.lit(1)).alias("shared")), "star-counts")
+    star = star.join(n_of.hint("merge"), "doc_id").groupBy("least", "b", "nb").agg(F.max("shared").alias("shared"))
+    star = stored(star, "star-classes").join(
+        n_of.select(F.col("doc_id").alias("least"), F.col("b").alias("a"), F.col("nb").alias("na")).hint("merge"), "least"
     )
     star = stored(
-        star.where("a <> b AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
+        star.where(f"a <> b AND {_may_link('na', 'nb', 'shared')}")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct(),
         "star-pairs",
@@ -272,32 +285,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     found = _tested(star, docs).unionByName(same_id.where("a <> b").select("a", "b"))
     stars = stored(components(found), "star-components")
 
-    # What is left: pairs of different components in a bucket of three or more.
-    rest = members.where("held > 2 OR salt >= 0").selectExpr(
-        "shingle", "doc_id", "shiftright(n_pos, 32) AS n", "n_pos & 4294967295 AS pos"
-    )
-    rest = rest.join(classed.select("doc_id", "class").hint("merge"), "doc_id")
-    rest = rest.groupBy("shingle", "class").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    rest = rest.join(stars.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn(
-        "component", F.coalesce("component", "class")
-    )
-    rest = stored(rest, "bucket-components")
+    # What is left: pairs of different components that share enough buckets.
+    # Every bucket that holds such a pair is mixed, so the counts are whole.
+    rest = members.selectExpr("shingle", "doc_id", "cast(shiftright(n_pos, 32) AS int) AS n")
+    rest = rest.join(classed.select("doc_id", "class").hint("merge"), "doc_id").select("shingle", "class", "n").distinct()
+    rest = stored(rest, "bucket-classes").join(stars.withColumnRenamed("node", "class").hint("merge"), "class", "left")
+    rest = stored(rest.withColumn("component", F.coalesce("component", "class")), "bucket-components")
     mixed = stored(
         rest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle"),
         "mixed-buckets",
     )
     rest = stored(rest.join(mixed.hint("merge"), "shingle"), "mixed-members")
-    x = rest.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("class", "n", "pos", "component")))
-    y = rest.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("class", "n", "pos", "component")))
+    x = rest.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("class", "n", "component")))
+    y = rest.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("class", "n", "component")))
     pairs = x.hint("merge").join(y, "shingle").where(
-        # x is the smaller set (or the lesser of equals), within its indexing prefix
-        "x_component <> y_component AND (x_n < y_n OR x_n = y_n AND x_class < y_class) AND 5 * x_n >= 4 * y_n "
-        "AND x_pos < x_n - (8 * x_n + 8) div 9 + 1 "
-        "AND 9 * (1 + least(x_n - x_pos - 1, y_n - y_pos - 1)) >= 4 * (x_n + y_n)"
+        "x_class < y_class AND x_component <> y_component AND 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)"
     )
     pairs = stored(
-        pairs.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
-        .distinct()
+        pairs.groupBy("x_class", "y_class", "x_n", "y_n").agg(F.count(F.lit(1)).alias("shared"))
+        .where(_may_link("x_n", "y_n", "shared"))
+        .select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))
         .join(star.hint("merge"), ["a", "b"], "left_anti"),
         "cross-pairs",
     )
