@@ -10,7 +10,10 @@ from ..functions.tails import fisher_p
 from .graph import indirect_support, rank_share, with_bh
 
 EDGE = ["series_id", "src", "dst"]
-SERIES = Window.partitionBy("series_id")
+
+
+def _series():
+    return Window.partitionBy("series_id")
 
 
 def binarized(edges: DataFrame, threshold: float | None = None, percentile: float = 65.0) -> DataFrame:
@@ -19,14 +22,14 @@ def binarized(edges: DataFrame, threshold: float | None = None, percentile: floa
     if threshold is not None:
         cut = F.lit(threshold)
     else:
-        cut = F.percentile(F.when(F.col("score") > 0, F.col("score")), percentile / 100).over(SERIES)
+        cut = F.percentile(F.when(F.col("score") > 0, F.col("score")), percentile / 100).over(_series())
     return edges.withColumn("is_edge", F.coalesce(F.col("score") > cut, F.lit(False)).cast("int"))
 
 
 def confident(edges: DataFrame, quantile: float = 0.5, least: float = 1e-6) -> DataFrame:
     """Links whose confidence reaches the series' quantile of it."""
     held = F.greatest("confidence", F.lit(0.0))
-    cut = F.greatest(F.percentile(held, quantile).over(SERIES), F.lit(least))
+    cut = F.greatest(F.percentile(held, quantile).over(_series()), F.lit(least))
     return edges.withColumn("_c", cut).where("confidence >= _c").drop("_c")
 
 
@@ -97,7 +100,7 @@ def causal_q(pairs: DataFrame, max_lag: int, n_dims: Column, n: Column) -> DataF
 
 
 def _decided(edges: DataFrame, alpha: float) -> DataFrame:
-    tau = F.coalesce(F.percentile(F.when(F.col("fused") > 0, F.col("fused")), 0.5).over(SERIES), F.lit(0.0))
+    tau = F.coalesce(F.percentile(F.when(F.col("fused") > 0, F.col("fused")), 0.5).over(_series()), F.lit(0.0))
     return edges.withColumn("is_edge", ((F.col("q") < alpha) & (F.col("fused") > tau)).cast("int"))
 
 
