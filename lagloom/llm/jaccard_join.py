@@ -8,8 +8,8 @@ Two documents link if their sets of five-word shingles have 100 * intersection
    sets share a shingle among the first n - ceil(4n/5) + 1 of each. The order puts shingles seen in
    many documents last (any order gives the same links), so a passage that
    many documents share makes no candidates.
-3. Within a bucket of a shared shingle, each class is tested against the least
-   one only; the links found give components. Then pairs of different
+3. Within a bucket of a shared shingle, each class is tested against a few hubs
+   only (the least document and some by hash); the links give components. Then pairs of different
    components that still share a bucket are tested, and no others: inside a
    component there is nothing left to learn. Either way a pair is tested only
    if its prefixes share as many shingles as the overlap T leaves them to.
@@ -45,9 +45,9 @@ from .shingles import shingle_sets
 #: of them at most MOST_COMMON, the commonest. Results don't depend on either.
 COMMON_SHARE, COMMON_LEAST, MOST_COMMON = 1 / 4000, 3, 1 << 19
 #: Candidates searched together, slots of the bitmap of searched documents
-#: (a full bitmap costs time, not links), DivideSkip's cost ratio, and the groups
-#: that a common shingle's bucket is dealt over.
-BLOCK, SLOTS, MU, SALTS = 64, 1 << 22, 0.01, 64
+#: (a full bitmap costs time, not links), DivideSkip's cost ratio, the groups that
+#: a common shingle's bucket is dealt over, and a bucket's hashed hubs.
+BLOCK, SLOTS, MU, SALTS, HUBS = 64, 1 << 22, 0.01, 64, 3
 
 
 def least_overlap(n: int, m: int) -> int:
@@ -258,18 +258,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = stored(
         _prefixes(docs, common)
         .repartition(partitions(docs.sparkSession), "shingle", "salt")
-        .select("*", F.count(F.lit(1)).over(bucket).alias("held"), F.min("doc_id").over(bucket).alias("least"))
+        .select(
+            "*", F.count(F.lit(1)).over(bucket).alias("held"), F.min("doc_id").over(bucket).alias("least"),
+            *(F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")).over(bucket).alias(f"hub{k}") for k in range(HUBS)),
+        )
         .where("held > 1 OR salt >= 0")
-        .select("shingle", "doc_id", "n_pos", "salt", "held", "least"),
+        .select("shingle", "doc_id", "salt", F.shiftright("n_pos", 32).cast("int").alias("n"), F.array("least", *(f"hub{k}" for k in range(HUBS))).alias("hubs")),
         "members",
     )
     heads = members.where("salt >= 0").groupBy("shingle", "salt").agg(F.min("doc_id").alias("doc_id"))
     firsts = heads.groupBy("shingle").agg(F.min("doc_id").alias("least"))
     heads = heads.join(firsts.hint("merge"), "shingle").select("least", "doc_id")
 
-    # Star pairs: each bucket's classes against its least document (its class's own).
+    # Star pairs: each bucket's classes against its hubs.
     n_of = classed.select("doc_id", F.col("class").alias("b"), F.col("n").alias("nb"))
-    star = members.select("least", "doc_id").unionByName(heads).where("doc_id <> least")
+    star = members.select(F.explode(F.array_distinct("hubs")).alias("least"), "doc_id").unionByName(heads).where("doc_id <> least")
     star = stored(star.groupBy("least", "doc_id").agg(F.count(F.lit(1)).alias("shared")), "star-counts")
     star = star.join(n_of.hint("merge"), "doc_id").groupBy("least", "b", "nb").agg(F.max("shared").alias("shared"))
     star = stored(star, "star-classes").join(
@@ -287,7 +290,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # What is left: pairs of different components that share enough buckets.
     # Every bucket that holds such a pair is mixed, so the counts are whole.
-    rest = members.selectExpr("shingle", "doc_id", "cast(shiftright(n_pos, 32) AS int) AS n")
+    rest = members.select("shingle", "doc_id", "n")
     rest = rest.join(classed.select("doc_id", "class").hint("merge"), "doc_id").select("shingle", "class", "n").distinct()
     rest = stored(rest, "bucket-classes").join(stars.withColumnRenamed("node", "class").hint("merge"), "class", "left")
     rest = stored(rest.withColumn("component", F.coalesce("component", "class")), "bucket-components")
