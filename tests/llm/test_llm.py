@@ -1,0 +1,206 @@
+"""The operators against brute force on small fixtures, edge cases included."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lagloom.llm import exact_dedup, jaccard_join, packing, secret_scan, sharding, token_counts, topk, toxicity
+from lagloom.llm.bpe import pair_encoder, round_trip
+from lagloom.llm.secret_labels import labelled_findings
+from lagloom.llm.token_store import TokenStore
+from lagloom.llm.tokens import encoder
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, block int"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma".split()
+
+
+def _rows():
+    rng = random.Random(5)
+    base = " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(120))
+    near = base.split(" ")
+    near[50] = "changed"
+    texts = [base, base, " ".join(near), None, "", " \n\t", "x", "two words", "long " * 4000, "<|endoftext|> a 's  b\n\n", "日本語 é ½"]
+    texts += [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 60))) for _ in range(30)]
+    rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", len(t or ""), "x", 1) for i, t in enumerate(texts)]
+    return rows + [rows[1], (None, "no id", None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_exact_dedup(spark, docs, empty):
+    rows = exact_dedup.DigestIndex(spark, buckets=3).add(docs).collect()
+    by = Counter(r[1] or "" for r in _rows())
+    assert len(rows) == len(_rows())
+    for r in rows:
+        text = next(x[1] or "" for x in _rows() if x[0] == r["doc_id"])
+        assert r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["group_size"] == by[text]
+        assert r["keep_id"] == max((x[0] for x in _rows() if (x[1] or "") == text and x[0] is not None), default=None)
+    assert sum(r["kept"] for r in rows) == len(by)
+    assert exact_dedup.keep_last_copies(docs).count() == len(by)
+    assert exact_dedup.DigestIndex(spark).add(empty).count() == 0
+
+
+def test_digest_index_appends(spark, docs):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    index.add(docs.where("doc_id < 5")).count()
+    again = exact_dedup.DigestIndex(spark, index.path, 3).add(docs.where("doc_id = 1 OR doc_id = 7"))
+    kept = {r["doc_id"]: (r["kept"], r["keep_id"]) for r in again.collect()}
+    assert kept[1] == (False, 1) and kept[7] == (True, 7)
+
+
+def _ids(text):
+    return np.array(encoder().library.encode(text or "", add_special_tokens=False).ids, "<u4")
+
+
+def test_tokens_round_trip_and_store(docs, empty):
+    rows = {r["doc_id"]: r for r in round_trip(docs).collect()}
+    store = TokenStore.write(docs)
+    read = sorted(store.read().collect(), key=lambda r: r["start"])
+    assert len(read) == len(_rows()) and [r["doc_id"] for r in read if r["doc_id"] is not None] == sorted(x[0] for x in _rows() if x[0] is not None)
+    at = 0
+    for r in read:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    for x in _rows():
+        ids = _ids(x[1])
+        r = rows[x[0]]
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256((x[1] or "").encode()).hexdigest()
+        crc = zlib.crc32(np.append(ids, 0).astype("<u4").tobytes())
+        assert crc in {q["ids_crc32"] for q in read if q["doc_id"] == x[0]}
+    assert store.lookup([8]).first()["ids"] == [*_ids("long " * 4000).tolist(), 0]
+    assert TokenStore.write(empty).read().count() == 0 and round_trip(empty).count() == 0
+
+
+def test_prefix_counts_at_every_character(docs):
+    texts = ["it's  we'll\n\n go", "a <|endoftext|> b", "''' ½ 12 é", "the   end ", "don't're"]
+    for text in texts:
+        counts = np.cumsum(pair_encoder().prefix_deltas(text))
+        for k in range(1, len(text) + 1):
+            assert counts[len(text[:k].encode()) - 1] == len(_ids(text[:k]))
+    row = token_counts.prefix_counts(docs.where("doc_id = 8")).first()
+    assert len(_ids(token_counts.cut_text("long " * 4000, row["prefix_counts"], 100))) == 100
+
+
+def _linked(texts):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_jaccard_components(docs, empty):
+    want = _linked({r[0]: r[1] for r in _rows() if r[0] is not None})
+    for r in jaccard_join.jaccard_components(docs).collect():
+        assert r["doc_id"] is None and r["component_id"] is None or (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+    assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_divide_skip_equals_counting():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        query = np.unique(rng.integers(0, 200, 60)).astype("u8")
+        sets = [np.unique(rng.integers(0, 200, rng.integers(1, 120))).astype("u8") for _ in range(20)]
+        need = [int(rng.integers(1, 40)) for _ in sets]
+        want = [k for k, s in enumerate(sets) if len(np.intersect1d(query, s)) >= need[k]]
+        assert sorted(jaccard_join.divide_skip(query, sets, need)) == want
+
+
+def test_packing(docs, empty):
+    rows = packing.pack(docs, capacity=64).collect()
+    assert sum(r["length"] for r in rows) == sum(len(_ids(x[1])) + 1 for x in _rows())
+    filled = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert filled.get(r["sequence_id"], 0) == r["offset"]
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= 64 and packing.pack(empty).count() == 0
+
+
+def test_plan_never_worse_than_best_fit():
+    rng = random.Random(2)
+    for _ in range(20):
+        counts = Counter(rng.randint(5, 60) for _ in range(40))
+        plan = packing.complete_bins(counts, 100)
+        assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts, 100))
+        got = Counter()
+        for lengths, n in plan:
+            assert sum(lengths) <= 100
+            for x in lengths:
+                got[x] += n
+        assert got == counts
+
+
+def test_shards(docs, empty):
+    rows = sharding.interleaved(docs, 4).collect()
+    counts = Counter(r["shard"] for r in rows)
+    assert len(rows) == len(_rows()) and max(counts.values()) - min(counts.values()) <= 1
+    for s, n in counts.items():
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n))
+    assert sharding.interleaved(empty).count() == 0
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=8).round(2)]) for i in range(60)]
+    rows += [(100, None), (101, [1.0, None]), (102, [float("nan")] * 8), (103, rows[3][1]), (104, [])]
+    vectors = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows if i < 60 or i == 103}
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    for q in (0, 20, 40):
+        want = sorted(((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q))[:5]
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        assert [(s, i) for s, i in want] == [(-s, i) for _, i, s in got]
+
+
+def test_machine_learns_an_interaction():
+    rng = np.random.default_rng(1)
+    x = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(2000)]
+    y = np.array([float(0 in r and 1 in r) for r in x])
+    m = toxicity.FactorizationMachine(np.arange(6)).fit(x, y)
+    right = [(m.score(r) >= 0.5) == bool(t) for r, t in zip(x, y, strict=True)]
+    assert np.mean(right) > 0.98 and m.score([0]) < 0.5 and m.score([1]) < 0.5
+
+
+def test_toxicity_edge_cases(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    machine = toxicity.train(docs, none)
+    assert all(0 <= r["toxic_score"] < 0.5 for r in toxicity.scored(docs, machine).collect())
+    assert toxicity.scored(empty, machine).count() == 0
+
+
+def test_secrets(spark, docs, empty):
+    forest = secret_scan.SecretForest.train(labelled_findings(spark, 2000))
+    key = "AKIA" + "Q7RT5ZKM3XW2LP4N"
+    texts = [(1, f"see {key} and mail jo.12@mail3.example.com", "s", "src0", 9), (2, None, None, None, None), (3, "plain words", "", "", 11)]
+    few = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [(r["doc_id"], r["secret"]) for r in secret_scan.scan(few, forest).orderBy("finding").collect()] == [(1, True), (1, False)]
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(few, forest).collect()}
+    assert out[1] == "see [secret] and mail jo.12@mail3.example.com" and out[2] is None and out[3] == "plain words"
+    assert secret_scan.scan(empty, forest).count() == 0 and secret_scan.redact(docs, forest).count() == len(_rows())
