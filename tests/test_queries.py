@@ -10,15 +10,18 @@ import pytest
 from lagloom.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: At sf0.001 one step equals its jump threshold to 4e-16, so engines that sum
+#: in another order disagree on that event; at sf0.01 no step is that near.
+LARGER = {"signed_best_lag": "/root/testdata/sf0.01"}
 NAMES = ["panel_events_hourly", "displacement", "signed_best_lag", "ancestor_filter", "bh_fdr_directed", "fuse_suppress", "segments", "eval_ranking", "adaptive_params", "partial_corr_3d"]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, name):
-    con = duckdb.connect()
-    for path in glob.glob(f"{SF}/*.parquet"):
+    con, sf = duckdb.connect(), LARGER.get(name, SF)
+    for path in glob.glob(f"{sf}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    ours, theirs = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
+    ours, theirs = QUERIES[name](spark, sf).toPandas(), con.sql(ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     order = sorted(ours.columns)
     a, b = (x[order].sort_values(order).reset_index(drop=True) for x in (ours, theirs))
