@@ -12,7 +12,9 @@ Two documents link if their sets of five-word shingles have 100 * intersection
    only (the least document and some by hash); the links give components. Then pairs of different
    components that still share a bucket are tested, and no others: inside a
    component there is nothing left to learn. Either way a pair is tested only
-   if its prefixes share as many shingles as the overlap T leaves them to.
+   if its prefixes share as many shingles as the overlap T leaves them to; for
+   the pairs of the second kind the first shared shingle must also leave T of
+   each set behind it.
 4. A test is a T-occurrence search: the candidates' shingles form inverted
    lists over at most BLOCK candidates; of the query's lists the short ones are
    heap-merged, the long ones binary-probed, and candidates that reach the
@@ -263,7 +265,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             *(F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")).over(bucket).alias(f"hub{k}") for k in range(HUBS)),
         )
         .where("held > 1 OR salt >= 0")
-        .select("shingle", "doc_id", "salt", F.shiftright("n_pos", 32).cast("int").alias("n"), F.array("least", *(f"hub{k}" for k in range(HUBS))).alias("hubs")),
+        .select("shingle", "doc_id", "salt", F.shiftright("n_pos", 32).cast("int").alias("n"), F.expr("cast(n_pos & 4294967295 AS int)").alias("place"), F.array("least", *(f"hub{k}" for k in range(HUBS))).alias("hubs")),
         "members",
     )
     heads = members.where("salt >= 0").groupBy("shingle", "salt").agg(F.min("doc_id").alias("doc_id"))
@@ -290,8 +292,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # What is left: pairs of different components that share enough buckets.
     # Every bucket that holds such a pair is mixed, so the counts are whole.
-    rest = members.select("shingle", "doc_id", "n")
-    rest = rest.join(classed.select("doc_id", "class").hint("merge"), "doc_id").select("shingle", "class", "n").distinct()
+    rest = members.select("shingle", "doc_id", "n", "place")
+    rest = rest.join(classed.select("doc_id", "class").hint("merge"), "doc_id").select("shingle", "class", "n", "place").distinct()
     rest = stored(rest, "bucket-classes").join(stars.withColumnRenamed("node", "class").hint("merge"), "class", "left")
     rest = stored(rest.withColumn("component", F.coalesce("component", "class")), "bucket-components")
     mixed = stored(
@@ -299,15 +301,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         "mixed-buckets",
     )
     rest = stored(rest.join(mixed.hint("merge"), "shingle"), "mixed-members")
-    x = rest.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("class", "n", "component")))
-    y = rest.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("class", "n", "component")))
+    # The first shingle that a linked pair shares has T of both sets from it on.
+    x = rest.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("class", "n", "place", "component"))).where("x_place <= x_n - (8 * x_n + 8) div 9")
+    y = rest.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("class", "n", "place", "component")))
     pairs = x.hint("merge").join(y, "shingle").where(
-        "x_class < y_class AND x_component <> y_component AND 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)"
+        "(x_n < y_n OR x_n = y_n AND x_class < y_class) AND x_component <> y_component AND 5 * x_n >= 4 * y_n "
+        "AND least(x_n - x_place, y_n - y_place) >= (4 * (x_n + y_n) + 8) div 9"
     )
+    pairs = stored(pairs.select("x_class", "y_class").distinct(), "near-pairs")
+    prefix = stored(rest.groupBy("class", "n").agg(F.collect_list("shingle").alias("prefix")), "mixed-prefixes")
+    for side in ("x", "y"):
+        held = prefix.select(*(F.col(c).alias(f"{side}_{c}") for c in prefix.columns))
+        pairs = pairs.join(held.hint("merge"), f"{side}_class")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("x_prefix", "y_prefix"))).where(_may_link("x_n", "y_n", "shared"))
     pairs = stored(
-        pairs.groupBy("x_class", "y_class", "x_n", "y_n").agg(F.count(F.lit(1)).alias("shared"))
-        .where(_may_link("x_n", "y_n", "shared"))
-        .select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))
+        pairs.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
         .join(star.hint("merge"), ["a", "b"], "left_anti"),
         "cross-pairs",
     )
