@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _id_text, pair_encoder
-from .common import documents
+from .common import documents, stored
 from .tokens import TOKENIZER, encoder
 
 LIMIT = 1024
@@ -97,6 +97,22 @@ def library_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return _id_text(docs).mapInArrow(rows, "doc_id long, n_bytes long, n_tokens long")
 
 
+def totals(packed: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit, from prefix_counts alone."""
+
+    def rows(batches):
+        for b in batches:
+            size, n = [], []
+            for p in b.column("prefix_counts").to_pylist():
+                counts = unpack(p)
+                size.append(len(counts))
+                n.append(int(counts[-1]) if len(counts) else 0)
+            columns = [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    return packed.select("doc_id", "prefix_counts").mapInArrow(rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+
+
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = prefix_counts(documents(spark, sf_dir), store=False)
-    return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    """Writes the packed counts of every prefix; its rows are read from them."""
+    return totals(stored(prefix_counts(documents(spark, sf_dir)), "prefix-counts"))

@@ -96,6 +96,25 @@ def test_prefix_counts_at_every_character(docs):
     assert len(_ids(token_counts.cut_text("long " * 4000, row["prefix_counts"], 100))) == 100
 
 
+def test_prefix_query_stores_every_prefix(spark, docs, empty, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(token_counts, "stored", lambda df, name, write=token_counts.stored: written.append(write(df, name)) or written[-1])
+    for name, table in (("some", docs), ("none", empty)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    rows = token_counts.op6_prefix_token_counts(spark, f"{tmp_path}/some").collect()
+    assert len(rows) == len(_rows()) and {r["over_limit"] for r in rows} == {True, False}
+    kept = {r["doc_id"]: r for r in written[0].collect()}
+    texts = {x[0]: x[1] or "" for x in _rows()}
+    assert len(kept) == len(texts)
+    for r in rows:
+        ids, counts = _ids(texts[r["doc_id"]]), token_counts.unpack(kept[r["doc_id"]]["prefix_counts"])
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), len(ids), len(ids) > 1024)
+        assert len(counts) == r["n_bytes"] and (not len(counts) or counts[-1] == len(ids))
+        half = texts[r["doc_id"]][: len(texts[r["doc_id"]]) // 2]
+        assert not half or counts[len(half.encode()) - 1] == len(_ids(half))
+    assert token_counts.op6_prefix_token_counts(spark, f"{tmp_path}/none").count() == 0
+
+
 def _linked(texts):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
