@@ -40,6 +40,8 @@ def _kinds() -> list[tuple[str, str, str, int]]:
     """(value, text before, path, label) as SQL."""
     plain, path, test = _pick("l", *_PLAIN), _pick("p", *_PATH), _pick("t", *_TEST)
     assign = _pick("k", "password=", "passwd: ", "secret = ", "token = ", "api_key=", "auth_token: ", "client_secret=")
+    any_case = _pick("E", "PASSWORD=", 'password = "', "Passwd: ", "SECRET : ", "apiKey=", '"token": "', "pwd=", "DB_PASSWORD = ")
+    phrase = f"concat({_pick('E2', 'correct', 'purple', 'dragon', 'winter', 'monkey', 'silver')}, {_pick('E3', 'horse', 'tiger', 'castle', 'rocket', 'garden')}, {_pick('E4', '!', '#', '-', '', '')}, {_pick('E5', 'battery', 'staple', 'window', 'sunset', 'river')})"
     word = _pick("w", "user", "order", "invoice", "build", "release", "section", "chapter", "figure", "item")
     return [
         (f"concat('AKIA', upper({_b64('a', 16, '[^A-Za-z2-7]')}))", plain, path, 1),
@@ -50,6 +52,13 @@ def _kinds() -> list[tuple[str, str, str, int]]:
         (f"concat({_pick('m', 'sk_live_', 'xoxb-', 'glpat-', 'AIza', 'eyJ')}, {_b64('f', 32)})", plain, path, 1),
         (f"concat({_pick('n', 'password=', 'secret=', 'api_key=', 'token=')}, {_b64('g', 14, '[^A-Za-z0-9+/]')}, {_number('g2', 10, 99)})", plain, path, 1),
         (_b64("h", 24), f"concat({plain}, {assign}, '\"')", path, 1),
+        (f"concat('AKIA', upper({_b64('C', 16, '[^A-Za-z]')}))", plain, path, 1),
+        (f"concat({_pick('D', 'ghp_', 'glpat-', 'sk_live_', 'gho_')}, {_b64('D2', 24, '[^A-Za-z]')})", plain, path, 1),
+        (phrase, f"concat({plain}, {any_case})", path, 1),
+        (f"concat({_b64('F', 12, '[^A-Za-z]')}, {_pick('F2', '!', '#', '$', '%', '', '')}, {_b64('F3', 6, '[^A-Za-z]')})", f"concat({plain}, {any_case})", path, 1),
+        (f"concat({_pick('I', 'hunter', 'Dragon', 'tr0ub', 'Summer', 'Qw', 'zebra')}, {_number('I2', 1, 2030)}, {_pick('I3', '!', '#', '$', '@', '')}, {_b64('I4', 5)}, {_pick('I5', '!', '#q', '', ' Zx')})", f"concat({plain}, {any_case})", path, 1),
+        (f"concat({_pick('G', 'please', 'required', 'incorrect', 'between ', 'undefined', 'getToken()', 'request.form', 'os.environ', 'optional,', 'internal', 'whatever', 'nothing')}, {_pick('G2', '', '', '.', ' and the other', ';')})", f"concat({plain}, {any_case})", path, 0),
+        (f"concat({_pick('H', 'Please', 'Enter', 'Your', 'Choose', 'Forgot')}, {_pick('H2', ' your password', ' a new value', ' the name', ' it here')})", f"concat({plain}, {any_case})", path, 0),
         (f"concat({_pick('q', 'anna', 'jo', 'info', 'kp', 'lenn')}, '.', {_number('i', 10, 99)}, '@mail', {_number('i2', 0, 9)}, '.example.com')", plain, path, 0),
         (f"concat({_number('j', 200, 999)}, '-', {_number('j2', 1000, 9999)})", f"concat({plain}, {_pick('j3', 'phone ', 'tel. ', '+1 (689) ', 'call ')})", path, 0),
         (f"concat('4', {_number('o', 10000000, 99999999)}, {_number('o2', 1000000, 9999999)})", f"concat({plain}, {_pick('o3', 'card ', 'order ', 'isbn ', '')})", path, 0),

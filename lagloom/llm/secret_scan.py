@@ -27,15 +27,31 @@ TREES, DEPTH, SEED = 24, 6, 5
 THRESHOLD = 0.5
 MASK = "[secret]"
 
-# What can be a candidate, and the words looked for around it.
+# What can be a candidate, and the words looked for around it. A
+# candidate starts where a run of _CHAR starts: it is a keyword's assignment
+# (any case and spacing; a quoted value goes to its closing quote, another to
+# the next blank), else a run with a digit or with a known prefix. The name that
+# is assigned to counts as text before the candidate.
 _CHAR = r"A-Za-z0-9_+/=.@\-"
+_KNOWN = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|glpat-|AIza|eyJ)"
+_KEYWORD = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_\-]?key|auth|cred(?:ential)?s?|private[_\-]?key|access[_\-]?key|bearer)"
+_ASSIGN = r"\\?[\"']?[ \t]*+[=:]{1,2}+>?[ \t]*+"
+_ASSIGNED = (
+    r"(?:\\\"(?=[^\"\r\n]{6})[^\"\\\r\n]++(?=\\\")"
+    r"|\"(?=[^\"\r\n]{6})[^\"\\\r\n]*+(?:\\[^\r\n][^\"\\\r\n]*+){0,99}+(?=\")"
+    r"|'(?=[^'\r\n]{6})[^'\\\r\n]*+(?:\\[^\r\n][^'\\\r\n]*+){0,99}+(?=')"
+    r"|\\?[\"']?(?=[^\s\"]{6})[^\s\"'][^\s\"']*+(?:'(?=\w)[^\s\"']*+){0,99}+)"
+)
+_NAME = rf"[{_CHAR}]*?{_KEYWORD}[A-Za-z0-9_\-]{{0,16}}+{_ASSIGN}"
+NAME = rf"(?s)^{_NAME}(?:\\?[\"'])?(?=.{{6}})"
 CANDIDATE = (
-    rf"(?=[A-Za-z_+/=.@\-]{{0,255}}+[0-9])[{_CHAR}]{{8,{MOST}}}"
-    rf"|(?:password|passwd|secret|token|api_?key)[=:] ?[\"']?[^\s\"']{{6,{MOST}}}"
+    rf"(?<![{_CHAR}])(?:{_NAME}{_ASSIGNED}"
+    rf"|(?=[A-Za-z_+/=.@\-]*+[0-9])[{_CHAR}]{{8,}}+"
+    rf"|[{_CHAR}]*?{_KNOWN}[{_CHAR}]{{8,}}+)"
 )
-KEYS = "pass|pwd|secret|token|api_?key|auth|cred|private|bearer"
+KEYS = "pass|pwd|secret|token|api[_-]?key|auth|cred|private|bearer|access[_-]?key"
 BENIGN = "commit|sha|checksum|md5|etag|integrity|uuid|trace|request|version|phone|tel|card|isbn|order|http|mail|id="
-KNOWN = "^(?:AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|glpat-|AIza|eyJ)"
+KNOWN = _KNOWN
 TESTS = "test|example|sample|fixture|mock|demo|lock|doc"
 DICTIONARY = (
     "about access account admin after build call card case change changeme chapter check client code commit "
@@ -177,6 +193,11 @@ def _judged(docs: DataFrame, forest: SecretForest, path: str | None) -> DataFram
         F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_found"),
         where.alias("_path"),
     )
+    name = lambda c: F.regexp_extract(c, NAME, 0)
+    cut = cut.withColumn("_names", F.transform("_found", name)).withColumns({
+        "_gaps": F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_names", i), F.lit("")))),
+        "_found": F.zip_with("_found", "_names", lambda c, n: F.substr(c, F.length(n) + 1)),
+    })
     before = F.transform("_gaps", lambda g: F.right(g, F.lit(NEAR)))
     measured = cut.withColumn("_before", before).withColumn(
         "_features",
