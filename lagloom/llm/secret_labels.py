@@ -42,6 +42,7 @@ def _kinds() -> list[tuple[str, str, str, int]]:
     assign = _pick("k", "password=", "passwd: ", "secret = ", "token = ", "api_key=", "auth_token: ", "client_secret=")
     any_case = _pick("E", "PASSWORD=", 'password = "', "Passwd: ", "SECRET : ", "apiKey=", '"token": "', "pwd=", "DB_PASSWORD = ")
     phrase = f"concat({_pick('E2', 'correct', 'purple', 'dragon', 'winter', 'monkey', 'silver')}, {_pick('E3', 'horse', 'tiger', 'castle', 'rocket', 'garden')}, {_pick('E4', '!', '#', '-', '', '')}, {_pick('E5', 'battery', 'staple', 'window', 'sunset', 'river')})"
+    long = f"concat({_b64('J', 60)}, {_b64('J2', 60)})"
     word = _pick("w", "user", "order", "invoice", "build", "release", "section", "chapter", "figure", "item")
     return [
         (f"concat('AKIA', upper({_b64('a', 16, '[^A-Za-z2-7]')}))", plain, path, 1),
@@ -52,6 +53,8 @@ def _kinds() -> list[tuple[str, str, str, int]]:
         (f"concat({_pick('m', 'sk_live_', 'xoxb-', 'glpat-', 'AIza', 'eyJ')}, {_b64('f', 32)})", plain, path, 1),
         (f"concat({_pick('n', 'password=', 'secret=', 'api_key=', 'token=')}, {_b64('g', 14, '[^A-Za-z0-9+/]')}, {_number('g2', 10, 99)})", plain, path, 1),
         (_b64("h", 24), f"concat({plain}, {assign}, '\"')", path, 1),
+        (f"concat('eyJ', {long}, '.eyJ', {_b64('K', 60)}, {_b64('K2', 60)}, '.', {_b64('K3', 60)}, {_b64('K4', 60)})", plain, path, 1),
+        (f"concat({long}, {_b64('L', 60)}, {_b64('L2', 60)}, {_b64('L3', 60)}, {_b64('L4', 60)})", f"concat({plain}, {_pick('L5', 'base64,', 'image ', 'data ', 'integrity ', '')})", path, 0),
         (f"concat('AKIA', upper({_b64('C', 16, '[^A-Za-z]')}))", plain, path, 1),
         (f"concat({_pick('D', 'ghp_', 'glpat-', 'sk_live_', 'gho_')}, {_b64('D2', 24, '[^A-Za-z]')})", plain, path, 1),
         (phrase, f"concat({plain}, {any_case})", path, 1),

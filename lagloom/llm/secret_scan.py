@@ -6,9 +6,10 @@ trained on labelled findings and then written out as one SQL expression, so
 scanning is a narrow pass of built-in functions: no shuffle, no Python.
 
 Defined results: null, empty and blank texts have no candidates; a null path
-counts as empty; candidates longer than MOST characters are judged in pieces of
-MOST, so no character goes unread; every input row gives its own findings; a
-table without rows gives no findings. Other columns are ignored by ``scan`` and
+counts as empty; a candidate is the whole run, however long; beyond MOST
+characters its pieces are judged apart, each with the run's prefix, name and
+context, and its score is that of the piece judged highest; every input row
+gives its own findings; a table without rows gives no findings. Other columns are ignored by ``scan`` and
 kept as they are by ``redact``.
 """
 
@@ -53,6 +54,7 @@ KEYS = "pass|pwd|secret|token|api[_-]?key|auth|cred|private|bearer|access[_-]?ke
 BENIGN = "commit|sha|checksum|md5|etag|integrity|uuid|trace|request|version|phone|tel|card|isbn|order|http|mail|id="
 KNOWN = _KNOWN
 TESTS = "test|example|sample|fixture|mock|demo|lock|doc"
+SHARED = 7
 DICTIONARY = (
     "about access account admin after build call card case change changeme chapter check client code commit "
     "config data date default demo digest dummy example figure file find form from group handler have here home "
@@ -99,32 +101,53 @@ def _share(value: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(value, pattern, "")) / F.greatest(F.length(value), F.lit(1))
 
 
-def features(candidate: Column, before: Column, path: Column, flow: dict[str, float]) -> list[Column]:
-    v, c = _value(candidate), _classes(_value(candidate))
+def _pieces(value: Column) -> Column:
+    """MOST characters each; a rest under 8 belongs to the last piece."""
+    cut = F.regexp_extract_all(value, F.lit(rf"(?s).{{{MOST}}}(?:.{{1,7}}\z)?|.+"), F.lit(0))
+    return F.when(F.length(value) > MOST, cut).otherwise(F.array(value))
+
+
+def _flag(x: Column, pattern: str) -> Column:
+    return F.rlike(x, F.lit(pattern)).cast("double")
+
+
+def _of_run(candidate: Column, before: Column, path: Column) -> list[Column]:
+    """What all pieces of a candidate share."""
+    v = _value(candidate)
     key = F.regexp_extract(candidate, r"^([A-Za-z_\-]+)[=:]", 1)
     near = F.lower(F.concat(F.right(before, F.lit(NEAR)), key))
+    columns = [
+        F.length(v),
+        _flag(near, KEYS),
+        _flag(near, BENIGN),
+        _flag(v, KNOWN),
+        _flag(v, r"@|://|^www\.|\.[a-z]{2,4}(/|$)"),
+        _flag(F.lower(path), TESTS),
+        _flag(v, "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
+    ]
+    return [x.cast("double") for x in columns]
+
+
+def features(v: Column, run: list[Column], flow: dict[str, float]) -> list[Column]:
+    """Of one piece of a candidate whose shared ones are run."""
+    c = _classes(v)
     table = F.create_map(*[F.lit(x) for kv in (flow or {"--": 0.0}).items() for x in kv])
     steps = F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1)))
     total = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.coalesce(F.try_element_at(table, F.substr(c, i, F.lit(2))), F.lit(0.0)))
-    flag = lambda x, p: F.rlike(x, F.lit(p)).cast("double")
     runs = F.regexp_replace(F.regexp_replace(c, "[vhc]", "a"), "[HU]", "A")
     columns = [
-        F.length(v),
+        run[0],
         1 - _share(v, "[0-9]"),
         1 - _share(v, "[A-Z]"),
         1 - _share(v, "[a-z]"),
-        flag(v, "^[0-9a-f]+$"),
+        _flag(v, "^[0-9a-f]+$"),
         F.length(F.regexp_replace(runs, r"(.)\1+", "$1")) / F.greatest(F.length(v), F.lit(1)),
         total / F.greatest(F.length(c) - 1, F.lit(1)),
         F.size(F.array_distinct(F.split(v, ""))) / F.greatest(F.length(v), F.lit(1)),
         1 - _share(F.lower(v), "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))),
-        flag(near, KEYS),
-        flag(near, BENIGN),
-        flag(v, KNOWN),
-        flag(v, r"@|://|^www\.|\.[a-z]{2,4}(/|$)"),
-        flag(v, r"^[0-9.\-/()]+$"),
-        flag(F.lower(path), TESTS),
-        flag(v, "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
+        *run[1:5],
+        _flag(v, r"^[0-9.\-/()]+$"),
+        *run[5:],
     ]
     return [x.cast("double") for x in columns]
 
@@ -141,8 +164,10 @@ class SecretForest:
         from pyspark.ml.functions import array_to_vector
 
         flow = _flow_table(labelled)
-        columns = features(F.col("value"), F.col("before"), F.col("path"), flow)
-        rows = labelled.select(array_to_vector(F.array(*columns)).alias("features"), F.col("label").cast("double").alias("label"))
+        run = F.array(*_of_run(F.col("value"), F.col("before"), F.col("path"))).alias("run")
+        cut = labelled.select("label", run, F.explode(_pieces(_value(F.col("value")))).alias("piece"))
+        columns = features(F.col("piece"), [F.col("run")[k] for k in range(SHARED)], flow)
+        rows = cut.select(array_to_vector(F.array(*columns)).alias("features"), F.col("label").cast("double").alias("label"))
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8)
         model = forest.fit(rows.coalesce(2))
         return cls(flow, [_parsed(t.toDebugString) for t in model.trees])
@@ -198,12 +223,22 @@ def _judged(docs: DataFrame, forest: SecretForest, path: str | None) -> DataFram
         "_gaps": F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_names", i), F.lit("")))),
         "_found": F.zip_with("_found", "_names", lambda c, n: F.substr(c, F.length(n) + 1)),
     })
-    before = F.transform("_gaps", lambda g: F.right(g, F.lit(NEAR)))
-    measured = cut.withColumn("_before", before).withColumn(
-        "_features",
-        F.transform("_found", lambda c, i: F.array(*features(c, F.get("_before", i), F.col("_path"), forest.flow))),
-    )
-    return measured.withColumn("_scores", F.transform("_features", forest.score))
+    runs = cut.withColumn("_runs", F.transform("_found", lambda c, i: F.struct(
+        _pieces(_value(c)).alias("pieces"), F.array(*_of_run(c, _before(i), F.col("_path"))).alias("shared")
+    )))
+    measured = runs.withColumn("_features", F.transform("_runs", lambda r: F.transform(
+        r["pieces"], lambda p: F.array(*features(p, [r["shared"][k] for k in range(SHARED)], forest.flow))
+    )))
+    return measured.withColumn("_scores", F.transform("_features", lambda f: F.array_max(F.transform(f, forest.score))))
+
+
+def _before(i: Column) -> Column:
+    """The NEAR characters before a candidate, other candidates included: with
+    the gap after it a candidate has 9 characters or more, so 6 of them do."""
+    end = lambda x, k: F.coalesce(F.right(F.get(x, i - k), F.lit(NEAR)), F.lit(""))
+    earlier = [end(x, k) for k in range(-(-NEAR // 9), 0, -1) for x in ("_gaps", "_found")]
+    gap = F.get("_gaps", i)
+    return F.when(F.length(gap) >= NEAR, F.right(gap, F.lit(NEAR))).otherwise(F.right(F.concat(*earlier, gap), F.lit(NEAR)))
 
 
 def scan(docs: DataFrame, forest: SecretForest, path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:

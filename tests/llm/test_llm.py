@@ -240,3 +240,40 @@ def test_secrets_without_digits_and_of_any_spelling(spark):
     few = spark.createDataFrame([(i, t, "src0") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     out = {r["doc_id"]: r["text"] for r in secret_scan.redact(few, forest).collect()}
     assert [out[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_long_secrets_and_context_across_candidates(spark):
+    forest = secret_scan.SecretForest.train(labelled_findings(spark))
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    jwt = f"eyJ{some(33)}.eyJ{some(700)}.{some(43)}"
+    short_rest = f"eyJ{some(33)}.eyJ{some(2 * secret_scan.MOST - 40 + 3)}"
+    texts = {
+        f"see {jwt} now": "see [secret] now",
+        f"see {short_rest} now": "see [secret] now",
+        'the db1-password: "abcdefgh12XY" here': 'the db1-password: "[secret]" here',
+        'the db1-password-v2 is "abcdefgh12XY" here': 'the db1-password-v2 is "[secret]" here',
+        'db1-password-v2.yml -> "k7Qm2xT9pLw4Zr8v" here': 'db1-password-v2.yml -> "[secret]" here',
+    }
+    few = spark.createDataFrame([(i, t, "src0") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(few, forest).collect()}
+    assert [out[i] for i in range(len(texts))] == list(texts.values())
+    found = secret_scan.scan(few, forest).where("secret").orderBy("doc_id").collect()
+    assert [r["length"] for r in found] == [len(jwt), len(short_rest), 12, 12, 16]
+
+
+def test_context_and_pieces_are_whole(spark):
+    rng = random.Random(9)
+    found = ["c" * rng.choice((8, 9, 30)) + str(i) for i in range(40)]
+    gaps = ["g" * rng.choice((1, 2, 20, 60)) for _ in range(41)]
+    row = spark.createDataFrame([(gaps, found)], "_gaps array<string>, _found array<string>").select(
+        F.transform("_found", lambda c, i: secret_scan._before(i)).alias("before")
+    ).first()
+    text = ""
+    for g, c, b in zip(gaps, found, row["before"], strict=False):
+        text += g
+        assert b == text[-48:]
+        text += c
+    values = ["v" * n for n in (8, 256, 257, 263, 264, 519, 520, 1000)]
+    cut = spark.createDataFrame([(v,) for v in values], "v string").select("v", secret_scan._pieces(F.col("v")).alias("p")).collect()
+    assert all("".join(r["p"]) == r["v"] and min(map(len, r["p"])) >= 8 for r in cut)
