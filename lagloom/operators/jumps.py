@@ -169,8 +169,9 @@ def spurious_edges(edges: DataFrame, events: DataFrame) -> DataFrame:
 def clean_jumps(events: DataFrame, edges: DataFrame) -> DataFrame:
     """For each edge (src, dst, lag) the source's jumps that no mediator's jump
     explains: none of m's jumps lies within one frame of t + lag(src, m), for
-    every m with src -> m and m -> dst. The frames near are spelled out, so the
-    anti-join is by equality."""
+    every m with src -> m and m -> dst, whatever its score (the engine's rule
+    is ``unexplained_jumps``). The frames near are spelled out, so the anti-join
+    is by equality."""
     jumps = events.where("event <> 0").select("series_id", "t", "dim", "event")
     own = edges.select(*EDGE, "lag").join(jumps.withColumnRenamed("dim", "src"), ["series_id", "src"])
     to_m = edges.select("series_id", "src", F.col("dst").alias("m"), F.col("lag").alias("m_lag"))
@@ -179,3 +180,21 @@ def clean_jumps(events: DataFrame, edges: DataFrame) -> DataFrame:
     near_m = jumps.select("series_id", F.col("dim").alias("m"), F.explode(F.array(F.col("t") - 1, F.col("t"), F.col("t") + 1)).alias("near"))
     hit = between.join(near_m, ["series_id", "m"]).select(*EDGE, (F.col("near") - F.col("m_lag")).alias("t")).distinct()
     return own.join(hit, [*EDGE, "t"], "left_anti")
+
+
+def stronger_mediators(edges: DataFrame) -> DataFrame:
+    """(series_id, src, dst, lag, m, m_lag) for each edge and each m with a
+    higher score from the same source."""
+    to_m = edges.where("lag > 0").select("series_id", "src", F.col("dst").alias("m"), F.col("score").alias("m_score"), F.col("lag").alias("m_lag"))
+    rows = edges.where("lag > 0").join(to_m, ["series_id", "src"]).where("m <> dst AND m_score > score")
+    return rows.select(*EDGE, "lag", "m", "m_lag")
+
+
+def unexplained_jumps(events: DataFrame, mediators: DataFrame) -> DataFrame:
+    """For each edge of ``stronger_mediators`` the source's jumps at t with none
+    of m's jumps within one frame of t + lag(src, m), for any m."""
+    jumps = events.where("event <> 0").select("series_id", "t", "dim", "event")
+    own = mediators.select(*EDGE, "lag").distinct().join(jumps.withColumnRenamed("dim", "src"), ["series_id", "src"])
+    near_m = jumps.select("series_id", F.col("dim").alias("m"), F.explode(F.array(F.col("t") - 1, F.col("t"), F.col("t") + 1)).alias("near"))
+    hit = mediators.join(near_m, ["series_id", "m"]).select(*EDGE, (F.col("near") - F.col("m_lag")).alias("t")).distinct()
+    return own.join(hit, [*EDGE, "t"], "left_anti")

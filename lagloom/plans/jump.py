@@ -68,23 +68,30 @@ def jump_edges(panel: DataFrame, config: JumpConfig = JumpConfig()) -> tuple[Dat
     stats = jmp.response_p(jmp.signed_responses(events, config.max_lag))
     best = jmp.best_response(stats, jmp.jump_consistency(events, config.max_lag, config.min_jumps)).persist()
     spurious = jmp.spurious_edges(best, events).withColumn("filtered", F.lit(True))
-    rows = best.drop("p").join(spurious, EDGE, "left").na.fill({"filtered": False}).persist()
-    kept = rows.where("NOT filtered AND score > 0")
-    rows = rows.join(conditional_p(events, kept, config.min_jumps), EDGE, "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
+    rows = best.join(spurious, EDGE, "left").na.fill({"filtered": False}).persist()
+    rows = with_conditional_p(rows, events, config.min_jumps)
     return suppressed(g.with_bh(rows, keys=("series_id", "src")), pn.shape(panel), config), events
 
 
+def with_conditional_p(rows: DataFrame, events: DataFrame, least: int) -> DataFrame:
+    """rows, p replaced for edges with a mediator; edges without one, and
+    filtered ones, keep their p over all frames."""
+    given = conditional_p(events, rows.where("NOT filtered AND score > 0"), least).withColumnRenamed("p", "given")
+    return rows.join(given, EDGE, "left").withColumn("p", F.coalesce("given", "p")).drop("given")
+
+
 def conditional_p(events: DataFrame, kept: DataFrame, least: int) -> DataFrame:
-    """p of each kept edge's mean signed response after the source's jumps that
-    no mediator explains; 1 with fewer than ``least``."""
-    clean = jmp.clean_jumps(events, kept)
+    """For each kept edge with a mediator, p of its mean signed response after
+    the source's jumps that no mediator explains; 1 with fewer than ``least``."""
+    mediators = jmp.stronger_mediators(kept)
+    clean = jmp.unexplained_jumps(events, mediators)
     reply = events.select("series_id", F.col("t").alias("at"), F.col("dim").alias("dst"), F.col("disp").alias("y"))
     rows = clean.withColumn("at", F.col("t") + F.col("lag")).join(reply, ["series_id", "dst", "at"])
     s = F.col("y") * F.col("event")
     stats = rows.groupBy(*EDGE).agg(F.avg(s).alias("mean"), F.stddev_samp(s).alias("sd"), F.count(s).alias("n"))
     t = F.when(F.col("sd") > 1e-12, F.col("mean") / (F.col("sd") / F.sqrt(F.col("n").cast("double"))))
-    p = jmp.response_p(stats.withColumn("t_stat", t))
-    return p.select(*EDGE, F.when(F.col("n") < least, 1.0).otherwise(F.col("p")).alias("p"))
+    p = jmp.response_p(stats.withColumn("t_stat", t)).select(*EDGE, F.when(F.col("n") < least, 1.0).otherwise(F.col("p")).alias("p"))
+    return mediators.select(*EDGE).distinct().join(p, EDGE, "left").na.fill({"p": 1.0})
 
 
 def suppressed(rows: DataFrame, sizes: DataFrame, config: JumpConfig) -> DataFrame:
