@@ -4,21 +4,25 @@ Two documents link if their sets of five-word shingles have 100 * intersection
 >= 80 * union. The result is one row per document with its component.
 
 1. Documents with equal sets form a class; its least doc_id stands for it.
-2. Candidates come from prefixes: in any one order of all shingles, two linked
-   sets share a shingle among the first n - ceil(4n/5) + 1 of each. The order puts shingles seen in
-   many documents last (any order gives the same links), so a passage that
-   many documents share makes no candidates.
-3. Within a bucket of a shared shingle, each class is tested against a few hubs
-   only (the least document and some by hash); the links give components. Then pairs of different
-   components that still share a bucket are tested, and no others: inside a
-   component there is nothing left to learn. Either way a pair is tested only
-   if its prefixes share as many shingles as the overlap T leaves them to; for
-   the pairs of the second kind the first shared shingle must also leave T of
-   each set behind it.
-4. A test is a T-occurrence search: the candidates' shingles form inverted
-   lists over at most BLOCK candidates; of the query's lists the short ones are
-   heap-merged, the long ones binary-probed, and candidates that reach the
-   overlap T = ceil(4 (|r| + |s|) / 9) stay.
+2. Prefixes route: in any one order of all shingles, two linked sets share a
+   shingle among the first n - ceil(4n/5) + 1 of each. The order puts shingles
+   seen in many documents last (any order gives the same links), so a passage
+   that many documents share brings few together.
+3. Sets are searched in cells. A cell holds the inverted lists of a block of
+   sets, of bounded size; queries stream past it, and each is a T-occurrence
+   search: of its lists the short ones are heap-merged, the long ones
+   binary-probed for the candidates the merge leaves, and those that reach the
+   overlap T = ceil(4 (|r| + |s|) / 9) link. Pairs are never rows: a cell keeps
+   the components it knows of and puts out only links that join two of them.
+4. First cells: each class goes to the cluster of the document that is the least
+   one in most of its prefix's buckets, if enough of them are shared for a link.
+   A cluster's blocks are searched for links within, and for links with the
+   cluster's hubs, which ties the blocks together.
+5. Second cells: what is left are pairs of different components that share
+   enough of their prefixes. A class is sent to a block if its prefix leaves
+   room for a link with a set there, from the lighter group to the heavier, once
+   for the whole block and however many sets it may link with. Every pair that
+   could link and isn't in one component meets in a cell.
 
 Defined results: null, empty and blank texts have no shingles and link with
 nothing; rows with equal doc_id are one node; a row without doc_id takes no
@@ -30,29 +34,29 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from bisect import bisect_left
 from itertools import groupby
 from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, stored
+from .common import documents, partitions, stored, unused
 from .components import components
 from .shingles import shingle_sets
 
 #: Shingles in at least this share of a batch's documents are ordered last;
 #: of them at most MOST_COMMON, the commonest. Results don't depend on either.
 COMMON_SHARE, COMMON_LEAST, MOST_COMMON = 1 / 4000, 3, 1 << 19
-#: Candidates searched together, slots of the bitmap of searched documents
-#: (a full bitmap costs time, not links), DivideSkip's cost ratio, the groups that
-#: a common shingle's bucket is dealt over, and a bucket's hashed hubs.
-BLOCK, SLOTS, MU, SALTS, HUBS = 64, 1 << 22, 0.01, 64, 3
+#: Cost of a block's sets and of the queries one cell answers (a set costs its
+#: size, LEAST_COST at least; a larger set is a block by itself), slots of the
+#: bitmap of searched documents (a full bitmap costs time, not links),
+#: DivideSkip's cost ratio, and a cluster's hubs beside its least document.
+BLOCK, ASKED, LEAST_COST, SLOTS, MU, HUBS = 1 << 18, 1 << 20, 256, 1 << 22, 0.01, 3
 
 
-def least_overlap(n: int, m: int) -> int:
+def least_overlap(n, m):
     return -(-4 * (n + m) // 9)
 
 
@@ -60,44 +64,89 @@ def _may_link(n: str, m: str, shared: str) -> str:
     """SQL: sizes n and m can link, and of the probing prefixes enough shingles
     are shared. All shared shingles up to where the first prefix ends lie in
     both prefixes, and at most ceil(4 max / 5) - 1 lie beyond."""
-    top = f"greatest({n}, {m})"
-    return (
-        f"5 * least({n}, {m}) >= 4 * {top} AND {shared} >= 1 "
-        f"AND {shared} >= (4 * ({n} + {m}) + 8) div 9 - (4 * {top} + 4) div 5 + 1"
-    )
-
-
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], needed: list[int]) -> list[int]:
-    """Which of the sets share at least ``needed`` elements with the query."""
-    if not sets:
-        return []
-    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
-    items = np.concatenate(sets)
-    place = np.searchsorted(query, items)
-    hit = query[np.minimum(place, len(query) - 1)] == items
-    place, owner = place[hit], owner[hit]
-    order = np.lexsort((owner, place))
-    cuts = np.flatnonzero(np.diff(place[order])) + 1
-    lists = sorted((part.tolist() for part in np.split(owner[order], cuts) if len(part)), key=len, reverse=True)
-    if not lists:
-        return []
-    least = min(needed)
-    long_lists = min(int(least / (MU * log2(len(lists[0]) + 1) + 1)), least - 1, len(lists))
-    probed, merged = lists[:long_lists], lists[long_lists:]
-    found = []
-    for one, same in groupby(heapq.merge(*merged)):
-        count = sum(1 for _ in same)
-        want = needed[one]
-        left = long_lists
-        for entries in probed:
-            if count >= want or count + left < want:
+    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) AND {shared} >= {_least_shared(n, m)}"
+
+
+def _least_shared(n: str, m: str) -> str:
+    return f"greatest(1, (4 * ({n} + {m}) + 8) div 9 - (4 * greatest({n}, {m}) + 4) div 5 + 1)"
+
+
+class Cell:
+    """Inverted lists of a block of sets, and which of them are linked so far."""
+
+    def __init__(self, names: list[int], groups: list[int], sets: list[np.ndarray]):
+        self.names, self.sets = names, sets
+        self.sizes = np.array([len(s) for s in sets], "i8")
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        items = np.concatenate([np.empty(0, "u8"), *sets])
+        order = np.argsort(items, kind="stable")
+        items, self.owner = items[order], owner[order]
+        first = np.append(True, items[1:] != items[:-1]) if len(items) else np.empty(0, bool)
+        self.keys, self.begin = items[first], np.flatnonzero(first)
+        self.length = np.diff(np.append(self.begin, len(items)))
+        # Ascending through all lists, so that one search probes many of them.
+        self.probe = np.cumsum(first).astype("i8") * max(len(sets), 1) - max(len(sets), 1) + self.owner
+        self.number: dict[int, int] = {}
+        self.group = np.array([self.number.setdefault(g, len(self.number)) for g in groups], "i8")
+
+    def divide_skip(self, query: np.ndarray, group: int = -1, own: int = -1) -> list[int]:
+        """Places of the sets that link with the query, but for those of group.
+        The set at place own is searched for those after it only."""
+        n, m = len(query), len(self.sets)
+        low, high = -(-4 * n // 5), 5 * n // 4
+        if not m or not n or self.sizes.max() < low or self.sizes.min() > high:
+            return []
+        least = least_overlap(n, max(low, int(self.sizes.min())))
+        at = np.searchsorted(self.keys, query)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == query]
+        if own >= 0:
+            at = at[self.length[at] > 1]
+        if len(at) < least:
+            return []
+        at = at[np.argsort(self.length[at], kind="stable")]
+        probed = min(int(least / (MU * log2(int(self.length[at[-1]]) + 1) + 1)), least - 1)
+        short, long = at[: len(at) - probed], at[len(at) - probed :]
+        lists = [self.owner[b : b + k].tolist() for b, k in zip(self.begin[short].tolist(), self.length[short].tolist(), strict=True)]
+        found, count = [], []
+        for one, same in groupby(heapq.merge(*lists)):
+            met = sum(1 for _ in same)
+            if met >= least - probed:
+                found.append(one), count.append(met)
+        found, count = np.array(found, "i8"), np.array(count, "i8")
+        sizes = self.sizes[found]
+        need = least_overlap(n, sizes)
+        alive = (sizes >= low) & (sizes <= high) & (self.group[found] != group) & (found > own) & (count + probed >= need)
+        found, count, need = found[alive], count[alive], need[alive]
+        for lo in range(0, probed, 64):  # the shortest of the long lists first
+            if not len(found):
                 break
-            left -= 1
-            k = bisect_left(entries, one)
-            count += k < len(entries) and entries[k] == one
-        if count >= want:
-            found.append(one)
-    return found
+            some = long[lo : lo + 64]
+            asked = (some[:, None] * m + found[None, :]).ravel()
+            place = np.minimum(np.searchsorted(self.probe, asked), len(self.probe) - 1)
+            count = count + (self.probe[place] == asked).reshape(len(some), -1).sum(axis=0)
+            alive = count + (probed - lo - len(some)) >= need
+            found, count, need = found[alive], count[alive], need[alive]
+        return found.tolist()
+
+    def links(self, name: int, group: int, query: np.ndarray):
+        """(name, other) for each link that joins two components."""
+        mine = self.number.setdefault(group, len(self.number))
+        yield from self._join(name, mine, self.divide_skip(query, mine))
+
+    def own_links(self):
+        """The same among the cell's own sets."""
+        for k, (name, s) in enumerate(zip(self.names, self.sets, strict=True)):
+            mine = int(self.group[k])
+            yield from self._join(name, mine, self.divide_skip(s, mine, k))
+
+    def _join(self, name: int, mine: int, places: list[int]):
+        for k in places:
+            if (theirs := int(self.group[k])) != mine:
+                yield name, self.names[k]
+                self.group[self.group == theirs] = mine
+                for g in [g for g, number in self.number.items() if number == theirs]:
+                    self.number[g] = mine
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -129,8 +178,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, common: pa.Table) -> DataFrame:
-    """shingle, salt, doc_id, n << 32 | place for each document's probing
-    prefix; salt is -1 but for common shingles."""
+    """shingle, doc_id, n, place for each document's probing prefix."""
     keys = common.column("d1").to_numpy().view("u8")
     levels = 1 + np.log2(common.column("n").to_numpy()).astype("u1")
     order = np.argsort(keys)
@@ -149,16 +197,12 @@ def _prefixes(docs: DataFrame, common: pa.Table) -> DataFrame:
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     level = np.where(keys[at] == s, levels[at], 0)
                 first = np.argsort(level, kind="stable")[:size]
-                salt = np.where(level[first] > 0, i % SALTS, -1)
-                for column, v in zip(out, (s[first].view("i8"), salt, np.full(size, i), (n << 32) + np.arange(size)), strict=True):
+                for column, v in zip(out, (s[first].view("i8"), np.full(size, i), np.full(size, n), np.arange(size)), strict=True):
                     column.append(v)
-            columns = [np.concatenate([np.empty(0, "i8"), *c]).astype("i8") for c in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0]), pa.array(columns[1], pa.int32()), *map(pa.array, columns[2:])],
-                ["shingle", "salt", "doc_id", "n_pos"],
-            )
+            columns = [np.concatenate([np.empty(0, "i8"), *c]).astype(t) for c, t in zip(out, ("i8", "i8", "i4", "i4"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "doc_id", "n", "place"])
 
-    return docs.mapInArrow(rows, "shingle long, salt int, doc_id long, n_pos long")
+    return docs.mapInArrow(rows, "shingle long, doc_id long, n int, place int")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -186,62 +230,68 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.where("doc_id is not null").mapInArrow(rows, "doc_id long, shingles binary")
 
 
-def _tested(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those that reach the overlap."""
+def _searched(routes: DataFrame, docs: DataFrame, within: bool) -> DataFrame:
+    """Links (a, b) that joined two components in a cell.
+
+    routes: name (a document), n, component, block, asks (0: a set of the block,
+    1: a query of it). A block with many queries is held by several cells.
+    """
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    per = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "block-counts")
-    dealt = stored(
-        pairs.join(per.hint("merge"), "a").select(
-            "a", "b", F.expr(f"cast(pmod(xxhash64(b), (n + {BLOCK // 2 - 1}) div {BLOCK // 2}) AS int)").alias("block")
-        ),
-        "dealt-pairs",
-    )
-    # A null b marks the query; its set goes to each block of its candidates.
-    needed = dealt.select("a", "block", "b", F.col("b").alias("doc_id")).unionByName(
-        dealt.select("a", "block").distinct().select("a", "block", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
-    )
-    needed = stored(needed, "needed-sets").join(_sets_of(docs, wanted).hint("merge"), "doc_id")
+    cost = F.greatest("n", F.lit(LEAST_COST))
+    asked = routes.where("asks = 1").groupBy("block").agg((F.floor(F.sum(cost) / ASKED) + 1).cast("int").alias("cells"))
+    dealt = routes.join(asked.hint("merge"), "block", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    cell = F.when(F.col("asks") == 1, F.array(F.expr("cast(pmod(xxhash64(name), cells) AS int)"))).otherwise(F.expr("sequence(0, cells - 1)"))
+    dealt = stored(dealt.select(F.col("name").alias("doc_id"), "component", "block", "asks", F.explode(cell).alias("cell")), "cells")
+    needed = dealt.join(_sets_of(docs, dealt.select("doc_id").distinct()).hint("merge"), "doc_id")
 
     def search(batches):
-        group, query, names, sets_ = None, [], [], []
+        where, cell, held = None, None, ([], [], [])
 
-        def links():
-            out = set()
-            for q in query:
-                need = [least_overlap(len(q), len(s)) for s in sets_]
-                out.update(names[k] for k in divide_skip(q, sets_, need))
-            return out
+        def opened():
+            made = Cell(*held)
+            return made, (list(made.own_links()) if within else [])
 
         for b in batches:
-            left, right = [], []
-            for a, block, other, raw in zip(*(b.column(c).to_pylist() for c in ("a", "block", "b", "shingles")), strict=True):
-                if (a, block) != group:
-                    if group:
-                        for x in links():
-                            left.append(group[0]), right.append(x)
-                    group, query, names, sets_ = (a, block), [], [], []
+            out = []
+            for block, k, asks, name, group, raw in zip(*(b.column(c).to_pylist() for c in ("block", "cell", "asks", "doc_id", "component", "shingles")), strict=True):
+                if (block, k) != where:
+                    if within and where and not cell:
+                        out += opened()[1]
+                    where, cell, held = (block, k), None, ([], [], [])
                 s = np.frombuffer(raw, "u8")
-                if other is None:
-                    query.append(s)
-                else:
-                    names.append(other), sets_.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-        if group:
-            right = sorted(links())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([group[0]] * len(right), pa.int64()), pa.array(right, pa.int64())], ["a", "b"]
-            )
+                if not asks:
+                    for column, v in zip(held, (name, group, s), strict=True):
+                        column.append(v)
+                    continue
+                if not cell:
+                    cell, own = opened()
+                    out += own
+                out += cell.links(name, group, s)
+            yield _pairs(out)
+        if within and where and not cell:
+            yield _pairs(opened()[1])
 
     return stored(
-        needed.select("a", "block", "b", "shingles")
-        .repartition(partitions(spark), "a", "block")
-        .sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+        needed.select("block", "cell", "asks", "doc_id", "component", "shingles")
+        .repartition(partitions(spark), "block", "cell")
+        .sortWithinPartitions("block", "cell", "asks", "doc_id")
         .mapInArrow(search, "a long, b long"),
         "links",
     )
 
 
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _blocks(rows: DataFrame, group: str) -> DataFrame:
+    """rows (class, n, group) with the block they fall in and its group's cost."""
+    cost = F.greatest("n", F.lit(LEAST_COST)).cast("long")
+    total = rows.groupBy(group).agg(F.sum(cost).alias("weight"))
+    part = F.expr(f"pmod(xxhash64(class), weight div {BLOCK} + 1)")
+    return rows.join(total.hint("merge"), group).withColumn("block", F.xxhash64(group, part))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -251,75 +301,68 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     sized = scanned.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL")
     classes = stored(sized.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class")), "classes")
-    classed = stored(
-        sized.join(classes.hint("merge"), ["d1", "d2", "n"]).select("doc_id", "class", "n").distinct(), "classed"
-    )
-    # One shuffle makes the buckets. A bucket of a common shingle is dealt over
-    # SALTS groups; each group has its own least document.
-    bucket = Window.partitionBy("shingle", "salt")
-    members = stored(
-        _prefixes(docs, common)
-        .repartition(partitions(docs.sparkSession), "shingle", "salt")
-        .select(
-            "*", F.count(F.lit(1)).over(bucket).alias("held"), F.min("doc_id").over(bucket).alias("least"),
-            *(F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")).over(bucket).alias(f"hub{k}") for k in range(HUBS)),
-        )
-        .where("held > 1 OR salt >= 0")
-        .select("shingle", "doc_id", "salt", F.shiftright("n_pos", 32).cast("int").alias("n"), F.expr("cast(n_pos & 4294967295 AS int)").alias("place"), F.array("least", *(f"hub{k}" for k in range(HUBS))).alias("hubs")),
-        "members",
+    classed = stored(sized.join(classes.hint("merge"), ["d1", "d2", "n"]).select("doc_id", "class").distinct(), "classed")
+
+    # Buckets of two documents or more, and the classes in them. Counts are
+    # summed before the shuffle; a bucket's rows are dealt anew if it is large.
+    prefixes = stored(_prefixes(docs, common), "prefixes")
+    buckets = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("least")).where("held > 1").drop("held")
+    members = prefixes.join(buckets.hint("merge"), "shingle").join(
+        classes.select(F.col("class").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"
     )
-    heads = members.where("salt >= 0").groupBy("shingle", "salt").agg(F.min("doc_id").alias("doc_id"))
-    firsts = heads.groupBy("shingle").agg(F.min("doc_id").alias("least"))
-    heads = heads.join(firsts.hint("merge"), "shingle").select("least", "doc_id")
-
-    # Star pairs: each bucket's classes against its hubs.
-    n_of = classed.select("doc_id", F.col("class").alias("b"), F.col("n").alias("nb"))
-    star = members.select(F.explode(F.array_distinct("hubs")).alias("least"), "doc_id").unionByName(heads).where("doc_id <> least")
-    star = stored(star.groupBy("least", "doc_id").agg(F.count(F.lit(1)).alias("shared")), "star-counts")
-    star = star.join(n_of.hint("merge"), "doc_id").groupBy("least", "b", "nb").agg(F.max("shared").alias("shared"))
-    star = stored(star, "star-classes").join(
-        n_of.select(F.col("doc_id").alias("least"), F.col("b").alias("a"), F.col("nb").alias("na")).hint("merge"), "least"
+    members = stored(members.select("shingle", F.col("doc_id").alias("class"), "n", "place", "least"), "members")
+
+    # First cells: clusters around the least document of most buckets.
+    shared = members.where("class <> least").groupBy("class", "n", "least").agg(F.count(F.lit(1)).alias("shared"))
+    best = shared.groupBy("class", "n").agg(
+        F.min_by("least", F.struct(-F.col("shared"), F.col("least"))).alias("cluster"), F.max("shared").alias("shared")
     )
-    star = stored(
-        star.where(f"a <> b AND {_may_link('na', 'nb', 'shared')}")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct(),
-        "star-pairs",
+    sizes = classes.groupBy(F.col("class").alias("cluster")).agg(F.max("n").alias("hub_n"))
+    near = best.join(sizes.hint("merge"), "cluster").where(_may_link("n", "hub_n", "shared")).select("class", "n", "cluster", "hub_n")
+    placed = stored(_blocks(near, "cluster"), "first-blocks")
+    first = placed.select(F.col("class").alias("name"), "n", "block", F.lit(0).alias("asks"))
+    picked = placed.groupBy("cluster").agg(
+        F.array_distinct(F.array("cluster", *(_far(F.min(_far(F.col("class"), k)), k) for k in range(HUBS)))).alias("hubs"), F.max("hub_n").alias("n")
     )
+    asks = placed.select("cluster", "block").distinct().join(picked.hint("merge"), "cluster")
+    first = first.unionByName(asks.select(F.explode("hubs").alias("name"), "n", "block", F.lit(1).alias("asks")))
+    found = _searched(first.withColumn("component", F.col("name")), docs, within=True)
     same_id = classed.where("doc_id <> class").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
-    found = _tested(star, docs).unionByName(same_id.where("a <> b").select("a", "b"))
-    stars = stored(components(found), "star-components")
-
-    # What is left: pairs of different components that share enough buckets.
-    # Every bucket that holds such a pair is mixed, so the counts are whole.
-    rest = members.select("shingle", "doc_id", "n", "place")
-    rest = rest.join(classed.select("doc_id", "class").hint("merge"), "doc_id").select("shingle", "class", "n", "place").distinct()
-    rest = stored(rest, "bucket-classes").join(stars.withColumnRenamed("node", "class").hint("merge"), "class", "left")
-    rest = stored(rest.withColumn("component", F.coalesce("component", "class")), "bucket-components")
-    mixed = stored(
-        rest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle"),
-        "mixed-buckets",
-    )
+    known = stored(components(found.unionByName(same_id.where("a <> b").select("a", "b"))), "first-components")
+
+    # Second cells: buckets that hold two components.
+    rest = members.select("shingle", "class", "n", "place").join(known.withColumnRenamed("node", "class").hint("merge"), "class", "left")
+    rest = stored(rest.withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "class")), "bucket-components")
+    mixed = rest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     rest = stored(rest.join(mixed.hint("merge"), "shingle"), "mixed-members")
-    # The first shingle that a linked pair shares has T of both sets from it on.
-    x = rest.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("class", "n", "place", "component"))).where("x_place <= x_n - (8 * x_n + 8) div 9")
-    y = rest.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("class", "n", "place", "component")))
-    pairs = x.hint("merge").join(y, "shingle").where(
-        "(x_n < y_n OR x_n = y_n AND x_class < y_class) AND x_component <> y_component AND 5 * x_n >= 4 * y_n "
-        "AND least(x_n - x_place, y_n - y_place) >= (4 * (x_n + y_n) + 8) div 9"
+    # A component's classes share blocks; single ones are put beside those of
+    # their cluster, else by themselves.
+    who = rest.select("class", "n", "component", "linked").distinct().join(best.select("class", "n", "cluster").hint("merge"), ["class", "n"], "left")
+    who = who.withColumn("group", F.when(F.col("linked"), F.xxhash64(F.lit(1), "component")).otherwise(F.xxhash64(F.lit(0), F.coalesce("cluster", "class"))))
+    who = stored(_blocks(who, "group").select("class", "n", "component", "block", "weight"), "second-blocks")
+    rest = stored(rest.select("shingle", "class", "n", "place").join(who.hint("merge"), ["class", "n"]), "placed-members")
+    held = rest.groupBy("shingle", "block", "weight").agg(
+        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("place")).alias("room"),
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
     )
-    pairs = stored(pairs.select("x_class", "y_class").distinct(), "near-pairs")
-    prefix = stored(rest.groupBy("class", "n").agg(F.collect_list("shingle").alias("prefix")), "mixed-prefixes")
-    for side in ("x", "y"):
-        held = prefix.select(*(F.col(c).alias(f"{side}_{c}") for c in prefix.columns))
-        pairs = pairs.join(held.hint("merge"), f"{side}_class")
-    pairs = pairs.withColumn("shared", F.size(F.array_intersect("x_prefix", "y_prefix"))).where(_may_link("x_n", "y_n", "shared"))
-    pairs = stored(
-        pairs.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
-        .join(star.hint("merge"), ["a", "b"], "left_anti"),
-        "cross-pairs",
+    held = held.select("shingle", F.struct(*(c for c in held.columns if c != "shingle")).alias("h"))
+    # Sizes in a block that could link with n lie between these two; of two that
+    # link, the first shared shingle leaves T of both sets behind it.
+    low, high = "greatest(h.n_lo, (4 * n + 4) div 5)", "least(h.n_hi, 5 * n div 4)"
+    met = rest.hint("merge").join(held, "shingle").where(
+        "(h.weight > weight OR h.weight = weight AND h.block >= block) AND NOT (h.lo = component AND h.hi = component) "
+        "AND 5 * h.n_hi >= 4 * n AND 5 * n >= 4 * h.n_lo"
     )
-    whole = stored(components(found.unionByName(_tested(pairs, docs))), "components")
+    routes = met.groupBy("class", "n", "component", F.col("h.block").alias("block")).agg(
+        F.count(F.lit(1)).alias("shared"),
+        F.min(F.expr(f"least({_least_shared('n', low)}, {_least_shared('n', high)}) - 1")).alias("needed"),
+        F.max(F.expr(f"least(n - place, h.room) >= (4 * (n + {low}) + 8) div 9")).alias("early"),
+    )
+    routes = stored(routes.where("early AND shared >= needed").select(F.col("class").alias("name"), "n", "component", "block", F.lit(1).alias("asks")), "routes")
+    second = who.join(routes.select("block").distinct().hint("merge"), "block", "left_semi")
+    second = routes.unionByName(second.select(F.col("class").alias("name"), "n", "component", "block", F.lit(0).alias("asks")))
+    more = _searched(second, docs, within=False)
+    whole = stored(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
 
     by_id = classed.groupBy("doc_id").agg(F.min("class").alias("class"))
     named = by_id.join(whole.withColumnRenamed("node", "class").hint("merge"), "class", "left").select(
@@ -334,12 +377,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
 
+def _far(doc_id: Column, k: int) -> Column:
+    """An order of ids of its own for each k (its own inverse)."""
+    return doc_id.bitwiseXOR(F.lit((k + 1) * 0x5DEECE66D2B7E151 & (1 << 62) - 1))
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's least one."""
-    kept = jaccard_components(docs).where("doc_id = component_id OR doc_id IS NULL").select(
-        F.col("doc_id").alias("_id")
-    ).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    """The rows of docs whose doc_id is their component's least one, with docs'
+    own columns. Rows without doc_id stay; of rows repeated with one doc_id all
+    stay or none."""
+    kept = jaccard_components(docs).where("doc_id = component_id OR doc_id IS NULL")
+    name = unused(docs, "id")
+    kept = kept.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def op8_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:

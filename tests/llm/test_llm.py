@@ -145,12 +145,47 @@ def test_jaccard_components(docs, empty):
 
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        query = np.unique(rng.integers(0, 200, 60)).astype("u8")
-        sets = [np.unique(rng.integers(0, 200, rng.integers(1, 120))).astype("u8") for _ in range(20)]
-        need = [int(rng.integers(1, 40)) for _ in sets]
-        want = [k for k, s in enumerate(sets) if len(np.intersect1d(query, s)) >= need[k]]
-        assert sorted(jaccard_join.divide_skip(query, sets, need)) == want
+    for _ in range(20):
+        base = rng.integers(0, 1 << 40, 80).astype("u8")
+        sets = [np.unique(np.where(rng.random(80) < rng.random() / 8, rng.integers(0, 300, 80).astype("u8"), base)) for _ in range(60)]
+        sets = [s[: rng.integers(1, 80)] if k % 5 == 0 else s for k, s in enumerate(sets)]
+        cell = jaccard_join.Cell(list(range(60)), list(range(60)), sets)
+        for k, query in enumerate(sets):
+            want = [j for j, s in enumerate(sets) if 100 * len(np.intersect1d(query, s)) >= 80 * len(np.union1d(query, s))]
+            assert cell.divide_skip(query) == want
+            assert cell.divide_skip(query, k, k) == [j for j in want if j > k]
+
+
+def test_jaccard_components_of_a_large_near_group(spark):
+    """Several hundred texts around one, some link, some nearly; and unlike ones
+    with one text's passage in common."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    passage = " ".join(f"p{k}" for k in range(9))
+    rows = []
+    for i in range(420):
+        words = [f"v{rng.randint(0, 40)}" if rng.random() < rng.choice((0.005, 0.02, 0.04)) else w for w in base]
+        rows.append((1000 - i, " ".join(words[: 60 - rng.randint(0, 6)])))
+    rows += [(2000 + i, f"{passage} " + " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 9)))) for i in range(80)]
+    want = _linked(dict(rows))
+    assert 5 < len({c for _, c in want.values()}) < 450
+    for block in (2_000, jaccard_join.BLOCK):
+        try:
+            jaccard_join.BLOCK, kept = block, jaccard_join.BLOCK
+            found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        finally:
+            jaccard_join.BLOCK = kept
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+
+
+def test_keep_one_of_each(spark, docs):
+    """Own columns called as the helper's; nulls; repeated rows."""
+    want = _linked({r[0]: r[1] for r in _rows() if r[0] is not None})
+    named = docs.withColumn("id", F.lit(1)).withColumn("id_", F.lit(2))
+    kept = jaccard_join.keep_one_of_each(named)
+    assert kept.columns == named.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert Counter(ids) == Counter(r[0] for r in _rows() if r[0] is None or want[r[0]][1] == r[0])
 
 
 def test_packing(docs, empty):
