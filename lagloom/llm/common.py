@@ -12,11 +12,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only
-    where the session names none (single-machine tests)."""
+    """The folder named by spark.checkpoint.dir; a folder of our own only where
+    the session names none and runs on this machine alone (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -40,6 +42,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """stored() for the tables of one operator that nothing reads once its
+    result is written: they are removed when the block ends."""
+
+    def __init__(self):
+        self.paths = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(df.sparkSession, name)
+        self.paths.append((df.sparkSession, path))
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_):
+        for spark, path in self.paths:
+            removed(spark, path)
+        self.paths = []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def slices(batches, rows: int = 2048):
+    """Arrow batches of at most so many rows, so that what is made of one stays small."""
+    for b in batches:
+        for at in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(at, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

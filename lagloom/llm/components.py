@@ -5,32 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, stored
 
 
-def _lowest(pairs: DataFrame, name: str) -> DataFrame:
+def _lowest(pairs: DataFrame, name: str, stored) -> DataFrame:
     """u and the least v beside it. Written out, so that the join that follows
     can split a hub's rows."""
     return stored(pairs.groupBy("u").agg(F.min("v").alias("m")), name)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, component (least node reachable) for every node of edges (a, b).
+    """node, component (least node reachable) for every node of edges (a, b),
+    written out.
 
     Each round hangs every node's larger neighbours on its least neighbour
     (large star), then its smaller ones (small star), until nothing changes: a
     number of rounds near the logarithm of the longest path.
     """
+    with Scratch() as scratch:
+        return stored(_components(edges, most_rounds, scratch), "components")
+
+
+def _components(edges: DataFrame, most_rounds: int, stored) -> DataFrame:
     links = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links"
     )
     mark = None
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _lowest(both, "large-star").withColumn("m", F.least("u", "m"))
+        low = _lowest(both, "large-star", stored).withColumn("m", F.least("u", "m"))
         large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u > v").distinct(), "large-links")
-        low = _lowest(large, "small-star")
+        low = _lowest(large, "small-star", stored)
         hung = large.join(low.hint("merge"), "u")
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))

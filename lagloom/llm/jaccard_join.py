@@ -39,16 +39,18 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, stored, unused
+from .common import Scratch, documents, partitions, slices, stored, unused
 from .components import components
 from .shingles import shingle_sets
 
 #: Shingles in at least this share of a batch's documents are ordered last;
 #: of them at most MOST_COMMON, the commonest. Results don't depend on either.
 COMMON_SHARE, COMMON_LEAST, MOST_COMMON = 1 / 4000, 3, 1 << 19
+#: Rows of a common shingle in one group of its bucket.
+SALTED = 1 << 12
 #: Cost of a block's sets and of the queries one cell answers (a set costs its
 #: size, LEAST_COST at least; a larger set is a block by itself), slots of the
 #: bitmap of searched documents (a full bitmap costs time, not links),
@@ -153,7 +155,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     """Per document its set's size and digest; per batch its common shingles."""
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             sizes, one, two, sets = [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist()):
                 d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "i8")
@@ -178,31 +180,37 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, common: pa.Table) -> DataFrame:
-    """shingle, doc_id, n, place for each document's probing prefix."""
+    """shingle, salt, doc_id, n, place for each document's probing prefix. A
+    shingle that many documents hold has several salts, by its count; any other
+    has salt -1 and is held by a small share of the documents: at most
+    COMMON_SHARE of them (or two in each slice), or fewer than each of
+    MOST_COMMON others."""
     keys = common.column("d1").to_numpy().view("u8")
-    levels = 1 + np.log2(common.column("n").to_numpy()).astype("u1")
+    counts = common.column("n").to_numpy()
     order = np.argsort(keys)
-    keys, levels = keys[order], levels[order]
+    keys, levels, salts = keys[order], 1 + np.log2(counts[order]).astype("u1"), counts[order] // SALTED
 
     def rows(batches):
-        for b in batches:
-            out = [[], [], [], []]
+        for b in slices(batches):
+            out = [[], [], [], [], []]
             for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist()), strict=True):
                 n = len(s)
                 if not n or i is None:
                     continue
                 size = n - (4 * n + 4) // 5 + 1
-                level = np.zeros(n, "u1")
+                level, groups = np.zeros(n, "u1"), np.zeros(n, "i8")
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    level = np.where(keys[at] == s, levels[at], 0)
+                    known = keys[at] == s
+                    level, groups = np.where(known, levels[at], 0), np.where(known, salts[at], 0)
                 first = np.argsort(level, kind="stable")[:size]
-                for column, v in zip(out, (s[first].view("i8"), np.full(size, i), np.full(size, n), np.arange(size)), strict=True):
+                salt = np.where(groups[first] > 0, (i * 0x9E3779B1 >> 8) % (groups[first] + 1), -1)
+                for column, v in zip(out, (s[first].view("i8"), salt, np.full(size, i), np.full(size, n), np.arange(size)), strict=True):
                     column.append(v)
-            columns = [np.concatenate([np.empty(0, "i8"), *c]).astype(t) for c, t in zip(out, ("i8", "i8", "i4", "i4"), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "doc_id", "n", "place"])
+            columns = [np.concatenate([np.empty(0, "i8"), *c]).astype(t) for c, t in zip(out, ("i8", "i4", "i8", "i4", "i4"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "salt", "doc_id", "n", "place"])
 
-    return docs.mapInArrow(rows, "shingle long, doc_id long, n int, place int")
+    return docs.mapInArrow(rows, "shingle long, salt int, doc_id long, n int, place int")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -220,7 +228,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text", F.expr(f"pmod(xxhash64(doc_id), {SLOTS})").alias("slot"))
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             slots = b.column("slot").to_numpy()
             near = (bits[slots // 32] >> (slots % 32).astype("u4")) & 1 == 1
             some = b.filter(pa.array(near))
@@ -230,7 +238,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.where("doc_id is not null").mapInArrow(rows, "doc_id long, shingles binary")
 
 
-def _searched(routes: DataFrame, docs: DataFrame, within: bool) -> DataFrame:
+def _searched(routes: DataFrame, docs: DataFrame, within: bool, stored) -> DataFrame:
     """Links (a, b) that joined two components in a cell.
 
     routes: name (a document), n, component, block, asks (0: a set of the block,
@@ -251,7 +259,7 @@ def _searched(routes: DataFrame, docs: DataFrame, within: bool) -> DataFrame:
             made = Cell(*held)
             return made, (list(made.own_links()) if within else [])
 
-        for b in batches:
+        for b in slices(batches):
             out = []
             for block, k, asks, name, group, raw in zip(*(b.column(c).to_pylist() for c in ("block", "cell", "asks", "doc_id", "component", "shingles")), strict=True):
                 if (block, k) != where:
@@ -294,7 +302,12 @@ def _blocks(rows: DataFrame, group: str) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with Scratch() as scratch:
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        return stored(_components_of(docs, scratch), "jaccard-components")
+
+
+def _components_of(docs: DataFrame, stored) -> DataFrame:
     scanned = stored(_scan(docs), "scan")
     common = (
         scanned.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST_COMMON).toArrow()
@@ -303,20 +316,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = stored(sized.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class")), "classes")
     classed = stored(sized.join(classes.hint("merge"), ["d1", "d2", "n"]).select("doc_id", "class").distinct(), "classed")
 
-    # Buckets of two documents or more, and the classes in them. Counts are
-    # summed before the shuffle; a bucket's rows are dealt anew if it is large.
-    prefixes = stored(_prefixes(docs, common), "prefixes")
-    buckets = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("least")).where("held > 1").drop("held")
-    members = prefixes.join(buckets.hint("merge"), "shingle").join(
-        classes.select(F.col("class").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"
-    )
-    members = stored(members.select("shingle", F.col("doc_id").alias("class"), "n", "place", "least"), "members")
+    # One shuffle makes the buckets; a common shingle's is dealt over groups.
+    bucket = Window.partitionBy("shingle", "salt")
+    members = (
+        _prefixes(docs, common).repartition(partitions(docs.sparkSession), "shingle", "salt")
+        .select("*", F.count(F.lit(1)).over(bucket).alias("held"), F.min("doc_id").over(bucket).alias("least"))
+        .where("held > 1 OR salt >= 0")
+        .join(classes.select(F.col("class").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    )
+    members = stored(members.select("shingle", "salt", F.col("doc_id").alias("class"), "n", "place", "least"), "members")
 
     # First cells: clusters around the least document of most buckets.
-    shared = members.where("class <> least").groupBy("class", "n", "least").agg(F.count(F.lit(1)).alias("shared"))
-    best = shared.groupBy("class", "n").agg(
-        F.min_by("least", F.struct(-F.col("shared"), F.col("least"))).alias("cluster"), F.max("shared").alias("shared")
+    dealt = members.where("salt >= 0")
+    tops = dealt.groupBy("shingle").agg(F.min("least").alias("least"))
+    whole = members.where("salt < 0").select("class", "n", "least").unionByName(
+        dealt.select("shingle", "class", "n").join(tops.hint("merge"), "shingle").select("class", "n", "least")
     )
+    shared = whole.groupBy("class", "n", "least").agg(F.count(F.lit(1)).alias("shared"))
+    other = F.col("class") != F.col("least")
+    best = stored(
+        shared.groupBy("class", "n").agg(
+            F.min_by(F.when(other, F.struct("least", "shared")), F.struct(~other, -F.col("shared"), F.col("least"))).alias("b")
+        ).select("class", "n", F.col("b.least").alias("cluster"), F.col("b.shared").alias("shared")),
+        "clusters",
+    )
     sizes = classes.groupBy(F.col("class").alias("cluster")).agg(F.max("n").alias("hub_n"))
     near = best.join(sizes.hint("merge"), "cluster").where(_may_link("n", "hub_n", "shared")).select("class", "n", "cluster", "hub_n")
     placed = stored(_blocks(near, "cluster"), "first-blocks")
@@ -326,25 +349,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     asks = placed.select("cluster", "block").distinct().join(picked.hint("merge"), "cluster")
     first = first.unionByName(asks.select(F.explode("hubs").alias("name"), "n", "block", F.lit(1).alias("asks")))
-    found = _searched(first.withColumn("component", F.col("name")), docs, within=True)
+    found = _searched(first.withColumn("component", F.col("name")), docs, True, stored)
     same_id = classed.where("doc_id <> class").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
-    known = stored(components(found.unionByName(same_id.where("a <> b").select("a", "b"))), "first-components")
-
-    # Second cells: buckets that hold two components.
-    rest = members.select("shingle", "class", "n", "place").join(known.withColumnRenamed("node", "class").hint("merge"), "class", "left")
-    rest = stored(rest.withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "class")), "bucket-components")
+    known = components(found.unionByName(same_id.where("a <> b").select("a", "b")))
+
+    # Second cells: buckets that hold two components. A component's classes
+    # share blocks; single ones are put beside those of their cluster.
+    who = best.join(known.withColumnRenamed("node", "class").hint("merge"), "class", "left")
+    alone = F.xxhash64(F.lit(0), F.coalesce("cluster", "class"))
+    who = who.withColumn("group", F.when(F.col("component").isNull(), alone).otherwise(F.xxhash64(F.lit(1), "component")))
+    who = _blocks(who.withColumn("component", F.coalesce("component", "class")), "group").select("class", "n", "component", "block", "weight")
+    who = stored(who, "second-blocks")
+    rest = stored(members.select("shingle", "class", "n", "place").join(who.hint("merge"), ["class", "n"]), "placed-members")
     mixed = rest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     rest = stored(rest.join(mixed.hint("merge"), "shingle"), "mixed-members")
-    # A component's classes share blocks; single ones are put beside those of
-    # their cluster, else by themselves.
-    who = rest.select("class", "n", "component", "linked").distinct().join(best.select("class", "n", "cluster").hint("merge"), ["class", "n"], "left")
-    who = who.withColumn("group", F.when(F.col("linked"), F.xxhash64(F.lit(1), "component")).otherwise(F.xxhash64(F.lit(0), F.coalesce("cluster", "class"))))
-    who = stored(_blocks(who, "group").select("class", "n", "component", "block", "weight"), "second-blocks")
-    rest = stored(rest.select("shingle", "class", "n", "place").join(who.hint("merge"), ["class", "n"]), "placed-members")
     held = rest.groupBy("shingle", "block", "weight").agg(
         F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("place")).alias("room"),
         F.min("component").alias("lo"), F.max("component").alias("hi"),
-    )
+    )
     held = held.select("shingle", F.struct(*(c for c in held.columns if c != "shingle")).alias("h"))
     # Sizes in a block that could link with n lie between these two; of two that
     # link, the first shared shingle leaves T of both sets behind it.
@@ -359,20 +381,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         F.max(F.expr(f"least(n - place, h.room) >= (4 * (n + {low}) + 8) div 9")).alias("early"),
     )
     routes = stored(routes.where("early AND shared >= needed").select(F.col("class").alias("name"), "n", "component", "block", F.lit(1).alias("asks")), "routes")
-    second = who.join(routes.select("block").distinct().hint("merge"), "block", "left_semi")
+    second = who.join(rest.select("class", "n").distinct().hint("merge"), ["class", "n"], "left_semi")
+    second = second.join(routes.select("block").distinct().hint("merge"), "block", "left_semi")
     second = routes.unionByName(second.select(F.col("class").alias("name"), "n", "component", "block", F.lit(0).alias("asks")))
-    more = _searched(second, docs, within=False)
-    whole = stored(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
+    more = _searched(second, docs, False, stored)
+    whole = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     by_id = classed.groupBy("doc_id").agg(F.min("class").alias("class"))
     named = by_id.join(whole.withColumnRenamed("node", "class").hint("merge"), "class", "left").select(
         "doc_id", F.coalesce("component", "class").alias("component")
     )
-    named = stored(named, "named")
     return (
         scanned.where("kind = 0")
         .select("doc_id", F.col("n").alias("n_shingles"))
-        .join(named.hint("merge"), "doc_id", "left")
+        .join(stored(named, "named").hint("merge"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     )
 
