@@ -54,8 +54,9 @@ SALTED = 1 << 12
 #: Cost of a block's sets and of the queries one cell answers (a set costs its
 #: size, LEAST_COST at least; a larger set is a block by itself), slots of the
 #: bitmap of searched documents (a full bitmap costs time, not links),
-#: DivideSkip's cost ratio, and a cluster's hubs beside its least document.
-BLOCK, ASKED, LEAST_COST, SLOTS, MU, HUBS = 1 << 18, 1 << 20, 256, 1 << 22, 0.01, 3
+#: DivideSkip's cost ratio, a cluster's hubs beside its least document, and the
+#: ratio of sizes within a block of the second cells.
+BLOCK, ASKED, LEAST_COST, SLOTS, MU, HUBS, BAND = 1 << 18, 1 << 20, 256, 1 << 22, 0.01, 3, 1.1
 
 
 def least_overlap(n, m):
@@ -353,11 +354,12 @@ def _components_of(docs: DataFrame, stored) -> DataFrame:
     same_id = classed.where("doc_id <> class").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
     known = components(found.unionByName(same_id.where("a <> b").select("a", "b")))
 
-    # Second cells: buckets that hold two components. A component's classes
-    # share blocks; single ones are put beside those of their cluster.
+    # Second cells: buckets that hold two components. A component's classes of
+    # like sizes share blocks; single ones are put beside those of their cluster.
     who = best.join(known.withColumnRenamed("node", "class").hint("merge"), "class", "left")
-    alone = F.xxhash64(F.lit(0), F.coalesce("cluster", "class"))
-    who = who.withColumn("group", F.when(F.col("component").isNull(), alone).otherwise(F.xxhash64(F.lit(1), "component")))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))
+    alone = F.xxhash64(F.lit(0), F.coalesce("cluster", "class"), band)
+    who = who.withColumn("group", F.when(F.col("component").isNull(), alone).otherwise(F.xxhash64(F.lit(1), "component", band)))
     who = _blocks(who.withColumn("component", F.coalesce("component", "class")), "group").select("class", "n", "component", "block", "weight")
     who = stored(who, "second-blocks")
     rest = stored(members.select("shingle", "class", "n", "place").join(who.hint("merge"), ["class", "n"]), "placed-members")
