@@ -11,7 +11,10 @@ Defined results
 * a text that an earlier batch indexed keeps that batch's document: all of its
   rows in the new batch are dropped. group_size counts the batch's rows.
 * an empty batch gives an empty result and appends nothing.
-* other columns of the input are ignored, whatever their names.
+* a batch that is added again under its name (after a driver was lost, say)
+  gives the same verdicts again and appends nothing.
+* other columns of the input are ignored, whatever their names;
+  ``keep_last_copies`` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, partitions, stored
+from .common import documents, fresh_path, partitions, stored, unused
 
 #: A digest held by more than 1/HOT_SHARE of a batch's rows is joined by
 #: broadcast; there can be at most HOT_SHARE such digests.
@@ -33,7 +36,8 @@ class DigestIndex:
     """A bucketed, sorted table of the digests kept so far.
 
     ``path`` may name an existing index (its ``buckets`` must be as at its
-    creation); a new session attaches to it by the same call.
+    creation); a new session attaches to it by the same call. ``close`` takes
+    the table's name out of the catalog and leaves its files.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
@@ -49,10 +53,21 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
         """Index a batch; one row per input row: doc_id, keep_id, group_size,
-        kept, text_sha256, row_no (tells repeated rows apart)."""
-        batch = uuid.uuid4().hex
+        kept, text_sha256, row_no (tells repeated rows apart). The digests are
+        appended before the caller has the result: a job that may be run again
+        must name its batch, and gets the same result then."""
+        batch = batch or uuid.uuid4().hex
         rows = stored(
             docs.select(
                 F.col(doc_id).cast("long").alias("doc_id"),
@@ -107,21 +122,24 @@ def keep_last_copies(docs: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    stays = DigestIndex(docs.sparkSession).add(docs).where("kept").select(
-        F.coalesce("doc_id", F.lit(_LOWEST)).alias("_id"), F.col("text_sha256").alias("_sha")
-    )
+    key, sha, n = (unused(docs, x) for x in ("key", "sha", "place"))
+    with DigestIndex(docs.sparkSession) as index:
+        stays = index.add(docs).where("kept").select(
+            F.coalesce("doc_id", F.lit(_LOWEST)).alias(key), F.col("text_sha256").alias(sha)
+        )
     named = docs.select(
         "*",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("_id"),
-        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_sha"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias(key),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias(sha),
     )
-    kept = named.join(stays.hint("merge"), ["_id", "_sha"], "left_semi")
-    once = Window.partitionBy("_id", "_sha").orderBy("_id")
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    kept = named.join(stays.hint("merge"), [key, sha], "left_semi")
+    once = Window.partitionBy(key, sha).orderBy(key)
+    return kept.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).drop(key, sha, n)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DigestIndex(spark).add(documents(spark, sf_dir)).drop("row_no")
+    with DigestIndex(spark) as index:
+        return index.add(documents(spark, sf_dir)).drop("row_no")
 
 
 OP5_SQL = """

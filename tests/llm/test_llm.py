@@ -312,3 +312,105 @@ def test_context_and_pieces_are_whole(spark):
     values = ["v" * n for n in (8, 256, 257, 263, 264, 519, 520, 1000)]
     cut = spark.createDataFrame([(v,) for v in values], "v string").select("v", secret_scan._pieces(F.col("v")).alias("p")).collect()
     assert all("".join(r["p"]) == r["v"] and min(map(len, r["p"])) >= 8 for r in cut)
+
+
+def test_digest_index_adds_a_named_batch_once(spark, docs):
+    """A job that is run again, its digests appended already, drops nothing."""
+    tables = lambda: {t.name for t in spark.catalog.listTables()}
+    path, before = None, tables()
+    seen = []
+    for _ in range(2):
+        with exact_dedup.DigestIndex(spark, path, 3) as index:
+            path = index.path
+            seen.append(sorted((r["text_sha256"], r["kept"], r["keep_id"] or -1) for r in index.add(docs, batch="one").collect()))
+    assert seen[0] == seen[1] and any(kept for _, kept, _ in seen[0])
+    with exact_dedup.DigestIndex(spark, path, 3) as index:
+        assert not any(r["kept"] for r in index.add(docs, batch="two").collect())
+    assert tables() == before
+
+
+def test_stages_keep_own_columns(spark, docs, empty):
+    """Columns called as the helpers' stay as they are, and empty tables pass."""
+    names = ["key", "sha", "place", "_found", "_gaps", "_path", "_scores", "_before", "own0", "toxic_score"]
+    forest = secret_scan.SecretForest.train(labelled_findings(spark, 600), trees=4, depth=3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    stages = [exact_dedup.keep_last_copies, lambda d: secret_scan.redact(d, forest), lambda d: toxicity.reject_toxic(d, labels)]
+    for stage in stages:
+        named = docs.select("*", *(F.lit(7).alias(n) for n in names))
+        out = stage(named)
+        assert out.columns == named.columns and out.schema["toxic_score"].dataType == named.schema["toxic_score"].dataType
+        rows = out.collect()
+        assert rows and all(r[n] == 7 for r in rows for n in names)
+        assert stage(empty).count() == 0
+
+
+def test_longest_prefix(docs):
+    kept = token_counts.prefix_counts(docs.where("doc_id IN (3, 4, 7, 8)"))
+    got = {r["doc_id"]: r["bytes"] for r in kept.select("doc_id", token_counts.longest_prefix(F.col("prefix_counts"), F.lit(100)).alias("bytes")).collect()}
+    texts = {r[0]: r[1] or "" for r in _rows()}
+    for k, n in got.items():
+        raw = texts[k].encode()
+        assert len(_ids(raw[:n].decode())) <= 100 and (n == len(raw) or len(_ids(raw[: n + 1].decode())) > 100)
+
+
+def _fewest(items, capacity):
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(bins)
+            return
+        for room in set(bins):
+            if room >= items[k]:
+                rest = list(bins)
+                rest[rest.index(room)] -= items[k]
+                go(k + 1, rest)
+        go(k + 1, [*bins, capacity - items[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bin_completion_equals_brute_force():
+    for seed in range(80):
+        rng = random.Random(seed)
+        capacity = rng.randint(10, 60)
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(0, 10))]
+        plan = packing.complete_bins(dict(Counter(items)), capacity)
+        used = Counter()
+        for lengths, n in plan:
+            assert sum(lengths) <= capacity
+            for x in lengths:
+                used[x] += n
+        assert used == Counter(items) and sum(n for _, n in plan) == (_fewest(items, capacity) if items else 0)
+        assert packing.lower_bound(dict(Counter(items)), capacity) <= sum(n for _, n in plan)
+    # Best-fit takes 43 sequences for these 40 exact triplets.
+    rng, items = random.Random(4), []
+    for _ in range(40):
+        a, b = (x := rng.randint(520, 1000)), rng.randint(520, min(1000, 2048 - x - 300))
+        items += [a, b, 2048 - a - b]
+    assert sum(n for _, n in packing.complete_bins(dict(Counter(items)))) == 40
+
+
+def test_packed_pieces_hold_the_ids(docs):
+    rows = {}
+    for r in packing.pack(docs.where("doc_id IS NOT NULL").distinct(), capacity=64).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    for x in _rows():
+        if x[0] is None:
+            continue
+        ids, at = np.append(_ids(x[1]), 0).astype("<u4"), 0
+        for k, r in enumerate(sorted(rows[x[0]], key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"], r["ids_crc32"]) == (k, at, zlib.crc32(ids[at : at + r["length"]].tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+
+
+def test_top_k_leaves_out_the_own_row_only(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.5]), (5, [0.5, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(table, F.col("vec_id") % 100 == 0).collect())
+    assert got == [(0, 1, 0, 1024 * 1024), (0, 1, 0, 1024 * 1024), (0, 2, 5, 1024 * 512), (0, 2, 5, 1024 * 512)]
+    assert topk.top_k(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
