@@ -260,7 +260,9 @@ def scan(docs: DataFrame, forest: SecretForest, path: str | None = "source", thr
 def redact(docs: DataFrame, forest: SecretForest, path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """docs, each secret replaced by MASK; n_chars follows where there is one."""
     columns = docs.columns
-    found = _judged(docs, forest, path)
+    # Own columns are numbered meanwhile, so that none is called as a helper.
+    held = {c: "text" if c == "text" else f"own{k}" for k, c in enumerate(columns)}
+    found = _judged(docs.toDF(*held.values()), forest, held[path] if path else None)
     parts = F.zip_with(
         F.zip_with("_found", "_scores", lambda c, s: F.when(s >= threshold, F.lit(MASK)).otherwise(c)),
         F.slice("_gaps", F.lit(2), F.greatest(F.size("_gaps") - 1, F.lit(0))),
@@ -270,8 +272,9 @@ def redact(docs: DataFrame, forest: SecretForest, path: str | None = "source", t
     clean = F.when(any_secret, F.concat(F.get("_gaps", F.lit(0)), F.array_join(parts, ""))).otherwise(F.col("text"))
     out = found.withColumn("text", clean)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(any_secret, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        n = F.when(any_secret, F.length("text")).otherwise(F.col(held["n_chars"]))
+        out = out.withColumn(held["n_chars"], n.cast(docs.schema["n_chars"].dataType))
+    return out.select(*held.values()).toDF(*columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

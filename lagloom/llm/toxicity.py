@@ -11,10 +11,12 @@ the first in a hashed order of doc_id, and only the FEATURES buckets that tell
 most about the label in that sample; the machine itself is trained on those
 bounded rows. Scoring reads every whole text.
 
-Defined results: null and empty texts hold no terms and get the score of the
-bias alone; a document without label is scored but not trained on; repeated
+Defined results: null and empty texts hold one term, that of their length 0; a
+text is read whole, however long; a document without label is scored but not trained on; repeated
 labels of a document count once (the largest); without any usable label, or
-with labels all alike, every score is the share of toxic labels (0 if none).
+with labels all alike, every score is the share of toxic labels (0 if none);
+repeated rows are scored one by one; an empty table gives an empty result; other
+columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, stored
+from .common import documents, stored, unused
 from .tokens import Remembered
 
 BUCKETS, FEATURES, FACTORS = 1 << 20, 4096, 6
@@ -168,11 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     return machine.fit([np.array(r["x"], "i8") for r in rows], np.array([r["y"] for r in rows], "f8"))
 
 
-def scored(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
-    """docs with toxic_score beside its columns (an own column of that name is
-    replaced)."""
-    docs = docs.drop("toxic_score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
+def scored(docs: DataFrame, machine: FactorizationMachine, name: str = "toxic_score") -> DataFrame:
+    """docs with the score, under a name it doesn't have, beside its columns."""
+    if unused(docs, name) != name:
+        raise ValueError(f"the documents have a column {name} already")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def rows(batches):
         places = lambda *terms: tuple(machine.place.get(_bucket(t), -1) for t in terms)
@@ -190,7 +192,7 @@ def scored(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
                     x.update(of_stem[stem][:n])
                 x.discard(-1)
                 scores.append(machine.score(sorted(x)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
 
     return docs.mapInArrow(rows, schema)
 
@@ -201,8 +203,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is below the threshold."""
-    machine = train(docs, labels)
-    return scored(docs, machine).where(F.col("toxic_score") < threshold).select(*docs.columns)
+    machine, name = train(docs, labels), unused(docs, "toxic_score")
+    return scored(docs, machine, name).where(F.col(name) < threshold).drop(name)
 
 
 def op3_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
