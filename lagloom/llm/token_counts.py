@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,17 +57,15 @@ def unpack(packed: bytes) -> np.ndarray:
 def longest_prefix(packed: Column, budget: Column) -> Column:
     """Bytes of the longest prefix of at most ``budget`` tokens. A cut between
     the bytes of a character is moved back by ``cut_text``."""
-    import pandas as pd
+    return F.pandas_udf(_longest, "long")(packed, budget.cast("long"))
 
-    @F.pandas_udf("long")
-    def longest(packed: pd.Series, budget: pd.Series) -> pd.Series:
-        out = []
-        for p, b in zip(packed, budget, strict=True):
-            within = np.flatnonzero(unpack(p) <= b)
-            out.append(int(within[-1]) + 1 if len(within) else 0)
-        return pd.Series(out, dtype="int64")
 
-    return longest(packed, budget)
+def _longest(packed: pd.Series, budget: pd.Series) -> pd.Series:
+    out = []
+    for p, b in zip(packed, budget, strict=True):
+        within = np.flatnonzero(unpack(p) <= b) if p is not None and b == b else ()
+        out.append(int(within[-1]) + 1 if len(within) else 0)
+    return pd.Series(out, dtype="int64")
 
 
 def cut_text(text: str, packed: bytes, budget: int) -> str:
