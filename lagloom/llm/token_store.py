@@ -51,21 +51,20 @@ def _serial(ids: bytes, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, width: int, end_id: int, tokenizer: str) -> bytes:
+    """A dictionary of the ids of at most SAMPLE_DOCS documents, the first in a
+    hashed order among those of at most SAMPLE_BYTES. Samples too few to train
+    on serve as the dictionary's content themselves."""
     import zstandard
 
-    picked = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = (
-        docs.join(F.broadcast(picked.distinct()), "doc_id")
-        .where(F.octet_length("text") <= SAMPLE_BYTES)
-        .select("doc_id", "text")
-        .limit(SAMPLE_DOCS)
-        .collect()
-    )
+    usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    texts = usable.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").select("doc_id", "text").limit(SAMPLE_DOCS).collect()
     encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
     samples = [_serial(encode(r["text"]) + end, width) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # too few samples to train on: their own bytes serve
+    except zstandard.ZstdError:
+        if len(samples) == SAMPLE_DOCS:
+            raise
         return b"".join(samples)[-DICT_BYTES:]
 
 
