@@ -19,7 +19,7 @@ broadcast never grows with the data.
 Defined results: vectors that are null, or hold null, NaN or infinite
 components, take no part; components that a shorter vector lacks count as 0;
 rows with equal vec_id are ranked as candidates one by one and queried one by
-one; ties go to the smaller vec_id; an empty table gives an empty result; other
+one, each against all rows but itself; ties go to the smaller vec_id; an empty table gives an empty result; other
 columns are ignored. Scores that exceed 64 bits raise an error.
 """
 
@@ -94,7 +94,8 @@ def _chunks(batches, dim: int):
     for b in batches:
         for at in range(0, b.num_rows, ROWS):
             part = b.slice(at, ROWS)
-            yield np.asarray(part.column("vec_id").to_numpy(zero_copy_only=False)), _matrix(part.column("v"), dim)
+            ids, rows = (part.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "row"))
+            yield ids, rows, _matrix(part.column("v"), dim)
 
 
 def _rows(query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
@@ -129,9 +130,9 @@ def _phase_one(q: np.ndarray, own: np.ndarray, dim: int, k: int):
     def lists(batches):
         kept = [_Kept(len(q), k) for _ in groups]
         whole = []
-        for ids, v in _chunks(batches, dim):
+        for ids, rows, v in _chunks(batches, dim):
             total = _dot(q, v, top)
-            mine = own[:, None] == ids[None, :]
+            mine = own[:, None] == rows[None, :]
             for g, best in zip(groups, kept, strict=True):
                 part = _dot(q[:, g], v[:, g], top)
                 part[mine] = np.iinfo("i8").min // 2
@@ -163,12 +164,12 @@ def _phases_two_three(q: np.ndarray, own: np.ndarray, cut: np.ndarray, dim: int,
 
     def entries(batches):
         kept = _Kept(len(q), k)
-        for ids, v in _chunks(batches, dim):
+        for ids, rows, v in _chunks(batches, dim):
             enough = np.zeros((len(q), len(ids)), bool)
             for g in groups:
                 # part >= cutoff / groups, in whole numbers
                 enough |= _dot(q[:, g], v[:, g], top) * len(groups) >= cut[:, None]
-            enough &= own[:, None] != ids[None, :]
+            enough &= own[:, None] != rows[None, :]
             row, at = np.nonzero(enough)
             for lo in range(0, len(row), 1 << 18):
                 r, a = row[lo : lo + (1 << 18)], at[lo : lo + (1 << 18)]
@@ -189,8 +190,8 @@ def _resolve(q, v, r, a, top):
 def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every query."""
     spark = rows.sparkSession
-    vectors = stored(scaled_vectors(rows, scale=scale), "vectors")
-    ask = vectors.where(is_query).select("vec_id", "v")
+    vectors = stored(scaled_vectors(rows, scale=scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    ask = vectors.where(is_query)
     count = ask.count()
     n = -(-count // QUERIES)
     if n > 1:  # blocks by rank in hashed order, each of at most QUERIES rows
@@ -204,11 +205,11 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: int = 1024) -> D
     for part, size in sorted(blocks, key=str):
         for lo in range(0, size, QUERIES):
             few = ask if part is None else ask.where(F.col("part") == part)
-            few = few.orderBy("vec_id", "v").offset(lo).limit(QUERIES).select("vec_id", "v").toArrow()
+            few = few.orderBy("vec_id", "row").offset(lo).limit(QUERIES).select("vec_id", "row", "v").toArrow()
             dim = max(map(len, few.column("v").to_pylist()))
-            own = few.column("vec_id").to_numpy()
+            names, own = few.column("vec_id").to_numpy(), few.column("row").to_numpy()
             q = _matrix(few.column("v").combine_chunks(), dim)
-            best.append(_answer(spark, vectors, q, own, dim, k))
+            best.append(_answer(spark, vectors, q, own, names, dim, k))
     if not best:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = best[0]
@@ -217,7 +218,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: int = 1024) -> D
     return out
 
 
-def _answer(spark: SparkSession, vectors: DataFrame, q: np.ndarray, own: np.ndarray, dim: int, k: int) -> DataFrame:
+def _answer(spark: SparkSession, vectors: DataFrame, q: np.ndarray, own: np.ndarray, names: np.ndarray, dim: int, k: int) -> DataFrame:
     seen = vectors.mapInArrow(_phase_one(q, own, dim, k), _OUT)
     by_score = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     kth = seen.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select("query_row", "score")
@@ -225,11 +226,11 @@ def _answer(spark: SparkSession, vectors: DataFrame, q: np.ndarray, own: np.ndar
     for r in kth.collect():  # one number for each query of the block
         cut[r["query_row"]] = max(r["score"], np.iinfo("i8").min // 8)
     entries = vectors.mapInArrow(_phases_two_three(q, own, cut, dim, k), _OUT)
-    names = spark.createDataFrame(list(enumerate(own.tolist())), "query_row int, query_id long")
+    named = spark.createDataFrame(list(enumerate(names.tolist())), "query_row int, query_id long")
     return (
         entries.withColumn("rank", F.row_number().over(by_score))
         .where(F.col("rank") <= k)
-        .join(F.broadcast(names), "query_row")
+        .join(F.broadcast(named), "query_row")
         .select("query_id", "rank", "vec_id", "score")
     )
 
@@ -240,16 +241,16 @@ def op10_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.own, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.own <> q.own
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 10
 """
