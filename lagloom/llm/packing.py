@@ -6,10 +6,15 @@ on that table by bin completion and handed back as ranges of ranks; each piece
 then finds its sequence from its rank among the pieces of its length. No group
 of rows is brought together.
 
-Bin completion: take the largest length left, enumerate the fillings around it
-that no other filling dominates, apply one as often as the counts allow, and go
-on. A branch is cut when its waste so far, with the waste that must follow,
-cannot beat the incumbent. The first incumbent is best-fit decreasing.
+Bin completion: the first incumbent is best-fit decreasing. From the least
+number of sequences that the lengths allow (Martello and Toth's bound) up to one
+less than the incumbent's, a depth-first search tries to do with that many: it
+takes the largest length left (or, of few lengths and with less to waste than
+the least one, that with fewest fillings), enumerates the fillings around it that waste no
+more than may still be wasted and that no other filling dominates, and applies
+one as often as the counts allow, or, where that fails, less often. A branch is
+cut when the bound of what is left exceeds the sequences left. The search is
+exact until its steps run out; then the incumbent stands.
 
 Defined results: null text counts as empty (one piece, the end id alone); rows
 with equal doc_id are packed one by one; an empty table gives no sequences;
@@ -31,9 +36,9 @@ from .common import documents, stored
 from .tokens import TOKENIZER, encoder
 
 CAPACITY = 2048
-#: Fillings kept around one largest length, search steps for them, and nodes
-#: of the branch-and-bound after its first descent.
-FILLINGS, STEPS, NODES = 8, 600, 200
+#: Search steps in all and for the fillings around one length (with STEPS the
+#: driver is busy for some seconds), and most lengths that are compared for fewest.
+STEPS, AROUND, COMPARED = 1_000_000, 20_000, 128
 
 Plan = list[tuple[tuple[int, ...], int]]  # (lengths in one sequence, how many such)
 
@@ -96,86 +101,130 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return sum(b) <= sum(a) and place(0)
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, most_waste: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of room, least waste first; lengths ascending."""
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's L2: lengths over half a sequence need one each, and
+    those down to k that don't fit beside them need more."""
+    if not counts:
+        return 0
+    x = np.array(sorted(counts), "i8")
+    n = np.array([counts[k] for k in x.tolist()], "i8")
+    held, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * x)])
+    half = int(np.searchsorted(x, capacity // 2, side="right"))
+    k = np.concatenate([[0], x[:half]])  # thresholds
+    lo, hi = np.searchsorted(x, k), np.searchsorted(x, capacity - k, side="right")
+    room = (held[hi] - held[half]) * capacity - (total[hi] - total[half])  # beside lengths that can hold k or more
+    spill = np.maximum(total[half] - total[lo] - room, 0)
+    return int((held[-1] - held[half] + -(-spill // capacity)).max())
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int, budget: list[int], dominated: bool = False) -> list[tuple[int, ...]]:
+    """Undominated (or all) fillings of room that waste at most so much, least
+    waste first, lengths falling."""
+    lengths = sorted(x for x, n in counts.items() if n and x <= room)
     found: list[tuple[int, tuple[int, ...]]] = []
-    steps = STEPS
-    used: dict[int, int] = {}
+    steps = begun = min(AROUND, budget[0])
+    used = dict.fromkeys(lengths, 0)
 
-    def go(left: int, top: int, chosen: tuple[int, ...]):
+    def go(k: int, left: int, chosen: tuple[int, ...]):
         nonlocal steps
-        steps -= 1
-        k = bisect_right(lengths, left, 0, top)
-        fits = [x for x in lengths[max(0, k - 24) : k] if counts[x] > used.get(x, 0)][::-1]
-        if not fits:
-            if left <= most_waste:
-                found.append((left, chosen))
-            return
-        for x in fits:
-            if steps <= 0 or any(w == 0 for w, _ in found[-FILLINGS:]) and len(found) >= FILLINGS:
-                return
-            used[x] = used.get(x, 0) + 1
-            go(left - x, bisect_right(lengths, x), (*chosen, x))
-            used[x] -= 1
-
-    go(room, len(lengths), ())
+        j, full = bisect_right(lengths, left, 0, k) - 1, True
+        while j >= 0 and steps > 0:
+            x = lengths[j]
+            steps -= 1
+            if used[x] < counts[x]:
+                full = False
+                if x * (left // lengths[0]) < left - most_waste:  # not even as many as fit are enough
+                    break
+                if most_waste < left - x < lengths[0]:  # nothing fits beside it, and too much is lost
+                    j = bisect_right(lengths, left - lengths[0], 0, j) - 1
+                    continue
+                used[x] += 1
+                go(j + 1, left - x, (*chosen, x))
+                used[x] -= 1
+            j -= 1
+        if full and left <= most_waste:
+            found.append((left, chosen))
+
+    go(len(lengths), room, ())
+    budget[0] -= begun - steps + 1
     kept: list[tuple[int, tuple[int, ...]]] = []
     for waste, f in sorted(found, key=lambda w: (w[0], len(w[1]), [-x for x in w[1]])):
-        if len(f) <= 8 and any(len(g) <= 8 and _dominates(g, f) for _, g in kept):
+        if not dominated and len(f) <= 8 and len(kept) <= 200 and any(len(g) <= 8 and _dominates(g, f) for _, g in kept):
             continue
         kept.append((waste, f))
-        if len(kept) == FILLINGS:
-            break
     return [f for _, f in kept]
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
     """As few sequences as the search finds; never more than best-fit's."""
     counts = {x: n for x, n in counts.items() if n}
-    total = sum(x * n for x, n in counts.items())
-    bound = -(-total // capacity)
     best = best_fit(counts, capacity)
-    fewest = sum(n for _, n in best)
-    nodes = NODES
-    # Depth-first by hand: each frame is (its counts, its fillings left, bins, waste).
+    fewest, budget = sum(n for _, n in best), [steps]
+    for target in range(lower_bound(counts, capacity), fewest):
+        plan = _within(counts, capacity, target, budget)
+        if plan is not None:
+            return plan
+        if budget[0] <= 0:
+            break
+    return best
+
+
+def _within(counts: dict[int, int], capacity: int, target: int, budget: list[int]) -> Plan | None:
+    """A plan of at most ``target`` sequences, if the search finds one."""
+    total = sum(x * n for x, n in counts.items())
+    slack = target * capacity - total
+    tight = bool(counts) and len(counts) <= COMPARED and slack < min(counts)
+    around: dict[int, list] = {}  # if tight, the fillings around each length
     path: Plan = []
     stack: list[list] = []
 
     def frame(now: dict[int, int], bins: int, waste: int):
-        lengths = sorted(now)
-        spare = (fewest - 1) * capacity - total - waste  # beyond it this branch can't win
-        top = lengths[-1]
-        now = now | {top: now[top] - 1}
-        choices = fillings(now, lengths, capacity - top, max(spare, -1)) if spare >= 0 else []
-        return [now, top, choices, bins, waste]
-
-    if counts and fewest > bound:
-        stack.append(frame(counts, 0, 0))
-    while stack and fewest > bound and nodes > 0:
-        now, top, choices, bins, waste = stack[-1]
+        spare = target * capacity - total - waste  # may still be wasted
+        if tight:
+            fewest = None
+            for x in sorted(now, reverse=True):
+                if x not in around:
+                    around[x] = fillings(counts | {x: counts[x] - 1}, capacity - x, slack, budget, True)  # a better one may be used up later
+                can = []
+                for f in around[x]:
+                    budget[0] -= 1
+                    if capacity - x - sum(f) <= spare and all((x, *f).count(y) <= now.get(y, 0) for y in (x, *f)):
+                        can.append(f)
+                if fewest is None or len(can) < len(fewest[1]):
+                    fewest = (x, can)
+                if len(can) < 2:
+                    break
+            top, found = fewest
+        else:
+            top = max(now)
+            found = fillings(now | {top: now[top] - 1}, capacity - top, spare, budget)
+        most = []
+        for f in found:
+            need = {x: (top, *f).count(x) for x in (top, *f)}
+            lost = capacity - top - sum(f)
+            times = min([now[x] // k for x, k in need.items()] + ([spare // lost] if lost else []))
+            most.append((f, need, lost, max(times, 1)))
+        tries = [(*m[:3], m[3]) for m in most] + [(*m[:3], n) for m in most for n in range(m[3] - 1, 0, -1)]
+        return [now, top, tries, 0, bins, waste]
+
+    stack.append(frame(counts, 0, 0))
+    while stack and budget[0] > 0:
+        now, top, tries, at, bins, waste = stack[-1]
         del path[len(stack) - 1 :]
-        if not choices:
+        if at == len(tries):
             stack.pop()
-            nodes -= 1
             continue
-        filling = choices.pop(0)
-        content = (top, *filling)
-        need = {x: content.count(x) for x in content}
-        left = now | {top: now[top] + 1}
-        times = min(left[x] // k for x, k in need.items())
-        lost = capacity - sum(content)
-        spare = (fewest - 1) * capacity - total - waste
-        times = max(1, min(times, spare // lost if lost else times))
-        if lost and lost > spare:
+        stack[-1][3] += 1
+        budget[0] -= 10
+        filling, need, lost, times = tries[at]
+        left = {x: n for x, n in ((x, n - times * need.get(x, 0)) for x, n in now.items()) if n}
+        if bins + times + lower_bound(left, capacity) > target:
             continue
-        left = {x: n for x, n in ((x, n - times * need.get(x, 0)) for x, n in left.items()) if n}
-        path.append((content, times))
+        path.append(((top, *filling), times))
         if not left:
-            if bins + times < fewest:
-                fewest, best = bins + times, list(path)
-            continue
+            return list(path)
         stack.append(frame(left, bins + times, waste + times * lost))
-    return best
+    return None
 
 
 def rank_ranges(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
