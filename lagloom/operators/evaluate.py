@@ -44,6 +44,37 @@ def composite(metrics: DataFrame) -> DataFrame:
     )
 
 
+def method_summary(metrics: DataFrame) -> DataFrame:
+    """The mean of every metric for each method (nulls left out), the composite
+    of the means and the method's place by it."""
+    names = [c for c in metrics.columns if c not in ("method", "series_id")]
+    means = composite(metrics.groupBy("method").agg(*(F.avg(c).alias(c) for c in names)))
+    return means.withColumn("place", F.rank().over(Window.orderBy(F.desc("composite"))))
+
+
+def boundary_f1(found: DataFrame, truth: DataFrame, tolerance: int = 5) -> DataFrame:
+    """Per series, F1 of boundaries (series_id, t): each true one, in order, takes
+    the first found one within the tolerance that no earlier one took; 1 without
+    any on either side, 0 with some on one side only. A series' boundaries travel
+    as one array: they are the ends of its segments, not its frames."""
+    a = truth.groupBy("series_id").agg(F.sort_array(F.collect_list("t")).alias("truth"))
+    b = found.groupBy("series_id").agg(F.sort_array(F.collect_list("t")).alias("found"))
+    rows = a.join(b, "series_id", "full").select(
+        "series_id", *(F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("truth", "found"))
+    )
+    near = lambda left, x: F.filter(left, lambda y: F.abs(x - y) <= tolerance)
+    taken = F.aggregate(  # what is left of the found ones
+        "truth", F.col("found"),
+        lambda left, x: F.when(F.size(near(left, x)) == 0, left).otherwise(
+            F.concat(F.slice(left, F.lit(1), F.array_position(left, F.get(near(left, x), F.lit(0))).cast("int") - 1),
+                     F.slice(left, F.array_position(left, F.get(near(left, x), F.lit(0))).cast("int") + 1, F.size(left)))
+        ),
+    )
+    hits = F.size("found") - F.size(taken)
+    both = F.size("truth") + F.size("found")
+    return rows.select("series_id", F.when(both == 0, 1.0).otherwise(2 * hits / F.greatest(both, F.lit(1))).alias("boundary_f1"))
+
+
 def ranking_metrics(scores: DataFrame) -> DataFrame:
     """AUC, average precision, and F, FPR, TPR, true-lag share at the threshold
     of best F, from (series_id, score, label, lag_ok). Without positives, with

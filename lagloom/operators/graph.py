@@ -180,3 +180,22 @@ def propagation_order(panel: DataFrame, event_frame: int, lookback: int = 24) ->
         F.coalesce(F.min(F.when(F.col("d") > F.col("cut"), F.col("k"))), F.max("m")).cast("long").alias("onset")
     )
     return onset.withColumn("place", F.row_number().over(Window.partitionBy("series_id").orderBy("onset", "dim")).cast("int"))
+
+
+def ranked(rows: DataFrame, by: str, *ties: str, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """rows with place: 1 for the largest ``by`` among the rows that share keys."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(by), *ties)
+    return rows.withColumn("place", F.row_number().over(w))
+
+
+def summary(links: DataFrame, hubs: DataFrame, roles: DataFrame) -> DataFrame:
+    """A network as lines to read: (series_id, section, place, line), sections in
+    order of strength."""
+    arrow = F.when(F.col("link_type") == "sync", F.lit(" <-> ")).otherwise(F.lit(" -> "))
+    tail = F.when(F.col("link_type") == "sync", F.lit("")).otherwise(F.format_string(", lag %d", F.col("lag")))
+    text = F.concat(F.col("src").cast("string"), arrow, F.col("dst").cast("string"), F.format_string(": %.3f", F.col("score")), tail)
+    first = ranked(links, "score", "src", "dst", keys=("series_id", "link_type")).select("series_id", F.col("link_type").alias("section"), "place", text.alias("line"))
+    hub = ranked(hubs, "connectivity", "dim").select("series_id", F.lit("hub").alias("section"), "place", F.format_string("%d: %.3f", "dim", "connectivity").alias("line"))
+    some = roles.where("role IS NOT NULL").withColumn("strength", F.when(F.col("role") == "driver", F.col("out_strength")).otherwise(F.col("in_strength")))
+    role = ranked(some, "strength", "dim", keys=("series_id", "role")).select("series_id", F.col("role").alias("section"), "place", F.format_string("%d: %.3f", "dim", "strength").alias("line"))
+    return first.unionByName(hub).unionByName(role)

@@ -96,7 +96,7 @@ def jump_consistency(events: DataFrame, max_lag: int, least: int = 5) -> DataFra
 
 def best_response(stats: DataFrame, consistency: DataFrame) -> DataFrame:
     """Of each (src, dst) the lag of largest |mean| (1 + 2 (c - 0.5)); ties to
-    the smaller lag. A score of 0: lag 0, sign 1, consistency 0.5, p 1."""
+    the smaller lag. A score of 0: lag 0, sign 0, consistency 0.5, p 1."""
     joined = stats.join(consistency.select(*EDGE, "lag", "consistency"), [*EDGE, "lag"], "left").withColumn(
         "consistency", F.coalesce("consistency", F.lit(0.5))
     )
@@ -109,7 +109,7 @@ def best_response(stats: DataFrame, consistency: DataFrame) -> DataFrame:
         "score",
         F.when(some, F.col("mean")).otherwise(0.0).alias("raw"),
         F.when(some, F.col("lag")).otherwise(0).cast("int").alias("lag"),
-        F.when(some, F.signum("mean")).otherwise(1).cast("int").alias("sign"),
+        F.when(some, F.signum("mean")).otherwise(0).cast("int").alias("sign"),
         F.when(some, F.col("consistency")).otherwise(0.5).alias("consistency"),
         *([F.when(some, F.col("p")).otherwise(1.0).alias("p")] if "p" in stats.columns else []),
     )

@@ -7,6 +7,7 @@ their lagged products, so the joins and sums are the same for every pair.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,18 +25,18 @@ def embedded(panel: DataFrame, lags: int, value: str = "value") -> DataFrame:
     return rows.where("v IS NOT NULL")
 
 
-def gram(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, g: the sum of v v' over the rows of each key, row by row.
-
-    Each task adds its rows into one matrix for each key it meets; only those
-    matrices are shuffled, cell by cell, and summed.
-    """
+def gram_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, row, part: what each task adds to the sum of v v' of each key, by
+    rows of the matrix from the diagonal on."""
     kept = rows.select(*keys, "v")
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*keys).schema), "g array<double>"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*keys).schema), "row int, part array<double>"])
 
     def partial(batches):
         import numpy as np
-        import pandas as pd
+
+        def frame(sums):
+            out = [(*k, i, g[i, i:].tolist()) for k, g in sums.items() for i in range(len(g))]
+            return pd.DataFrame(out, columns=[*keys, "row", "part"])
 
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
@@ -45,16 +46,40 @@ def gram(rows: DataFrame, *keys: str) -> DataFrame:
                 g = v.T @ v
                 sums[key] = sums[key] + g if key in sums else g
             if len(sums) > 256:
-                yield _frame(pd, sums, keys)
+                yield frame(sums)
                 sums = {}
-        yield _frame(pd, sums, keys)
+        yield frame(sums)
+
+    return kept.mapInPandas(partial, schema)
+
+
+def _added(parts: pd.Series) -> list[float]:
+    total = None
+    for p in parts:
+        total = p if total is None else total + p
+    return list(total)
+
+
+def summed(parts: DataFrame, *keys: str) -> DataFrame:
+    """keys, g: the rows of each matrix, added up, from the diagonal on."""
+    add = F.pandas_udf(_added, "array<double>")
+    rows = parts.groupBy(*keys, "row").agg(add("part").alias("part"))
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row", "part"))).alias("s"))
+    return held.select(*keys, F.transform("s", lambda s: s["part"]).alias("g"))
+
+
+def gram(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, g: the sum of v v' over the rows of each key (its upper half, row
+    by row; ``symmetric`` makes it whole). Each task adds its rows into one
+    matrix for each key it meets, and only rows of those are shuffled."""
+    return summed(gram_rows(rows, *keys), *keys)
 
-    cells = kept.mapInPandas(partial, schema).select(*keys, F.posexplode("g").alias("pos", "x"))
-    summed = cells.groupBy(*keys, "pos").agg(F.sum("x").alias("x"))
-    held = summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("s"))
-    return held.select(*keys, F.transform("s", lambda s: s["x"]).alias("g"))
 
+def symmetric(g):
+    """The whole matrix of a gram's rows."""
+    import numpy as np
 
-def _frame(pd, sums, keys):
-    rows = [(*k, g.ravel().tolist()) for k, g in sums.items()]
-    return pd.DataFrame(rows, columns=[*keys, "g"])
+    out = np.zeros((len(g), len(g)))
+    for i, part in enumerate(g):
+        out[i, i:] = out[i:, i] = part
+    return out

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.panel import by_dim
+from ..sources.written import written
 from .lagged import same_frame_pairs
 
+
 def _by_time():
     return Window.partitionBy("series_id").orderBy("t")
 
@@ -34,7 +39,7 @@ def frame_features(panel: DataFrame, windows: tuple[int, ...] = (5, 20, 50)) ->
         F.avg(F.col("value") * F.col("value")).alias("f_square"), F.avg(F.col("d") * F.col("d")).alias("f_step_square"),
     )
     rows = base.join(rolling_coherence(panel).withColumnRenamed("coherence", "f_coherence"), ["series_id", "t"], "left")
-    rows = rows.join(low_frequency(base.select("series_id", "t", F.col("f_abs").alias("x"))), ["series_id", "t"], "left")
+    rows = rows.join(low_frequency(panel), ["series_id", "t"], "left")
     for w in windows:
         for c in ("f_step", "f_square"):
             over = _by_time().rowsBetween(-(w - 1), 0)
@@ -50,34 +55,65 @@ def frame_features(panel: DataFrame, windows: tuple[int, ...] = (5, 20, 50)) ->
     return rows.select("series_id", "t", F.array(*z).alias("features"))
 
 
-def low_frequency(rows: DataFrame, window: int = 64) -> DataFrame:
-    """Share of the lowest quarter of the spectrum over the last frames; 0 with
-    fewer than eight. The frames of a window travel as one small array."""
-    import numpy as np
-    import pandas as pd
-
-    def share(column: pd.Series) -> pd.Series:
-        out = []
-        for x in column:
-            if len(x) < 8:
-                out.append(0.0)
-                continue
-            power = np.abs(np.fft.rfft(np.asarray(x) - np.mean(x)))
-            out.append(float(power[: max(1, len(power) // 4)].sum() / (power.sum() + 1e-10)))
-        return pd.Series(out, dtype="float64")
-
-    held = F.collect_list("x").over(_by_time().rowsBetween(-(window - 1), 0))
-    return rows.select("series_id", "t", F.pandas_udf(share, "double")(held).alias("f_low"))
-
-
-def clusters(features: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """t, label of every frame: k-means of all series' features together."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = features.withColumn("v", array_to_vector("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="label", maxIter=100, tol=1e-8).fit(rows)
-    return model.transform(rows).select("series_id", "t", "label")
+def low_frequency(panel: DataFrame) -> DataFrame:
+    """f_low: share that the lowest quarter of the spectrum has in the amplitudes
+    of all dimensions over the last frames; 0 with fewer than eight. A series'
+    window is a quarter of its frames, 16 to 64; the frames of a window travel
+    as one small array for each dimension."""
+    n = F.count(F.lit(1)).over(by_dim(False))
+    wide = F.greatest(F.lit(16), F.least(F.lit(64), F.when(n >= 20, F.floor(n / 4)).otherwise(n))).cast("int")
+    held = panel.select("series_id", "t", wide.alias("w"), F.collect_list("value").over(by_dim().rowsBetween(-63, 0)).alias("x"))
+    cut = F.slice("x", F.greatest(F.size("x") - F.col("w") + 1, F.lit(1)), F.col("w"))
+    parts = held.select("series_id", "t", F.pandas_udf(_spectrum, "array<double>")(cut).alias("s"))
+    return parts.groupBy("series_id", "t").agg((F.sum(F.col("s")[0]) / (F.sum(F.col("s")[1]) + 1e-12)).alias("f_low"))
+
+
+def _spectrum(column: pd.Series) -> pd.Series:
+    """[lowest quarter, all] of the amplitudes; arrays of one length at once."""
+    out = np.zeros((len(column), 2))
+    sizes = column.map(len).to_numpy()
+    for n in np.unique(sizes[sizes >= 8]):
+        at = np.flatnonzero(sizes == n)
+        power = np.abs(np.fft.rfft(np.stack(column.iloc[at].to_list()), axis=1))
+        out[at, 0], out[at, 1] = power[:, : max(1, power.shape[1] // 4)].sum(axis=1), power.sum(axis=1)
+    return pd.Series(out.tolist())
+
+
+def clusters(features: DataFrame, k: int = 3, least: int = 1, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
+    """series_id, t, label: k-means of each series by itself, all series at once.
+
+    A series has at most one cluster for each ``least`` frames, and one alone if
+    it has fewer than that or than 12. The first clusters are equal parts of the
+    frames in order of their summed features, so nothing is drawn at random. A
+    round joins the frames with their series' k centers and averages anew.
+    """
+    width = features.select(F.size("features").alias("n")).first()
+    if not width:
+        return features.select("series_id", "t", F.lit(0).alias("label"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
+    k_of = F.when(n < max(12, least), 1).otherwise(F.least(F.lit(k), F.greatest(F.lit(1), F.floor(n / least)))).cast("int")
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(total, "t")) - 1
+    rows = written(features.select("series_id", "t", "features", F.floor(rank * k_of / n).cast("int").alias("label")), "frame-features")
+    base, centers = rows.drop("label"), None
+    means = [F.avg(F.col("features")[i]) for i in range(width["n"])]
+    for _ in range(rounds):
+        found = rows.groupBy("series_id", "label").agg(F.array(*means).alias("c"))
+        found = found.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("label", "c"))).alias("centers"))
+        found = written(found, "centers")
+        if centers is not None:
+            both = centers.withColumnRenamed("centers", "old").join(found, "series_id")
+            moved = both.select(F.max(F.aggregate(F.zip_with("old", "centers", lambda a, b: _distance(a["c"], b["c"])), F.lit(0.0), lambda x, y: x + F.coalesce(y, F.lit(1.0))))).first()[0]
+            if moved < tolerance * tolerance:
+                break
+        centers = found
+        far = F.transform("centers", lambda c: F.struct(_distance(F.col("features"), c["c"]).alias("d"), c["label"].alias("label")))
+        rows = base.join(centers, "series_id").select("series_id", "t", "features", F.array_min(far)["label"].alias("label"))
+    return rows.select("series_id", "t", "label")
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
 def smoothed(labels: DataFrame, window: int = 5) -> DataFrame:

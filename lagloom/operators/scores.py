@@ -26,6 +26,17 @@ def binarized(edges: DataFrame, threshold: float | None = None, percentile: floa
     return edges.withColumn("is_edge", F.coalesce(F.col("score") > cut, F.lit(False)).cast("int"))
 
 
+def binarized_at_least(edges: DataFrame, threshold: float | None = None, percentile: float = 75.0, symmetric: bool = False) -> DataFrame:
+    """is_edge: score reaches the threshold, or the percentile of all the
+    series' scores; if symmetric, an edge either way counts both ways."""
+    cut = F.lit(threshold) if threshold is not None else F.percentile("score", percentile / 100).over(_series())
+    rows = edges.withColumn("is_edge", F.coalesce(F.col("score") >= cut, F.lit(False)).cast("int"))
+    if not symmetric:
+        return rows
+    pair = Window.partitionBy("series_id", F.least("src", "dst"), F.greatest("src", "dst"))
+    return rows.withColumn("is_edge", F.max("is_edge").over(pair))
+
+
 def confident(edges: DataFrame, quantile: float = 0.5, least: float = 1e-6) -> DataFrame:
     """Links whose confidence reaches the series' quantile of it."""
     held = F.greatest("confidence", F.lit(0.0))

@@ -14,6 +14,7 @@ from ..operators import graph as g
 from ..operators import jumps as jmp
 from ..operators import scores as sc
 from ..sources import panel as pn
+from ..sources.written import written
 from .inverse import InverseConfig, inverse_edges
 from .jump import JumpConfig, jump_edges
 from .network import NetworkConfig, analyze
@@ -57,6 +58,7 @@ def jump_method(panel: DataFrame, config: JumpConfig = JumpConfig()) -> DataFram
 
 def _evidence(panel: DataFrame, max_lag: int, solver: str) -> DataFrame:
     """raw (network), structure (direct score), q, and the inverse lag and sign."""
+    panel = written(panel, "panel")
     net = analyze(panel, NetworkConfig(max_lag=max_lag, adaptive=False))
     inverse = inverse_edges(panel, InverseConfig(max_lag=max_lag, solver=solver, textbook=False))
     pairs = net.pairs
@@ -78,6 +80,7 @@ def fusion_method(panel: DataFrame, max_lag: int = 5, solver: str = "auto", alph
 
 
 def triple_fusion_method(panel: DataFrame, max_lag: int = 5, solver: str = "auto", alpha: float = 0.05) -> DataFrame:
+    panel = written(panel, "panel")
     jumps = jump_edges(panel, JumpConfig(max_lag=max_lag))[0].select(*EDGE, F.col("score").alias("jump"), F.col("q").alias("jump_q"))
     rows = _evidence(panel, max_lag, solver).join(jumps, EDGE, "left").na.fill({"jump": 0.0, "jump_q": 1.0})
     return sc.fuse_suppress(rows, alpha).withColumn("score", F.col("fused")).select(*OUT)
@@ -91,7 +94,7 @@ def rescued(edges: DataFrame, events: DataFrame, segments: DataFrame, max_lag: i
     spans = segments.join(last, "series_id").withColumn("end", F.least("end", "n")).where("end - start >= 30")
     frames = spans.select("series_id", "segment_id", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("t"))
     inside = events.join(frames, ["series_id", "t"]).withColumn("series_id", F.concat_ws("\u0001", "series_id", F.col("segment_id").cast("string")))
-    inside = inside.persist()
+    inside = written(inside, "segment-events")
     stats = jmp.signed_responses(inside, max_lag)
     jumps = jmp.jump_consistency(inside, max_lag, 3)
     rows = stats.join(jumps, [*EDGE, "lag"], "left").na.fill({"consistency": 0.5, "n_jumps": 0})
@@ -116,6 +119,7 @@ def jump_inverse_method(
 ) -> DataFrame:
     """Jump edges, rescued inside regimes (segments of ``regimes``, if given),
     gated by the direct scores."""
+    panel = written(panel, "panel")
     edges, events = jump_edges(panel, JumpConfig(max_lag=max_lag, alpha=alpha))
     if regimes is not None:
         edges = rescued(edges, events, regimes, max_lag, alpha)

@@ -16,8 +16,9 @@ from ..functions import signals as sig
 from ..operators import graph as g
 from ..operators import scores as sc
 from ..operators.lagged import pair_corr
-from ..operators.moments import embedded, gram
+from ..operators.moments import embedded, gram, symmetric
 from ..sources import panel as pn
+from ..sources.written import written
 
 EDGE = ["series_id", "src", "dst"]
 
@@ -71,7 +72,7 @@ def _moments(panel: DataFrame, c: InverseConfig, direction: str) -> DataFrame:
 def target_fits(panel: DataFrame, c: InverseConfig, solver: DataFrame) -> DataFrame:
     """One row for each source and target. solver: (series_id, solver)."""
     value = sig.zscore_unit() if c.standardize else F.col("value")
-    scaled = panel.withColumn("value", value).persist()
+    scaled = written(panel.withColumn("value", value), "scaled")
     moments = _moments(scaled, c, "f")
     if c.backward_check:
         moments = moments.unionByName(_moments(pn.reversed_time(scaled), c, "b"))
@@ -94,7 +95,7 @@ def target_fits(panel: DataFrame, c: InverseConfig, solver: DataFrame) -> DataFr
 
         def parts(direction):
             part = pdf[pdf["direction"] == direction]
-            gs = {int(b): np.array(x).reshape(one + 1, one + 1) for b, x in zip(part["block"], part["g"], strict=True)}
+            gs = {int(b): symmetric(x) for b, x in zip(part["block"], part["g"], strict=True)}
             whole = sum(gs.values())
             shift = whole[one, y] / whole[one, one]  # the target is centred over all rows
 
@@ -207,8 +208,12 @@ def solvers(panel: DataFrame, c: InverseConfig) -> DataFrame:
 def inverse_edges(panel: DataFrame, config: InverseConfig = InverseConfig()) -> DataFrame:
     """Every ordered pair with its fit, score (after the filters), raw (before
     them) and, unless switched off, direct_score."""
+    panel = written(panel, "panel")
+    short = pn.shape(panel).where(F.col("n_frames") - max(config.max_lag, config.ar_lag) < max(config.min_train_size, 10)).first()
+    if short:
+        raise ValueError(f"series {short['series_id']} has too few frames: {short['n_frames']}")
     gate = solvers(panel, config)
-    fits = target_fits(panel, config, gate.select("series_id", "solver")).persist()
+    fits = written(target_fits(panel, config, gate.select("series_id", "solver")), "fits")
     score = {
         "block_norm": F.col("block_norm"),
         "delta_mse": F.greatest("delta_mse", F.lit(0.0)),

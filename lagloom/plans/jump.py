@@ -12,6 +12,7 @@ from ..operators import graph as g
 from ..operators import jumps as jmp
 from ..sources import panel as pn
 from ..sources.panel import by_dim
+from ..sources.written import written
 
 EDGE = ["series_id", "src", "dst"]
 
@@ -58,17 +59,18 @@ def adapted_events(panel: DataFrame, parameters: DataFrame) -> DataFrame:
 def jump_edges(panel: DataFrame, config: JumpConfig = JumpConfig()) -> tuple[DataFrame, DataFrame]:
     """(edges, events). edges: score after suppression, raw_score before,
     filtered, lag, sign, p, q, consistency, is_edge."""
+    panel = written(panel, "panel")
     events = jmp.jump_events(sig.displacement(panel, config.local_std_window), config.percentile)
     if config.adaptive:
         found = jmp.adaptive_jump_parameters(
             jmp.event_statistics(events), pn.shape(panel), jmp.volatility_ratio(panel), config.percentile, config.local_std_window, config.rho_window
-        ).persist()
-        events = adapted_events(panel, found)
-    events = events.persist()
+        )
+        events = adapted_events(panel, written(found, "jump-parameters"))
+    events = written(events, "events")
     stats = jmp.response_p(jmp.signed_responses(events, config.max_lag))
-    best = jmp.best_response(stats, jmp.jump_consistency(events, config.max_lag, config.min_jumps)).persist()
+    best = written(jmp.best_response(stats, jmp.jump_consistency(events, config.max_lag, config.min_jumps)), "best-responses")
     spurious = jmp.spurious_edges(best, events).withColumn("filtered", F.lit(True))
-    rows = best.join(spurious, EDGE, "left").na.fill({"filtered": False}).persist()
+    rows = written(best.join(spurious, EDGE, "left").na.fill({"filtered": False}), "filtered")
     rows = with_conditional_p(rows, events, config.min_jumps)
     return suppressed(g.with_bh(rows, keys=("series_id", "src")), pn.shape(panel), config), events
 

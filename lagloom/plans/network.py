@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signals as sig
 from ..functions.tails import fisher_p
 from ..operators import graph as g
-from ..operators.lagged import pair_corr
-from ..operators.moments import embedded, gram
+from ..operators.lagged import best_lag, pair_corr
+from ..operators.moments import embedded, gram_rows, summed, symmetric
 from ..sources import panel as pn
+from ..sources.written import written
 
 PAIR = ["series_id", "i", "j"]
 
@@ -116,57 +118,56 @@ def adaptive_parameters(found: DataFrame, c: NetworkConfig) -> DataFrame:
     )
 
 
-_PAIRS = "series_id string, i int, j int, sync double, causal double, lag int"
+_LAGGED = "series_id string, src int, dst int, lag int, r double"
 
 
 def view_correlations(panel: DataFrame, parameters: DataFrame, most_lag: int, value: str) -> DataFrame:
     """sync and best lagged partial correlation of every pair i < j.
 
-    For each lag the moments run over the frames that have it; the pairs of a
-    series are solved from those small matrices.
+    The moments for lag k run over the frames that have it. One sum over the
+    frames that have all lags serves every lag; the last few frames are added
+    for the lags they have. Each lag of a series is then solved by itself from
+    a matrix whose size depends on dimensions and lags alone.
     """
-    lags = F.explode(F.sequence(F.lit(0), F.lit(most_lag))).alias("lag")
     ends = panel.groupBy("series_id").agg((F.max("t") + 1).alias("n"))
-    wide = embedded_padded(panel, most_lag, value).join(ends, "series_id").select("series_id", "t", "v", "n", lags)
-    # Offsets beyond the lag are padding there; they are never read.
-    moments = gram(wide.where("t + lag < n").select("series_id", "lag", "v"), "series_id", "lag")
-    rows = moments.join(parameters.select("series_id", "n_dims", "max_lag"), "series_id").where("lag <= max_lag")
+    wide = embedded_padded(panel, most_lag, value).join(ends, "series_id").withColumn("last", F.col("t") >= F.col("n") - most_lag)
+    # Offsets beyond the lag are padding in the last frames; they are never read.
+    own = F.when(F.col("last"), F.sequence(F.lit(0), (F.col("n") - F.col("t") - 1).cast("int"))).otherwise(F.array(F.lit(-1)))
+    parts = gram_rows(wide.select("series_id", F.explode(own).alias("lag"), "v"), "series_id", "lag")
+    every = F.when(F.col("lag") < 0, F.sequence(F.lit(0), F.lit(most_lag))).otherwise(F.array("lag"))
+    moments = summed(parts.select("series_id", F.explode(every).alias("lag"), "row", "part"), "series_id", "lag")
+    sizes = parameters.select("series_id", "n_dims", "max_lag")
+    rows = moments.join(sizes, "series_id").where("lag <= max_lag")
 
     def solve(pdf):
         import numpy as np
-        import pandas as pd
 
         from ..functions.kernels import precision_pcorr, residual_corr
 
-        out, d = [], int(pdf["n_dims"].iloc[0])
-        grams = {int(k): np.array(x) for k, x in zip(pdf["lag"], pdf["g"], strict=True)}
-        size = int(round(len(grams[0]) ** 0.5))
-        grams = {k: x.reshape(size, size) for k, x in grams.items()}
-        g0 = grams[0]
-        n, s = g0[-1, -1], g0[-1, :d]
-        cov = (g0[:d, :d] - np.outer(s, s) / n) / max(n - 1, 1)
-        sd = np.sqrt(np.maximum(np.diag(cov), 0))
-        if d >= 3:
-            sync = precision_pcorr(cov)
-        else:
-            bottom = np.outer(sd, sd)
-            sync = np.where(bottom > 1e-20, cov / np.where(bottom > 1e-20, bottom, 1), 0.0)
-        for i in range(d):
-            for j in range(i + 1, d):
-                best, lag = 0.0, 0
-                for k in sorted(grams):
-                    if k < 1 or k > n - 2:
-                        continue
-                    gk = grams[k]
-                    z = [c * d + m for c in range(k + 1) for m in range(d) if m not in (i, j)] if d >= 3 else []
-                    for a, b, sign in ((i, j, 1), (j, i, -1)):
-                        r = residual_corr(gk, gk[-1], gk[-1, -1], a, k * d + b, z)
-                        if abs(r) > abs(best):
-                            best, lag = r, sign * k
-                out.append((pdf["series_id"].iloc[0], i, j, float(sync[i, j]), float(best), lag))
-        return pd.DataFrame(out, columns=["series_id", "i", "j", "sync", "causal", "lag"])
-
-    return rows.groupBy("series_id").applyInPandas(solve, _PAIRS)
+        out, d, k = [], int(pdf["n_dims"].iloc[0]), int(pdf["lag"].iloc[0])
+        g, name = symmetric(pdf["g"].iloc[0]), pdf["series_id"].iloc[0]
+        n, s = g[-1, -1], g[-1, :d]
+        if k == 0:
+            cov = (g[:d, :d] - np.outer(s, s) / n) / max(n - 1, 1)
+            if d >= 3:
+                r = precision_pcorr(cov)
+            else:
+                sd = np.sqrt(np.maximum(np.diag(cov), 0))
+                bottom = np.outer(sd, sd)
+                r = np.where(bottom > 1e-20, cov / np.where(bottom > 1e-20, bottom, 1), 0.0)
+            out = [(name, i, j, 0, float(r[i, j])) for i in range(d) for j in range(i + 1, d)]
+        elif n > 1:  # a lag of all frames but one or more says nothing
+            for a in range(d):
+                for b in range(d):
+                    if a != b:
+                        z = [c * d + m for c in range(k + 1) for m in range(d) if m not in (a, b)] if d >= 3 else []
+                        out.append((name, a, b, k, residual_corr(g, g[-1], n, a, k * d + b, z)))
+        return pd.DataFrame(out, columns=["series_id", "src", "dst", "lag", "r"])
+
+    found = written(rows.groupBy("series_id", "lag").applyInPandas(solve, _LAGGED), "lagged")
+    best = best_lag(found.where("lag > 0")).select(*PAIR, F.col("r").alias("causal"), "lag")
+    sync = found.where("lag = 0").select("series_id", F.col("src").alias("i"), F.col("dst").alias("j"), F.col("r").alias("sync"))
+    return sync.join(best, PAIR, "left").select(*PAIR, "sync", F.coalesce("causal", F.lit(0.0)).alias("causal"), F.coalesce("lag", F.lit(0)).cast("int").alias("lag"))
 
 
 def embedded_padded(panel: DataFrame, lags: int, value: str) -> DataFrame:
@@ -219,14 +220,14 @@ def tested_links(pairs: DataFrame, parameters: DataFrame, alpha: float) -> DataF
 def analyze(panel: DataFrame, config: NetworkConfig = NetworkConfig(), window: int | None = None) -> Network:
     """The network of every series; ``window`` keeps the first frames only for
     the correlations. Thresholds and scales still see the whole series."""
-    panel = panel.persist()
+    panel = written(panel, "panel")
     if config.adaptive:
         parameters = adaptive_parameters(diagnostics(panel), config)
     else:
         parameters = pn.shape(panel).select(
             "*", F.lit(config.sync_threshold).alias("sync_threshold"), F.lit(config.causal_threshold).alias("causal_threshold"), F.lit(config.max_lag).alias("max_lag")
         )
-    parameters = parameters.persist()
+    parameters = written(parameters, "parameters")
     # One number: how many offsets the moments must hold.
     most = parameters.agg(F.max("max_lag")).first()[0] or 1
     steps = sig.displacement(panel, config.local_std_window // 2)
@@ -235,8 +236,9 @@ def analyze(panel: DataFrame, config: NetworkConfig = NetworkConfig(), window: i
         steps, first = steps.where(F.col("t") < window - 1), panel.where(F.col("t") < window)
         parameters = parameters.withColumn("n_frames", F.least("n_frames", F.lit(window)))
     z = first.withColumn("z", sig.zscore())
-    pairs = merged_views(view_correlations(steps, parameters, most, "disp"), view_correlations(z, parameters, most, "z")).persist()
-    links = tested_links(pairs, parameters, config.p_value).persist()
+    pairs = merged_views(view_correlations(steps, parameters, most, "disp"), view_correlations(z, parameters, most, "z"))
+    pairs = written(pairs, "pairs")
+    links = written(tested_links(pairs, parameters, config.p_value), "links")
     causal = g.without_spurious(links.where("link_type = 'causal'"))
     links = links.where("link_type = 'sync'").unionByName(causal)
     dims = panel.select("series_id", "dim").distinct()

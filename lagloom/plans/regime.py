@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import regimes as rg
+from ..sources.written import written
 from .network import Network, NetworkConfig, analyze
 
 
@@ -17,13 +18,13 @@ class RegimeConfig:
     min_segment: int = 40
     smooth: int = 5
     windows: tuple[int, ...] = (5, 20, 50)
-    seed: int = 42
 
 
 def detect(panel: DataFrame, config: RegimeConfig = RegimeConfig()) -> tuple[DataFrame, DataFrame]:
-    """(labels, segments); k-means is fitted on the frames of all series."""
-    labels = rg.clusters(rg.frame_features(panel, config.windows), config.n_regimes, config.seed)
-    labels = rg.smoothed(labels, config.smooth).select("series_id", "t", F.col("smooth").alias("label")).persist()
+    """(labels, segments). Each series has its own clusters; one too short for
+    two of min_segment frames is a single regime."""
+    labels = rg.clusters(rg.frame_features(panel, config.windows), config.n_regimes, config.min_segment)
+    labels = written(rg.smoothed(labels, config.smooth).select("series_id", "t", F.col("smooth").alias("label")), "regimes")
     return labels, rg.segments(labels, least=config.min_segment)
 
 
@@ -39,8 +40,10 @@ class RegimeNetworks:
 
 def analyze_regimes(panel: DataFrame, config: RegimeConfig = RegimeConfig(), network: NetworkConfig = NetworkConfig()) -> RegimeNetworks:
     """Each segment is a series of its own, so all are analyzed in one plan."""
+    panel = written(panel, "panel")
     labels, segments = detect(panel, config)
-    used = segments.where(F.col("n_frames") >= max(12, config.min_segment)).persist()
+    segments = written(segments, "segments")
+    used = segments.where(F.col("n_frames") >= max(12, config.min_segment))
     frames = used.select("series_id", "segment_id", "start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("t"))
     parts = panel.join(frames, ["series_id", "t"]).select(
         F.concat_ws("\u0001", "series_id", F.col("segment_id").cast("string")).alias("series_id"), (F.col("t") - F.col("start")).alias("t"), "dim", "name", "value"
@@ -48,7 +51,7 @@ def analyze_regimes(panel: DataFrame, config: RegimeConfig = RegimeConfig(), net
     links = analyze(parts, network).links.select(
         F.substring_index("series_id", "\u0001", 1).alias("series_id"), F.substring_index("series_id", "\u0001", -1).cast("int").alias("segment_id"),
         "src", "dst", "link_type", "score", "lag",
-    ).persist()
+    )
     return RegimeNetworks(
         analyze(panel, network), labels, segments, rg.transitions(labels), links, rg.edge_frequency(links, used.select("series_id", "segment_id"))
     )

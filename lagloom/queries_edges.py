@@ -203,6 +203,43 @@ def binarize_percentile(spark, sf_dir):
     return sc.binarized(edges(spark, sf_dir)).select("series_id", "src", "dst", "is_edge")
 
 
+@query(
+    f"""WITH {EDGES}, b AS (SELECT series_id, src, dst, CAST(score >= quantile_cont(score, 0.75) OVER (PARTITION BY series_id) AS INTEGER) AS e FROM edges)
+    SELECT series_id, src, dst, max(e) OVER (PARTITION BY series_id, least(src, dst), greatest(src, dst)) AS is_edge FROM b"""
+)
+def binarize_at_least(spark, sf_dir):
+    return sc.binarized_at_least(edges(spark, sf_dir), symmetric=True).select("series_id", "src", "dst", "is_edge")
+
+
+@query(f"WITH {EDGES} SELECT series_id, src, dst, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, src, dst) AS place FROM edges")
+def ranked_links(spark, sf_dir):
+    return g.ranked(edges(spark, sf_dir), "score", "src", "dst").select("series_id", "src", "dst", F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {EDGES} SELECT series_id, src, dst, score, lag FROM edges WHERE score > 0.3 AND src <> dst")
+def min_effect(spark, sf_dir):
+    return sc.strong(edges(spark, sf_dir), 0.3).select("series_id", "src", "dst", "score", "lag")
+
+
+@query(
+    f"""WITH {EDGES}, m AS (SELECT CASE WHEN src % 2 = 0 THEN 'even' ELSE 'odd' END AS method, avg(score) AS f1_directed, avg(raw) AS f1_undirected,
+      avg(CASE WHEN lag > 2 THEN lag END) AS lag_mae, avg(marginal) AS sign_accuracy, avg(CASE WHEN is_edge = 1 THEN structure END) AS spurious_rate FROM edges GROUP BY ALL),
+    c AS (SELECT *, (1.5 * f1_directed + f1_undirected + 1 / (1 + lag_mae) + 0.8 * sign_accuracy + 0.8 * (1 - spurious_rate)) / 5.1 AS c FROM m)
+    SELECT method, round(f1_directed, 6) + 0.0 AS f1_directed, round(lag_mae, 6) + 0.0 AS lag_mae, round(c, 6) + 0.0 AS composite, CAST(rank() OVER (ORDER BY c DESC) AS BIGINT) AS place FROM c"""
+)
+def method_summary(spark, sf_dir):
+    rows = edges(spark, sf_dir).select(
+        F.expr("CASE WHEN src % 2 = 0 THEN 'even' ELSE 'odd' END AS method"), F.col("score").alias("f1_directed"), F.col("raw").alias("f1_undirected"),
+        F.expr("CASE WHEN lag > 2 THEN lag END AS lag_mae"), F.col("marginal").alias("sign_accuracy"), F.expr("CASE WHEN is_edge = 1 THEN structure END AS spurious_rate"),
+    )
+    return ev.method_summary(rows).select("method", r6("f1_directed").alias("f1_directed"), r6("lag_mae").alias("lag_mae"), r6("composite").alias("composite"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {EDGES}{_DIMS} SELECT a.series_id, a.dim AS src, b.dim AS dst FROM d a JOIN d b USING (series_id) WHERE a.dim <> b.dim")
+def pair_spine(spark, sf_dir):
+    return g.pair_spine(dims(spark, sf_dir))
+
+
 @query(f"WITH {EDGES} SELECT series_id, src, dst FROM (SELECT *, quantile_cont(marginal, 0.5) OVER (PARTITION BY series_id) AS c FROM edges) WHERE marginal >= c")
 def confidence_prune(spark, sf_dir):
     return sc.confident(edges(spark, sf_dir).withColumn("confidence", F.col("marginal"))).select("series_id", "src", "dst")

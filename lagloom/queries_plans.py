@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import signals as sig
+from .operators import graph as g
 from .operators import jumps as jmp
+from .operators import regimes as rg
 from .operators.lagged import covariance
 from .plans import fusion, inverse, jump, network, regime
 from .tables import LINEITEM, events_hourly, lineitem_daily, orders_daily, r6
@@ -118,7 +120,30 @@ def lag_embedding(spark, sf_dir):
 
 @query()
 def network_analyze(spark, sf_dir):
-    return network.analyze(lineitem_daily(spark, sf_dir)).links
+    return network.analyze(orders_daily(spark, sf_dir), network.NetworkConfig(0.3, 0.1, 3, False, 20, 0.5)).links
+
+
+@query()
+def network_summary(spark, sf_dir):
+    net = network.analyze(events_hourly(spark, sf_dir), network.NetworkConfig(0.3, 0.1, 3, False, 20, 0.5))
+    return g.summary(net.links, net.hubs, net.roles)
+
+
+@query()
+def jump_method(spark, sf_dir):
+    return fusion.jump_method(events_hourly(spark, sf_dir))
+
+
+@query()
+def regime_features(spark, sf_dir):
+    """The features of every frame, rounded."""
+    rows = rg.frame_features(events_hourly(spark, sf_dir))
+    return rows.select("series_id", "t", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+@query(f"WITH {LINEITEM} SELECT t, dim, round((value - avg(value) OVER (PARTITION BY dim)) / stddev_pop(value) OVER (PARTITION BY dim), 6) + 0.0 AS z FROM panel")
+def zscore_unit(spark, sf_dir):
+    return lineitem_daily(spark, sf_dir).select("t", "dim", r6(sig.zscore_unit()).alias("z"))
 
 
 @query()
