@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Rows of an Arrow batch.
+BATCH = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +38,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs start from
     committed files, so a lost executor never repeats the work before them."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    return _written(df, fresh_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """Written with Arrow batches of few rows: texts and sets are large rows, and
+    a batch is held by the executor's JVM and by its Python worker at once."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,8 +64,7 @@ class Scratch:
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(df.sparkSession, name)
         self.paths.append((df.sparkSession, path))
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        return _written(df, path)
 
     def __enter__(self) -> Scratch:
         return self
@@ -69,7 +80,7 @@ def removed(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def slices(batches, rows: int = 2048):
+def slices(batches, rows: int = BATCH):
     """Arrow batches of at most so many rows, so that what is made of one stays small."""
     for b in batches:
         for at in range(0, max(b.num_rows, 1), rows):

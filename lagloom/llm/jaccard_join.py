@@ -189,7 +189,7 @@ def _prefixes(docs: DataFrame, common: pa.Table) -> DataFrame:
     keys = common.column("d1").to_numpy().view("u8")
     counts = common.column("n").to_numpy()
     order = np.argsort(keys)
-    keys, levels, salts = keys[order], 1 + np.log2(counts[order]).astype("u1"), counts[order] // SALTED
+    keys, levels, salts = keys[order], 1 + np.log2(counts[order]).astype("u1"), (counts[order] // SALTED).astype("i4")
 
     def rows(batches):
         for b in slices(batches):
@@ -205,7 +205,7 @@ def _prefixes(docs: DataFrame, common: pa.Table) -> DataFrame:
                     known = keys[at] == s
                     level, groups = np.where(known, levels[at], 0), np.where(known, salts[at], 0)
                 first = np.argsort(level, kind="stable")[:size]
-                salt = np.where(groups[first] > 0, (i * 0x9E3779B1 >> 8) % (groups[first] + 1), -1)
+                salt = np.where(groups[first] > 0, (i * 0x9E3779B1 >> 8 & (1 << 40) - 1) % (groups[first].astype("i8") + 1), -1)
                 for column, v in zip(out, (s[first].view("i8"), salt, np.full(size, i), np.full(size, n), np.arange(size)), strict=True):
                     column.append(v)
             columns = [np.concatenate([np.empty(0, "i8"), *c]).astype(t) for c, t in zip(out, ("i8", "i4", "i8", "i4", "i4"), strict=True)]

@@ -13,8 +13,9 @@ import re
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pre-tokens a Python worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Pre-tokens a Python worker remembers before it starts anew, and the longest
+#: of them, so that what it holds is bounded in bytes too.
+REMEMBERED, LONGEST = 1 << 18, 64
 
 # The byte-level pre-token pattern, for texts whose characters
 # are all in the ranges below (there \w and \d agree with \p{L} and \p{N}).
@@ -46,13 +47,16 @@ def byte_chars() -> dict[int, str]:
 
 
 class Remembered(dict):
-    """piece -> make(piece), emptied when it holds too many."""
+    """piece -> make(piece), emptied when it holds too many; long pieces are
+    made each time."""
 
     def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, piece):
+        if isinstance(piece, str) and len(piece) > LONGEST:
+            return self.make(piece)
         if len(self) >= self.most:
             self.clear()
         self[piece] = value = self.make(piece)

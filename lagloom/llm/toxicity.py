@@ -40,6 +40,8 @@ SAMPLE = 20_000
 #: Least evidence of a chosen bucket (its likelihood ratio statistic); the 32
 #: buckets of most evidence need less, for small samples.
 EVIDENCE = 18.0
+#: Words a Python worker remembers the places of.
+WORDS = 1 << 16
 EPOCHS, RATE, DECAY, SEED = 30, 0.1, 1e-4, 11
 THRESHOLD = 0.7
 
@@ -178,9 +180,9 @@ def scored(docs: DataFrame, machine: FactorizationMachine, name: str = "toxic_sc
 
     def rows(batches):
         places = lambda *terms: tuple(machine.place.get(_bucket(t), -1) for t in terms)
-        of_word = Remembered(lambda w: places("w" + w)[0])
-        of_stem = Remembered(lambda s: places("1" + s, "2" + s, "3" + s))
-        of_length = Remembered(lambda n: places(f"n{n}")[0])
+        of_word = Remembered(lambda w: places("w" + w)[0], WORDS)
+        of_stem = Remembered(lambda s: places("1" + s, "2" + s, "3" + s), WORDS)
+        of_length = Remembered(lambda n: places(f"n{n}")[0], WORDS)
         for b in batches:
             scores = []
             for text in b.column("text").to_pylist():
