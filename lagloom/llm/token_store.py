@@ -57,7 +57,10 @@ def train_dictionary(docs: DataFrame, width: int, end_id: int, tokenizer: str) -
     import zstandard
 
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    texts = usable.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").select("doc_id", "text").limit(SAMPLE_DOCS).collect()
+    usable = usable.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    # Only ids and digests are ranked; the chosen texts alone come to the driver.
+    picked = usable.select("doc_id", "digest").orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(SAMPLE_DOCS).distinct()
+    texts = usable.join(F.broadcast(picked), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).collect()
     encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
     samples = [_serial(encode(r["text"]) + end, width) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))]
     try:
