@@ -120,7 +120,7 @@ def lag_embedding(spark, sf_dir):
 
 @query()
 def network_analyze(spark, sf_dir):
-    return network.analyze(orders_daily(spark, sf_dir), network.NetworkConfig(0.3, 0.1, 3, False, 20, 0.5)).links
+    return network.analyze(events_hourly(spark, sf_dir), network.NetworkConfig(0.3, 0.1, 3, False, 20, 0.5)).links
 
 
 @query()
