@@ -8,6 +8,8 @@ findings of the same columns can be used in its place.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 _HEX = "sha2(concat('{salt}', cast(id AS string)), 256)"
@@ -31,12 +33,13 @@ def _number(salt: str, lo: int, hi: int) -> str:
     return f"cast({lo} + pmod(xxhash64(id, '{salt}'), {hi - lo + 1}) AS string)"
 
 
+_WORDS = ("about", "between", "chapter", "number", "other", "section", "which", "without")
 _PLAIN = ("the ", "of the ", "and ", "tion. ", "is a ", ", ", "see ", "with ", "une ", "der ", "los ", "")
-_PATH = ("src/app.py", "conf/prod.yml", "web", "docs", "src0", "src7", "deploy/main.tf", ".env")
-_TEST = ("test/fixtures/auth.py", "examples/demo.js", "docs/sample.md", "package-lock.json", "src3", "web")
+_PATH = ("src/app.py", "conf/prod.yml", "web", "docs", "lib/core.rs", "home", "deploy/main.tf", ".env")
+_TEST = ("test/fixtures/auth.py", "examples/demo.js", "docs/sample.md", "package-lock.json", "lib/core.rs", "web")
 
 
-def _kinds() -> list[tuple[str, str, str, int]]:
+def _kinds(words: Sequence[str]) -> list[tuple[str, str, str, int]]:
     """(value, text before, path, label) as SQL."""
     plain, path, test = _pick("l", *_PLAIN), _pick("p", *_PATH), _pick("t", *_TEST)
     assign = _pick("k", "password=", "passwd: ", "secret = ", "token = ", "api_key=", "auth_token: ", "client_secret=")
@@ -73,13 +76,13 @@ def _kinds() -> list[tuple[str, str, str, int]]:
         (f"concat({_pick('y', 'get', 'load', 'make', 'find')}, initcap({word}), {_pick('y2', 'ById', 'Table', 'Handler', 'Section')}, {_number('y3', 1, 64)})", plain, path, 0),
         (f"concat({_number('z', 1990, 2030)}, '-0', {_number('z2', 1, 9)}, '-', {_number('z3', 10, 28)}, {_pick('z4', '', '/report', '.html', '/page1')})", plain, path, 0),
         (f"concat('www.example', {_number('A', 1, 99)}, '.com/', {word}, '/', {_number('A2', 1, 9999)})", f"concat({plain}, {_pick('A3', 'https://', 'see ', '')})", path, 0),
-        (f"concat({_pick('B', 'the', 'and', 'ing', 'ion', 'ver', 'que')}, {_pick('B2', 'ation', 'ement', 'schaft', 'ring', 'wort')}, {_number('B3', 1, 99)}, {_pick('B4', 'th', 'er', 'en', 'al')})", plain, path, 0),
+        (f"concat({_pick('B', *words)}, {_number('B3', 1, 99)}, {_pick('B4', *words)})", plain, path, 0),
     ]
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """value, before, path, label."""
-    kinds = _kinds()
+def labelled_findings(spark: SparkSession, rows: int = 6000, words: Sequence[str] = ()) -> DataFrame:
+    """value, before, path, label; words are those that plain runs are made of."""
+    kinds = _kinds(words or _WORDS)
     columns = []
     for k, name in enumerate(("value", "before", "path", "label")):
         cases = " ".join(f"WHEN {i} THEN {kind[k]}" for i, kind in enumerate(kinds))

@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives out by a random forest.
 
 The forest sees a candidate's length, how its characters follow one another,
-how far dictionary words cover it, its path and the words before it. It is
+how far words of a dictionary cover it (common ones of code and settings, and
+the commonest of the corpus itself), its path and the words before it. It is
 trained on labelled findings and then written out as one SQL expression, so
 scanning is a narrow pass of built-in functions: no shuffle, no Python.
 
@@ -16,6 +17,7 @@ kept as they are by ``redact``.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,14 +63,25 @@ DICTIONARY = (
     "image index info integrity invoice item key license list load login mail make name number order other page "
     "password path phone placeholder private public release report request sample script secret section server "
     "service session string table test text that this time title token trace type update user value version "
-    "with word work your ation ement schaft ring wort ing ion the and tion heit lich ment ción eur eux"
+    "with word work your"
 ).split()
+#: Words of the corpus that join the dictionary: the commonest by documents, of
+#: so many letters.
+WORDS, LETTERS = 256, (4, 16)
 
 FEATURES = (
     "length digits upper lower hex changes flow distinct words key_near benign_near known domain numeric tests uuid"
 ).split()
 
 
+def common_words(docs: DataFrame, most: int = WORDS) -> list[str]:
+    """The corpus's words that the most documents hold, ties in order of the
+    alphabet: counted over all texts, summed in each task before the shuffle."""
+    word = F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}]+")))
+    counts = docs.select(word.alias("word")).where(F.length("word").between(*LETTERS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
 def _flow_table(labelled: DataFrame) -> dict[str, float]:
     """How much likelier one class of characters follows another in secrets
     than in other candidates: log-odds of each pair, at most 49 rows."""
@@ -128,7 +141,7 @@ def _of_run(candidate: Column, before: Column, path: Column) -> list[Column]:
     return [x.cast("double") for x in columns]
 
 
-def features(v: Column, run: list[Column], flow: dict[str, float]) -> list[Column]:
+def features(v: Column, run: list[Column], flow: dict[str, float], words: list[str]) -> list[Column]:
     """Of one piece of a candidate whose shared ones are run."""
     c = _classes(v)
     table = F.create_map(*[F.lit(x) for kv in (flow or {"--": 0.0}).items() for x in kv])
@@ -144,7 +157,7 @@ def features(v: Column, run: list[Column], flow: dict[str, float]) -> list[Colum
         F.length(F.regexp_replace(runs, r"(.)\1+", "$1")) / F.greatest(F.length(v), F.lit(1)),
         total / F.greatest(F.length(c) - 1, F.lit(1)),
         F.size(F.array_distinct(F.split(v, ""))) / F.greatest(F.length(v), F.lit(1)),
-        1 - _share(F.lower(v), "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))),
+        1 - _share(F.lower(v), "|".join(sorted({*DICTIONARY, *words}, key=lambda w: (-len(w), w)))),
         *run[1:5],
         _flag(v, r"^[0-9.\-/()]+$"),
         *run[5:],
@@ -153,24 +166,31 @@ def features(v: Column, run: list[Column], flow: dict[str, float]) -> list[Colum
 
 
 class SecretForest:
-    """A trained forest: the flow table and its trees as nested tuples."""
+    """A trained forest: the flow table, its trees as nested tuples, and the
+    corpus's words in the dictionary."""
 
-    def __init__(self, flow: dict[str, float], trees: list):
-        self.flow, self.trees = flow, trees
+    def __init__(self, flow: dict[str, float], trees: list, words: list[str]):
+        self.flow, self.trees, self.words = flow, trees, words
+
+    @classmethod
+    def for_corpus(cls, docs: DataFrame) -> SecretForest:
+        """Trained on the findings made by rule, with the corpus's own words."""
+        words = common_words(docs)
+        return cls.train(labelled_findings(docs.sparkSession, words=words), words)
 
     @classmethod
-    def train(cls, labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> SecretForest:
+    def train(cls, labelled: DataFrame, words: Sequence[str] = (), trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> SecretForest:
         from pyspark.ml.classification import RandomForestClassifier
         from pyspark.ml.functions import array_to_vector
 
         flow = _flow_table(labelled)
         run = F.array(*_of_run(F.col("value"), F.col("before"), F.col("path"))).alias("run")
         cut = labelled.select("label", run, F.explode(_pieces(_value(F.col("value")))).alias("piece"))
-        columns = features(F.col("piece"), [F.col("run")[k] for k in range(SHARED)], flow)
+        columns = features(F.col("piece"), [F.col("run")[k] for k in range(SHARED)], flow, list(words))
         rows = cut.select(array_to_vector(F.array(*columns)).alias("features"), F.col("label").cast("double").alias("label"))
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8)
         model = forest.fit(rows.coalesce(2))
-        return cls(flow, [_parsed(t.toDebugString) for t in model.trees])
+        return cls(flow, [_parsed(t.toDebugString) for t in model.trees], list(words))
 
     def score(self, f: Column) -> Column:
         """Share of the trees that call an array of features a secret."""
@@ -227,7 +247,7 @@ def _judged(docs: DataFrame, forest: SecretForest, path: str | None) -> DataFram
         _pieces(_value(c)).alias("pieces"), F.array(*_of_run(c, _before(i), F.col("_path"))).alias("shared")
     )))
     measured = runs.withColumn("_features", F.transform("_runs", lambda r: F.transform(
-        r["pieces"], lambda p: F.array(*features(p, [r["shared"][k] for k in range(SHARED)], forest.flow))
+        r["pieces"], lambda p: F.array(*features(p, [r["shared"][k] for k in range(SHARED)], forest.flow, forest.words))
     )))
     return measured.withColumn("_scores", F.transform("_features", lambda f: F.array_max(F.transform(f, forest.score))))
 
@@ -278,4 +298,5 @@ def redact(docs: DataFrame, forest: SecretForest, path: str | None = "source", t
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir), SecretForest.train(labelled_findings(spark)))
+    docs = documents(spark, sf_dir)
+    return scan(docs, SecretForest.for_corpus(docs))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lagloom.llm import exact_dedup, jaccard_join, packing, secret_scan, sharding, token_counts, topk, toxicity
@@ -260,6 +261,16 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan(empty, forest).count() == 0 and secret_scan.redact(docs, forest).count() == len(_rows())
 
 
+def test_common_words_equal_counting(spark, docs, empty):
+    held = Counter()
+    for r in _rows():
+        held.update({w for w in regex.split(r"[^\p{L}]+", (r[1] or "").lower()) if 4 <= len(w) <= 16})
+    want = sorted(held, key=lambda w: (-held[w], w.encode()))[:30]
+    assert secret_scan.common_words(docs, 30) == want and secret_scan.common_words(empty) == []
+    forest = secret_scan.SecretForest.for_corpus(empty.select("text"))
+    assert secret_scan.scan(docs, forest).where("score IS NULL").count() == 0
+
+
 def test_secrets_without_digits_and_of_any_spelling(spark):
     forest = secret_scan.SecretForest.train(labelled_findings(spark))
     texts = {
