@@ -8,7 +8,6 @@ from lagloom.llm.common import documents, stored
 from lagloom.llm.exact_dedup import keep_last_copies
 from lagloom.llm.jaccard_join import keep_one_of_each
 from lagloom.llm.packing import pack
-from lagloom.llm.secret_labels import labelled_findings
 from lagloom.llm.secret_scan import SecretForest, redact
 from lagloom.llm.toxicity import reject_toxic
 
@@ -30,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
-    return redact(docs, SecretForest.train(labelled_findings(spark)))
+    return redact(docs, SecretForest.for_corpus(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
