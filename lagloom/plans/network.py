@@ -18,6 +18,7 @@ from ..functions.tails import fisher_p
 from ..operators import graph as g
 from ..operators.lagged import best_lag, pair_corr
 from ..operators.moments import embedded, gram_rows, summed, symmetric
+from ..operators.spectrum import amplitudes
 from ..sources import panel as pn
 from ..sources.written import written
 
@@ -78,19 +79,11 @@ def block_variation(panel: DataFrame) -> DataFrame:
 
 
 def low_frequency_share(panel: DataFrame) -> DataFrame:
-    """Share of the amplitude spectrum's first half that its first tenth holds:
-    a discrete transform of each dimension by definition, as one join of frames
-    and frequencies summed before it is shuffled."""
-    rows = panel.join(pn.shape(panel).drop("n_dims"), "series_id")
-    half = F.greatest(F.lit(2), F.floor(F.col("n_frames") / 2)).cast("int")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), half - 1)))
-    # The angle is reduced in whole numbers, so it stays exact for late frames.
-    angle = 2 * F.pi() * ((F.col("k") * F.col("t")) % F.col("n_frames")) / F.col("n_frames")
-    waves = rows.groupBy("series_id", "dim", "n_frames", "k").agg(
-        F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im")
-    )
-    amp = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    low = F.col("k") < F.greatest(F.lit(1), F.floor(F.col("n_frames") / 10))
+    """Share of the amplitude spectrum's first half that its first tenth holds."""
+    n = F.col("n_frames")
+    waves = amplitudes(panel).where(F.col("k") < F.greatest(F.lit(2), F.floor(n / 2)))
+    low = F.col("k") < F.greatest(F.lit(1), F.floor(n / 10))
+    amp = F.col("amplitude")
     return waves.groupBy("series_id").agg((F.sum(F.when(low, amp).otherwise(0.0)) / (F.sum(amp) + 1e-10)).alias("low_share"))
 
 
