@@ -193,7 +193,12 @@ def tested_links(pairs: DataFrame, parameters: DataFrame, alpha: float) -> DataF
         fisher_p(F.col("sync"), F.col("n"), k).alias("p_sync"),
         F.least(fisher_p(F.col("causal"), n_lag, k_lag) * 2 * F.col("max_lag"), F.lit(1.0)).alias("p_causal"),
     )
-    rows = g.with_bh(g.with_bh(rows, "p_sync", "q_sync"), "p_causal", "q_causal")
+    return significant_links(g.with_bh(g.with_bh(rows, "p_sync", "q_sync"), "p_causal", "q_causal"), alpha)
+
+
+def significant_links(rows: DataFrame, alpha: float) -> DataFrame:
+    """The links that pairs with p and q of both kinds hold: a causal one runs
+    the way of its lag."""
     common = ["series_id", "link_type", "src", "dst", "score", "corr", "lag", "sign", "p", "q"]
     sync = rows.where((F.col("q_sync") < alpha) & (F.abs("sync") > 0.15)).select(
         "series_id", F.lit("sync").alias("link_type"), F.col("i").alias("src"), F.col("j").alias("dst"), F.abs("sync").alias("score"),

@@ -9,9 +9,11 @@ from .functions import signals as sig
 from .operators import graph as g
 from .operators import jumps as jmp
 from .operators import regimes as rg
+from .operators import scores as sc
 from .operators.lagged import covariance
 from .plans import fusion, inverse, jump, network, regime
-from .tables import LINEITEM, events_hourly, lineitem_daily, orders_daily, r6
+from .queries_edges import EDGES, edges
+from .tables import EVENTS, LINEITEM, events_hourly, lineitem_daily, orders_daily, r6
 
 QUERIES, ORACLES = {}, {}
 
@@ -211,3 +213,54 @@ def triple_fusion(spark, sf_dir):
 def jump_inverse(spark, sf_dir):
     panel = lineitem_daily(spark, sf_dir)
     return fusion.jump_inverse_method(panel, regimes=regime.detect(panel)[1])
+
+
+_VIEWS = f"""{EDGES}, d AS (SELECT series_id, src AS i, dst AS j, raw * sign AS sync, score AS causal, lag FROM edges WHERE src < dst),
+    r AS (SELECT series_id, dst AS i, src AS j, raw * sign AS sync, score AS causal, -lag AS lag FROM edges WHERE src > dst)"""
+
+
+def _views(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    corr = [(F.col("raw") * F.col("sign")).alias("sync"), F.col("score").alias("causal")]
+    steps = e.where("src < dst").select("series_id", F.col("src").alias("i"), F.col("dst").alias("j"), *corr, "lag")
+    raw = e.where("src > dst").select("series_id", F.col("dst").alias("i"), F.col("src").alias("j"), *corr, (-F.col("lag")).alias("lag"))
+    return steps, raw
+
+
+@query(
+    f"""WITH {_VIEWS}, v AS (SELECT d.*, r.sync AS rs, r.causal AS rc, r.lag AS rl, abs(d.causal) > 1.1 * abs(d.sync) AS d_holds, abs(r.causal) > 1.1 * abs(r.sync) AS r_holds
+      FROM d JOIN r USING (series_id, i, j)),
+    u AS (SELECT *, CASE WHEN abs(causal) <= 0.1 OR NOT r_holds THEN 0 WHEN NOT d_holds THEN 1 WHEN abs(rc) > abs(causal) THEN 1 ELSE 0 END AS from_raw FROM v)
+    SELECT series_id, i, j, if(from_raw = 1, rs, sync) AS sync, if(from_raw = 1, rc, causal) AS causal, if(from_raw = 1, rl, lag) AS lag, from_raw FROM u"""
+)
+def merged_views(spark, sf_dir):
+    return network.merged_views(*_views(spark, sf_dir))
+
+
+@query(
+    f"""WITH {EDGES}, k AS (SELECT series_id, src AS i, dst AS j, raw * sign AS sync, score AS causal, lag * sign AS lag, p, structure AS q FROM edges WHERE src < dst)
+    SELECT series_id, 'sync' AS link_type, i AS src, j AS dst, abs(sync) AS score, 0 AS lag FROM k WHERE p < 0.5 AND abs(sync) > 0.15
+    UNION ALL
+    SELECT series_id, 'causal', if(lag > 0, i, j), if(lag > 0, j, i), abs(causal), abs(lag) FROM k
+    WHERE q < 0.5 AND abs(causal) > 0.8 * 0.4 AND abs(causal) > 1.1 * abs(sync)"""
+)
+def significant_links(spark, sf_dir):
+    k = edges(spark, sf_dir).where("src < dst").select(
+        "series_id", F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("raw") * F.col("sign")).alias("sync"), F.col("score").alias("causal"),
+        (F.col("lag") * F.col("sign")).alias("lag"), F.lit(0.4).alias("causal_threshold"), F.col("p").alias("p_sync"), F.col("p").alias("q_sync"),
+        F.col("structure").alias("p_causal"), F.col("structure").alias("q_causal"),
+    )
+    return network.significant_links(k, 0.5).select("series_id", "link_type", "src", "dst", "score", "lag")
+
+
+@query(f"WITH {EDGES} SELECT series_id, src, dst, CAST(score > 0.5 AS INTEGER) AS is_edge FROM edges")
+def binarize_threshold(spark, sf_dir):
+    return sc.binarized(edges(spark, sf_dir), threshold=0.5).select("series_id", "src", "dst", "is_edge")
+
+
+@query(
+    f"""WITH {EVENTS}, r AS (SELECT stddev_pop(value) OVER (PARTITION BY dim ORDER BY t ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS rho FROM panel)
+    SELECT round(stddev_pop(rho) / (avg(rho) + 1e-10), 6) + 0.0 AS rho_cv FROM r"""
+)
+def tension_variation(spark, sf_dir):
+    return jmp.tension_variation(events_hourly(spark, sf_dir)).select(r6("rho_cv").alias("rho_cv"))

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 #: At sf0.001 one step equals its jump threshold to 4e-16, so engines that sum
 #: in another order disagree on that event; at sf0.01 no step is that near.
 LARGER = {"signed_best_lag": "/root/testdata/sf0.01"}
-NAMES = ["binarize_at_least", "ranked_links", "method_summary", "min_effect", "pair_spine", "zscore_unit", "panel_events_hourly", "displacement", "signed_best_lag", "ancestor_filter", "bh_fdr_directed", "fuse_suppress", "segments", "eval_ranking", "adaptive_params", "partial_corr_3d"]
+NAMES = ["merged_views", "significant_links", "binarize_threshold", "tension_variation", "binarize_at_least", "ranked_links", "method_summary", "min_effect", "pair_spine", "zscore_unit", "panel_events_hourly", "displacement", "signed_best_lag", "ancestor_filter", "bh_fdr_directed", "fuse_suppress", "segments", "eval_ranking", "adaptive_params", "partial_corr_3d"]
 
 
 @pytest.mark.parametrize("name", NAMES)
