@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh_path, stored
 
-K, BLOCKS, QUERIES, ROWS = 10, 4, 2048, 2048
+K, BLOCKS, QUERIES, ROWS = 10, 4, 8192, 512
 _OUT = "query_row int, vec_id long, score long"
 _NAMES = ["query_row", "vec_id", "score"]
 
@@ -131,10 +131,12 @@ def _phase_one(q: np.ndarray, own: np.ndarray, dim: int, k: int):
         kept = [_Kept(len(q), k) for _ in groups]
         whole = []
         for ids, rows, v in _chunks(batches, dim):
-            total = _dot(q, v, top)
+            parts = [_dot(q[:, g], v[:, g], top) for g in groups]
+            # A score is the sum of its parts, where that fits 64 bits for sure.
+            fits = top * int(np.abs(v).max(initial=0)) * dim < 1 << 62
+            total = sum(parts) if fits else _dot(q, v, top)
             mine = own[:, None] == rows[None, :]
-            for g, best in zip(groups, kept, strict=True):
-                part = _dot(q[:, g], v[:, g], top)
+            for part, best in zip(parts, kept, strict=True):
                 part[mine] = np.iinfo("i8").min // 2
                 at = _best(part, ids, k)
                 row = np.repeat(np.arange(len(q)), at.shape[1])
@@ -201,7 +203,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: int = 1024) -> D
         blocks = [(r["part"], r["count"]) for r in ask.groupBy("part").count().collect()]
     else:
         blocks = [(None, count)] if count else []
-    best = []
+    # Each block's answer is appended to one table, so that the result's plan is
+    # a scan however many blocks there are.
+    path, schema = fresh_path(spark, "top-k"), "query_id long, rank int, vec_id long, score long"
     for part, size in sorted(blocks, key=str):
         for lo in range(0, size, QUERIES):
             few = ask if part is None else ask.where(F.col("part") == part)
@@ -209,13 +213,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: int = 1024) -> D
             dim = max(map(len, few.column("v").to_pylist()))
             names, own = few.column("vec_id").to_numpy(), few.column("row").to_numpy()
             q = _matrix(few.column("v").combine_chunks(), dim)
-            best.append(_answer(spark, vectors, q, own, names, dim, k))
-    if not best:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = best[0]
-    for more in best[1:]:
-        out = out.unionByName(more)
-    return out
+            _answer(spark, vectors, q, own, names, dim, k).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path) if blocks else spark.createDataFrame([], schema)
 
 
 def _answer(spark: SparkSession, vectors: DataFrame, q: np.ndarray, own: np.ndarray, names: np.ndarray, dim: int, k: int) -> DataFrame:

@@ -425,3 +425,18 @@ def test_top_k_leaves_out_the_own_row_only(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(table, F.col("vec_id") % 100 == 0).collect())
     assert got == [(0, 1, 0, 1024 * 1024), (0, 1, 0, 1024 * 1024), (0, 2, 5, 1024 * 512), (0, 2, 5, 1024 * 512)]
     assert topk.top_k(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("queries", [2, 1 << 10])
+def test_top_k_in_blocks_of_queries(spark, monkeypatch, queries):
+    monkeypatch.setattr(topk, "QUERIES", queries)
+    rng = np.random.default_rng(11)
+    # Small numbers, so that many scores are level, and vectors of both signs.
+    vectors = rng.integers(-2, 3, (60, 6))
+    table = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(table, F.col("vec_id") % 5 == 0, k=4).collect()}
+    want = {}
+    for q in range(0, 60, 5):
+        ranked = sorted((-int(vectors[q] @ vectors[i]), i) for i in range(60) if i != q)[:4]
+        want |= {(q, n + 1): (i, -score) for n, (score, i) in enumerate(ranked)}
+    assert got == want
