@@ -4,6 +4,7 @@ from .bpe import op9_backtracking_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .jaccard_join import op8_divide_skip_join
 from .packing import op4_bin_completion
+from .periodic_runs import op11_periodic_runs
 from .secret_scan import op1_secret_scan
 from .sharding import op7_stratified_shards
 from .token_counts import op6_prefix_token_counts
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_divide_skip_join": op8_divide_skip_join,
     "op9_backtracking_bpe": op9_backtracking_bpe,
     "op10_uniform_threshold": op10_uniform_threshold,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES = {
