@@ -4,6 +4,7 @@ from .bpe import op9_backtracking_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .jaccard_join import op8_divide_skip_join
 from .language_id import op12_partial_matching
+from .merkle import OP13_SQL, op13_superblock_manifest
 from .packing import op4_bin_completion
 from .periodic_runs import op11_periodic_runs
 from .secret_scan import op1_secret_scan
@@ -26,9 +27,11 @@ QUERIES = {
     "op10_uniform_threshold": op10_uniform_threshold,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_partial_matching": op12_partial_matching,
+    "op13_superblock_manifest": op13_superblock_manifest,
 }
 
 ORACLES = {
     "op5_exact_dedup": OP5_SQL,
     "op10_uniform_threshold": OP10_SQL,
+    "op13_superblock_manifest": OP13_SQL,
 }
