@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.signals import difference
+from ..sources.panel import windowed
 from .lagged import lag_pairs
+from .quantiles import percentiles
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -113,7 +116,7 @@ def quantile_bins(panel: DataFrame, bins: int = 4) -> DataFrame:
     count once; a constant dimension has bin 0."""
     by = ["series_id", "dim"]
     cuts = [k / bins for k in range(bins + 1)]
-    edges = panel.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile("value", F.array(*map(F.lit, cuts))))).alias("e"))
+    edges = percentiles(panel, by, "value", cuts).select(*by, F.array_sort(F.array_distinct("q")).alias("e"))
     n = F.size("e")
     even = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: F.element_at("e", 1) + (F.element_at("e", -1) - F.element_at("e", 1)) * k / bins)
     edges = edges.withColumn("e", F.when(n > 2, F.col("e")).when(n == 2, even).otherwise(F.array().cast("array<double>")))
@@ -125,9 +128,8 @@ def transfer_entropy(panel: DataFrame, max_lag: int, bins: int = 4) -> DataFrame
     """Per (src, dst, lag): information that the source's bin at t - lag adds
     about the target's at t beyond its own at t - 1; 0 for five frames or less."""
     binned = quantile_bins(panel, bins)
-    own = Window.partitionBy("series_id", "dim").orderBy("t")
     # x at t - lag, y one frame before t, z at t; the lag join gives x and z.
-    past = binned.withColumn("before", F.lag("bin").over(own))
+    past = windowed(binned, lambda r, w: r.withColumn("before", F.lag("bin").over(w)), before=1)
     a = past.select("series_id", "t", F.col("dim").alias("src"), F.col("bin").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"))
     b = past.select("series_id", F.col("t").alias("at"), F.col("dim").alias("dst"), F.col("before").alias("y"), F.col("bin").alias("z"))
     rows = a.withColumn("at", F.col("t") + F.col("lag")).join(b, ["series_id", "at"]).where("src <> dst AND y IS NOT NULL")
@@ -141,10 +143,9 @@ def transfer_entropy(panel: DataFrame, max_lag: int, bins: int = 4) -> DataFrame
 
 def event_cross_correlation(panel: DataFrame, max_lag: int, percentile: float = 97.0) -> DataFrame:
     """Per (src, dst, lag): mean product of large-step flags at that lag."""
-    by = Window.partitionBy("series_id", "dim").orderBy("t")
-    step = panel.withColumn("d", F.abs(F.lead("value").over(by) - F.col("value"))).where("d IS NOT NULL")
-    cut = F.percentile("d", percentile / 100).over(Window.partitionBy("series_id", "dim"))
-    fired = step.withColumn("e", (F.col("d") > cut).cast("double"))
+    step = difference(panel).withColumn("d", F.abs("d"))
+    cut = percentiles(step, ["series_id", "dim"], "d", [percentile / 100])
+    fired = step.join(cut, ["series_id", "dim"]).withColumn("e", (F.col("d") > F.col("q")[0]).cast("double"))
     return lag_pairs(fired, max_lag, "e").groupBy("series_id", "src", "dst", "lag").agg(F.avg(F.col("x") * F.col("y")).alias("score"))
 
 

@@ -93,18 +93,37 @@ def indirect_support(edges: DataFrame, tau: float = 1.0, eps: float = 1e-12) ->
     return edges.join(best, EDGE, "left").withColumn("indirect", F.coalesce("indirect", F.lit(0.0)))
 
 
-def bh(p: str, *keys: str) -> Column:
-    """Benjamini-Hochberg q of column p among the rows that share keys."""
-    part = Window.partitionBy(*keys)
-    m, k = F.count(p).over(part), F.row_number().over(part.orderBy(p))
-    return F.struct((F.col(p) * m / k).alias("raw"), k.alias("k"))
+def _stretch(p: Column) -> Column:
+    """A number that never falls as p grows from 0 to 1: even steps, and by
+    magnitude below 2^-10, where steps of one width would be too coarse."""
+    return F.when(p >= 2.0**-10, F.floor(p * 65536)).when(p > 0, F.floor(F.log2(F.greatest(p, F.lit(5e-324))) * 64)).otherwise(-(1 << 20)).cast("int")
 
 
 def with_bh(rows: DataFrame, p: str = "p", q: str = "q", keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """Equal p get equal q: the running minimum starts from the largest."""
-    ranked = rows.withColumn("_bh", bh(p, *keys))
-    down = Window.partitionBy(*keys).orderBy("_bh.k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return ranked.withColumn(q, F.least(F.min("_bh.raw").over(down), F.lit(1.0))).drop("_bh")
+    """Benjamini-Hochberg q of column p among the rows that share keys (not null); a
+    null p counts for nothing and has a null q.
+
+    Ranks and running minima go in two steps, so that no task holds all rows of
+    a key: rows of equal p are counted first; stretches of p, at most some
+    hundred thousand of them, carry counts and minima over to one another; and
+    inside a stretch a window does the rest. Equal p get equal q.
+    """
+    by, stretch = list(keys), [*keys, "_s"]
+    each = rows.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).cast("double").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    each = each.withColumn("_s", _stretch(F.col("_p")))
+    over, inside = Window.partitionBy(*by), Window.partitionBy(*stretch).orderBy("_p")
+    counts = each.groupBy(*stretch).agg(F.sum("_n").alias("_c"))
+    base = F.sum("_c").over(over.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*stretch, F.coalesce(base, F.lit(0)).alias("_base"), F.sum("_c").over(over).alias("_m"))
+    rank = F.col("_base") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = each.join(counts, stretch).select(*stretch, "_p", (F.col("_p") * F.col("_m") / rank).alias("_raw"))
+    least = ranked.groupBy(*stretch).agg(F.min("_raw").alias("_least"))
+    later = F.min("_least").over(over.orderBy("_s").rowsBetween(1, Window.unboundedFollowing))
+    rest = F.min("_raw").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    found = ranked.join(least.select(*stretch, later.alias("_later")), stretch)
+    found = found.select(*by, "_p", F.least(rest, "_later", F.lit(1.0)).alias("_q"))
+    asked = rows.drop(q).withColumn("_p", F.col(p).cast("double"))
+    return asked.join(found, [*by, "_p"], "left").select(*(c for c in rows.columns if c != q), F.col("_q").alias(q))
 
 
 def rank_share(x: str, *keys: str) -> Column:

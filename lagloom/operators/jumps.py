@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.signals import clipped, near, rho_tension
+from ..functions.signals import clipped, difference, near, rho_tension
 from ..functions.tails import student_p
 from .lagged import lag_pairs, same_frame_pairs
+from .quantiles import percentiles
 
 EDGE = ["series_id", "src", "dst"]
 
 
-def jump_events(disp: DataFrame, percentile: float = 90.0) -> DataFrame:
-    """disp with the dimension's threshold and event (-1, 0, 1)."""
-    cut = disp.groupBy("series_id", "dim").agg(F.percentile(F.abs("disp"), percentile / 100).alias("threshold"))
-    sign = F.when(F.abs("disp") > F.col("threshold"), F.signum("disp")).otherwise(0).cast("int")
-    return disp.join(cut, ["series_id", "dim"]).withColumn("event", sign)
+#: Steps are set against their threshold to so many decimals: sums taken in
+#: another order must not make an event of a step that is the threshold.
+DIGITS = 12
+
+
+def jump_events(disp: DataFrame, percentile: float | Sequence[float] = 90.0) -> DataFrame:
+    """disp with the dimension's threshold and event (-1, 0, 1). With several
+    percentiles, the column percentile says which one a series has."""
+    shares = [percentile] if isinstance(percentile, (int, float)) else list(percentile)
+    cut = percentiles(disp, ["series_id", "dim"], F.abs("disp"), [p / 100 for p in shares])
+    rows = disp.join(cut, ["series_id", "dim"])
+    threshold = F.col("q")[0]
+    for k, p in enumerate(shares[1:], 1):
+        threshold = F.when(F.col("percentile") == p, F.col("q")[k]).otherwise(threshold)
+    above = F.round(F.abs("disp"), DIGITS) > F.round("threshold", DIGITS)
+    sign = F.when(above, F.signum("disp")).otherwise(0).cast("int")
+    return rows.withColumn("threshold", threshold).drop("q").withColumn("event", sign)
 
 
 def event_statistics(events: DataFrame) -> DataFrame:
@@ -30,14 +45,12 @@ def event_statistics(events: DataFrame) -> DataFrame:
 
 def tension_variation(panel: DataFrame, window: int = 30) -> DataFrame:
     """Spread over mean of the trailing deviation: a diagnostic."""
-    rho = panel.withColumn("rho", rho_tension(window))
-    return rho.groupBy("series_id").agg((F.stddev_pop("rho") / (F.avg("rho") + 1e-10)).alias("rho_cv"))
+    return rho_tension(panel, window).groupBy("series_id").agg((F.stddev_pop("rho") / (F.avg("rho") + 1e-10)).alias("rho_cv"))
 
 
 def volatility_ratio(panel: DataFrame) -> DataFrame:
     """Mean deviation of the differences over the overall deviation."""
-    step = F.lead("value").over(Window.partitionBy("series_id", "dim").orderBy("t")) - F.col("value")
-    per = panel.withColumn("d", step).groupBy("series_id", "dim").agg(F.stddev_pop("d").alias("s"))
+    per = difference(panel).groupBy("series_id", "dim").agg(F.stddev_pop("d").alias("s"))
     whole = panel.groupBy("series_id").agg(F.stddev_pop("value").alias("g"))
     return per.groupBy("series_id").agg(F.avg("s").alias("temporal")).join(whole, "series_id").select(
         "series_id", (F.col("temporal") / (F.col("g") + 1e-10)).alias("vol_ratio")
@@ -119,12 +132,12 @@ def conditional_propagation(events: DataFrame, triples: DataFrame) -> DataFrame:
     """For (a, z, b, lag): P(b fires at t + lag | a fires at t) where z is, or
     is not, active within two frames of t; 0 where nothing is left to count."""
     fired = events.withColumn("fired", F.abs("event"))
-    active = fired.withColumn("active", near("fired"))
-    last = F.max("t").over(Window.partitionBy("series_id"))
-    a = fired.withColumn("last", last).where("fired = 1").select("series_id", F.col("dim").alias("a"), "t", "last")
+    active = near(fired, "fired", "active")
+    last = fired.groupBy("series_id").agg(F.max("t").alias("last"))
+    a = fired.where("fired = 1").join(last, "series_id").select("series_id", F.col("dim").alias("a"), "t", "last")
     z = active.select("series_id", F.col("dim").alias("z"), "t", "active")
     b = fired.select("series_id", F.col("dim").alias("b"), F.col("t").alias("at"), F.col("fired").alias("followed"))
-    rows = a.join(F.broadcast(triples) if triples.isStreaming else triples, ["series_id", "a"]).withColumn("at", F.col("t") + F.col("lag"))
+    rows = a.join(triples, ["series_id", "a"]).withColumn("at", F.col("t") + F.col("lag"))
     rows = rows.where("at <= last").join(z, ["series_id", "z", "t"]).join(b, ["series_id", "b", "at"])
     with_z, without = F.col("active") == 1, F.col("active") == 0
     share = lambda c: F.coalesce(F.avg(F.when(c, F.col("followed").cast("double"))), F.lit(0.0))
@@ -166,22 +179,6 @@ def spurious_edges(edges: DataFrame, events: DataFrame) -> DataFrame:
     return named(ancestor).unionByName(named(mediator)).distinct()
 
 
-def clean_jumps(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each edge (src, dst, lag) the source's jumps that no mediator's jump
-    explains: none of m's jumps lies within one frame of t + lag(src, m), for
-    every m with src -> m and m -> dst, whatever its score (the engine's rule
-    is ``unexplained_jumps``). The frames near are spelled out, so the anti-join
-    is by equality."""
-    jumps = events.where("event <> 0").select("series_id", "t", "dim", "event")
-    own = edges.select(*EDGE, "lag").join(jumps.withColumnRenamed("dim", "src"), ["series_id", "src"])
-    to_m = edges.select("series_id", "src", F.col("dst").alias("m"), F.col("lag").alias("m_lag"))
-    from_m = edges.select("series_id", F.col("src").alias("m"), "dst")
-    between = to_m.join(from_m, ["series_id", "m"]).where("src <> dst")
-    near_m = jumps.select("series_id", F.col("dim").alias("m"), F.explode(F.array(F.col("t") - 1, F.col("t"), F.col("t") + 1)).alias("near"))
-    hit = between.join(near_m, ["series_id", "m"]).select(*EDGE, (F.col("near") - F.col("m_lag")).alias("t")).distinct()
-    return own.join(hit, [*EDGE, "t"], "left_anti")
-
-
 def stronger_mediators(edges: DataFrame) -> DataFrame:
     """(series_id, src, dst, lag, m, m_lag) for each edge and each m with a
     higher score from the same source."""

@@ -8,21 +8,23 @@ their lagged products, so the joins and sums are the same for every pair.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.panel import to_arrays
+from ..sources.panel import to_arrays, windowed
 
 
-def embedded(panel: DataFrame, lags: int, value: str = "value") -> DataFrame:
+def embedded(panel: DataFrame, lags: int, value: str = "value", size: int | None = None) -> DataFrame:
     """series_id, t, v: [x_d(t + c)] with c outer and d inner, and a last 1;
     only frames that have all offsets. One array for each frame, so the window
     below holds ``lags`` + 1 short arrays."""
     wide = to_arrays(panel.select("series_id", "t", "dim", F.col(value).alias("value")))
-    w = Window.partitionBy("series_id").orderBy("t")
-    parts = [F.col("x"), *(F.lead("x", c).over(w) for c in range(1, lags + 1))]
-    rows = wide.select("series_id", "t", F.concat(*parts, F.array(F.lit(1.0))).alias("v"))
-    return rows.where("v IS NOT NULL")
+
+    def add(rows, w):
+        parts = [F.col("x"), *(F.lead("x", c).over(w) for c in range(1, lags + 1))]
+        return rows.withColumn("v", F.concat(*parts, F.array(F.lit(1.0))))
+
+    return windowed(wide, add, after=lags, keys=("series_id",), size=size).select("series_id", "t", "v").where("v IS NOT NULL")
 
 
 def gram_rows(rows: DataFrame, *keys: str) -> DataFrame:

@@ -8,29 +8,29 @@ from pyspark.sql import functions as F
 from ..functions.signals import clipped, of_largest, saturated
 from ..functions.tails import fisher_p
 from .graph import indirect_support, rank_share, with_bh
+from .quantiles import percentiles
 
 EDGE = ["series_id", "src", "dst"]
 
 
-def _series():
-    return Window.partitionBy("series_id")
+def _with_percentile(rows: DataFrame, value: Column, share: float, keys=("series_id",), name: str = "_cut") -> DataFrame:
+    """rows with the percentile of a value over the rows of their keys."""
+    cut = percentiles(rows, keys, value, [share]).select(*keys, F.col("q")[0].alias(name))
+    return rows.join(cut, list(keys), "left")
 
 
 def binarized(edges: DataFrame, threshold: float | None = None, percentile: float = 65.0) -> DataFrame:
     """is_edge: score above the threshold, or above the percentile of the
     series' positive scores."""
-    if threshold is not None:
-        cut = F.lit(threshold)
-    else:
-        cut = F.percentile(F.when(F.col("score") > 0, F.col("score")), percentile / 100).over(_series())
-    return edges.withColumn("is_edge", F.coalesce(F.col("score") > cut, F.lit(False)).cast("int"))
+    rows = edges.withColumn("_cut", F.lit(threshold)) if threshold is not None else _with_percentile(edges, F.when(F.col("score") > 0, F.col("score")), percentile / 100)
+    return rows.withColumn("is_edge", F.coalesce(F.col("score") > F.col("_cut"), F.lit(False)).cast("int")).drop("_cut")
 
 
 def binarized_at_least(edges: DataFrame, threshold: float | None = None, percentile: float = 75.0, symmetric: bool = False) -> DataFrame:
     """is_edge: score reaches the threshold, or the percentile of all the
     series' scores; if symmetric, an edge either way counts both ways."""
-    cut = F.lit(threshold) if threshold is not None else F.percentile("score", percentile / 100).over(_series())
-    rows = edges.withColumn("is_edge", F.coalesce(F.col("score") >= cut, F.lit(False)).cast("int"))
+    rows = edges.withColumn("_cut", F.lit(threshold)) if threshold is not None else _with_percentile(edges, F.col("score"), percentile / 100)
+    rows = rows.withColumn("is_edge", F.coalesce(F.col("score") >= F.col("_cut"), F.lit(False)).cast("int")).drop("_cut")
     if not symmetric:
         return rows
     pair = Window.partitionBy("series_id", F.least("src", "dst"), F.greatest("src", "dst"))
@@ -39,9 +39,8 @@ def binarized_at_least(edges: DataFrame, threshold: float | None = None, percent
 
 def confident(edges: DataFrame, quantile: float = 0.5, least: float = 1e-6) -> DataFrame:
     """Links whose confidence reaches the series' quantile of it."""
-    held = F.greatest("confidence", F.lit(0.0))
-    cut = F.greatest(F.percentile(held, quantile).over(_series()), F.lit(least))
-    return edges.withColumn("_c", cut).where("confidence >= _c").drop("_c")
+    rows = _with_percentile(edges, F.greatest("confidence", F.lit(0.0)), quantile)
+    return rows.where(F.col("confidence") >= F.greatest("_cut", F.lit(least))).drop("_cut")
 
 
 def strong(edges: DataFrame, least: float = 1e-6) -> DataFrame:
@@ -58,9 +57,9 @@ def mixed_score(block: str = "block_norm", delta: str = "delta_mse", confidence:
 def anomaly_score(rows: DataFrame, value: str = "block_norm") -> DataFrame:
     """Per target: distance from the median in robust deviations, boosted in
     steps (above 3, 1.5 and 0.5), as a share of the series' largest."""
-    by = Window.partitionBy("series_id", "dst")
-    med = rows.withColumn("_m", F.median(value).over(by))
-    mad = med.withColumn("_d", F.median(F.abs(F.col(value) - F.col("_m"))).over(by))
+    by = ("series_id", "dst")
+    med = _with_percentile(rows, F.col(value), 0.5, by, "_m")
+    mad = _with_percentile(med, F.abs(F.col(value) - F.col("_m")), 0.5, by, "_d")
     z = (F.col(value) - F.col("_m")) / (1.4826 * F.col("_d") + 1e-12)
     boost = F.when(F.col("_z") > 3, 2.0).when(F.col("_z") > 1.5, 1.5).when(F.col("_z") > 0.5, 1.0).otherwise(0.3)
     raw = mad.withColumn("_z", z).withColumn("_s", F.greatest(F.col(value), F.lit(0.0)) * boost)
@@ -111,8 +110,8 @@ def causal_q(pairs: DataFrame, max_lag: int, n_dims: Column, n: Column) -> DataF
 
 
 def _decided(edges: DataFrame, alpha: float) -> DataFrame:
-    tau = F.coalesce(F.percentile(F.when(F.col("fused") > 0, F.col("fused")), 0.5).over(_series()), F.lit(0.0))
-    return edges.withColumn("is_edge", ((F.col("q") < alpha) & (F.col("fused") > tau)).cast("int"))
+    rows = _with_percentile(edges, F.when(F.col("fused") > 0, F.col("fused")), 0.5)
+    return rows.withColumn("is_edge", ((F.col("q") < alpha) & (F.col("fused") > F.coalesce("_cut", F.lit(0.0)))).cast("int")).drop("_cut")
 
 
 def fuse_suppress(edges: DataFrame, alpha: float = 0.05, floor: float = 0.05) -> DataFrame:

@@ -71,8 +71,7 @@ def _moments(panel: DataFrame, c: InverseConfig, direction: str) -> DataFrame:
 
 def target_fits(panel: DataFrame, c: InverseConfig, solver: DataFrame) -> DataFrame:
     """One row for each source and target. solver: (series_id, solver)."""
-    value = sig.zscore_unit() if c.standardize else F.col("value")
-    scaled = written(panel.withColumn("value", value), "scaled")
+    scaled = written(sig.zscore_unit(panel, "value") if c.standardize else panel, "scaled")
     moments = _moments(scaled, c, "f")
     if c.backward_check:
         moments = moments.unionByName(_moments(pn.reversed_time(scaled), c, "b"))

@@ -11,7 +11,6 @@ from ..functions import signals as sig
 from ..operators import graph as g
 from ..operators import jumps as jmp
 from ..sources import panel as pn
-from ..sources.panel import by_dim
 from ..sources.written import written
 
 EDGE = ["series_id", "src", "dst"]
@@ -32,35 +31,23 @@ class JumpConfig:
 def adapted_events(panel: DataFrame, parameters: DataFrame) -> DataFrame:
     """Steps, thresholds and events with each series' own window and percentile.
 
-    A window's width must be fixed in a plan, so each width in use (at most a
-    few, they follow from three scale factors) has its own branch.
+    A window's width must be fixed in a plan, so each one in use has its own
+    branch. Both follow from fixed scale factors and steps, and the widths are at
+    most ``local_std_window`` * 1.3: a few values, whatever the series.
     """
-    widths = sorted(r["w"] for r in parameters.select(F.col("local_window").alias("w")).distinct().collect())
+    used = parameters.agg(F.collect_set("local_window").alias("w"), F.collect_set("percentile").alias("p")).first()
     rows = panel.join(parameters.select("series_id", "percentile", "local_window"), "series_id")
-    local = F.lit(None).cast("double")
-    for w in widths:
-        local = F.when(F.col("local_window") == w, sig.local_std(w)).otherwise(local)
-    nxt = by_dim()
-    steps = (
-        rows.withColumn("_s", local)
-        .withColumn("disp", (F.lead("value").over(nxt) - F.col("value")) / (F.lead("_s").over(nxt) + sig.EPS))
-        .where("disp IS NOT NULL")
-        .drop("_s")
-    )
-    shares = sorted(r["p"] for r in parameters.select(F.col("percentile").alias("p")).distinct().collect())
-    cut = F.lit(None).cast("double")
-    for p in shares:
-        cut = F.when(F.max("percentile") == p, F.percentile(F.abs("disp"), p / 100)).otherwise(cut)
-    cuts = steps.groupBy("series_id", "dim").agg(cut.alias("threshold"))
-    sign = F.when(F.abs("disp") > F.col("threshold"), F.signum("disp")).otherwise(0).cast("int")
-    return steps.join(cuts, ["series_id", "dim"]).withColumn("event", sign).drop("percentile", "local_window")
+    if not used["w"]:
+        return jmp.jump_events(sig.displacement(rows)).drop("percentile", "local_window")
+    steps = written(sig.displacement(rows, sorted(used["w"])), "steps")
+    return jmp.jump_events(steps, sorted(used["p"])).drop("percentile", "local_window")
 
 
 def jump_edges(panel: DataFrame, config: JumpConfig = JumpConfig()) -> tuple[DataFrame, DataFrame]:
     """(edges, events). edges: score after suppression, raw_score before,
     filtered, lag, sign, p, q, consistency, is_edge."""
     panel = written(panel, "panel")
-    events = jmp.jump_events(sig.displacement(panel, config.local_std_window), config.percentile)
+    events = jmp.jump_events(written(sig.displacement(panel, config.local_std_window), "steps"), config.percentile)
     if config.adaptive:
         found = jmp.adaptive_jump_parameters(
             jmp.event_statistics(events), pn.shape(panel), jmp.volatility_ratio(panel), config.percentile, config.local_std_window, config.rho_window

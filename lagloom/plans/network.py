@@ -233,7 +233,7 @@ def analyze(panel: DataFrame, config: NetworkConfig = NetworkConfig(), window: i
     if window:
         steps, first = steps.where(F.col("t") < window - 1), panel.where(F.col("t") < window)
         parameters = parameters.withColumn("n_frames", F.least("n_frames", F.lit(window)))
-    z = first.withColumn("z", sig.zscore())
+    z = sig.zscore(first)
     pairs = merged_views(view_correlations(steps, parameters, most, "disp"), view_correlations(z, parameters, most, "z"))
     pairs = written(pairs, "pairs")
     links = written(tested_links(pairs, parameters, config.p_value), "links")

@@ -39,7 +39,7 @@ _Z = f"{LINEITEM}, z AS (SELECT t, dim, (value - avg(value) OVER (PARTITION BY d
     UNION ALL SELECT 1, 2, round((bc - ab * ac) / sqrt((1 - ab * ab) * (1 - ac * ac)), 6) + 0.0 FROM r"""
 )
 def partial_corr_3d(spark, sf_dir):
-    z = lineitem_daily(spark, sf_dir).withColumn("z", sig.zscore())
+    z = sig.zscore(lineitem_daily(spark, sf_dir))
     cells = covariance(z, "z").groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", "cov"))).alias("s"))
 
     def solve(pdf):
@@ -136,16 +136,36 @@ def jump_method(spark, sf_dir):
     return fusion.jump_method(events_hourly(spark, sf_dir))
 
 
-@query()
+_ROLLED = ", ".join(
+    f"{f}({c}) OVER (ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS {c}_{s}{n}" for n in (5, 20, 50) for c in ("f_step", "f_square") for f, s in (("avg", "mean"), ("stddev_pop", "sd"))
+)
+_SCALED = ", ".join(f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () < 1e-12 THEN 1 ELSE stddev_pop({c}) OVER () END, 6) + 0.0 AS {c}" for c in rg.FEATURES)
+
+
+@query(
+    f"""WITH {EVENTS}, d AS (SELECT t, dim, value, coalesce(value - lag(value) OVER (PARTITION BY dim ORDER BY t), 0) AS d FROM panel),
+    base AS (SELECT t, avg(abs(value)) AS f_abs, stddev_pop(value) AS f_sd, avg(abs(d)) AS f_step, stddev_pop(d) AS f_step_sd, avg(value * value) AS f_square, avg(d * d) AS f_step_square FROM d GROUP BY t),
+    p AS (SELECT a.t, a.dim AS i, b.dim AS j, a.value AS x, b.value AS y FROM panel a JOIN panel b ON a.t = b.t AND a.dim < b.dim),
+    w AS (SELECT t, count(*) OVER w AS n, covar_pop(x, y) OVER w AS c, stddev_pop(x) OVER w AS sx, stddev_pop(y) OVER w AS sy FROM p WINDOW w AS (PARTITION BY i, j ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+    co AS (SELECT t, avg(CASE WHEN n < 3 OR sx < 1e-9 OR sy < 1e-9 THEN 0 ELSE abs(c / (sx * sy)) END) AS f_coherence FROM w GROUP BY t),
+    wide AS (SELECT dim, greatest(16, least(64, CASE WHEN count(*) >= 20 THEN count(*) // 4 ELSE count(*) END)) AS w FROM panel GROUP BY dim),
+    own AS (SELECT t, dim, least(w, t + 1) AS m FROM panel JOIN wide USING (dim) WHERE least(w, t + 1) >= 8),
+    wave AS (SELECT a.t, a.dim, k.k, m, sqrt(pow(sum(b.value * cos(2 * pi() * ((k.k * b.t) % m) / m)), 2) + pow(sum(b.value * sin(2 * pi() * ((k.k * b.t) % m) / m)), 2)) AS amp
+      FROM own a JOIN panel b ON b.dim = a.dim AND b.t > a.t - m AND b.t <= a.t JOIN (SELECT range AS k FROM range(33)) k ON k.k <= m // 2 GROUP BY ALL),
+    lf AS (SELECT t, sum(CASE WHEN k < greatest(1, (m // 2 + 1) // 4) THEN amp ELSE 0 END) / (sum(amp) + 1e-12) AS f_low FROM wave GROUP BY t),
+    f AS (SELECT base.*, coalesce(f_coherence, 0) AS f_coherence, coalesce(f_low, 0) AS f_low FROM base LEFT JOIN co USING (t) LEFT JOIN lf USING (t)),
+    r AS (SELECT *, {_ROLLED} FROM f)
+    SELECT t, {_SCALED} FROM r"""
+)
 def regime_features(spark, sf_dir):
-    """The features of every frame, rounded."""
+    """The features of every frame."""
     rows = rg.frame_features(events_hourly(spark, sf_dir))
-    return rows.select("series_id", "t", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    return rows.select("t", *(r6(F.col("features")[k]).alias(c) for k, c in enumerate(rg.FEATURES)))
 
 
 @query(f"WITH {LINEITEM} SELECT t, dim, round((value - avg(value) OVER (PARTITION BY dim)) / stddev_pop(value) OVER (PARTITION BY dim), 6) + 0.0 AS z FROM panel")
 def zscore_unit(spark, sf_dir):
-    return lineitem_daily(spark, sf_dir).select("t", "dim", r6(sig.zscore_unit()).alias("z"))
+    return sig.zscore_unit(lineitem_daily(spark, sf_dir)).select("t", "dim", r6("z").alias("z"))
 
 
 @query()

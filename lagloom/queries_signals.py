@@ -8,6 +8,7 @@ from .functions import signals as sig
 from .operators import jumps as jmp
 from .operators import lagged as lg
 from .sources import panel as pn
+from .sources.written import written
 from .tables import (
     DISP, EVENTS, JUMPS, LAGGED, LINEITEM, ORDERS, RESPONSES, events_hourly, lineitem_daily, orders_daily, r6, table,
 )
@@ -30,7 +31,7 @@ def displaced(spark, sf_dir):
 
 
 def jumped(spark, sf_dir):
-    return jmp.jump_events(displaced(spark, sf_dir))
+    return written(jmp.jump_events(written(displaced(spark, sf_dir), "steps")), "events")
 
 
 @query(f"WITH {EVENTS} SELECT t, dim, name, round(value, 6) + 0.0 AS value FROM panel")
@@ -86,17 +87,17 @@ def _window(body: str) -> str:
 
 @query(_window("round(stddev_pop(value) OVER (PARTITION BY dim ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) + 0.0 AS s"))
 def local_std_centered(spark, sf_dir):
-    return events_hourly(spark, sf_dir).select("t", "dim", r6(sig.local_std(10)).alias("s"))
+    return sig.local_std(events_hourly(spark, sf_dir), 10).select("t", "dim", r6("s").alias("s"))
 
 
 @query(_window("round(stddev_pop(value) OVER (PARTITION BY dim ORDER BY t ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING), 6) + 0.0 AS s"))
 def local_std_wide(spark, sf_dir):
-    return events_hourly(spark, sf_dir).select("t", "dim", r6(sig.local_std(20)).alias("s"))
+    return sig.local_std(events_hourly(spark, sf_dir), 20).select("t", "dim", r6("s").alias("s"))
 
 
 @query(_window("round(stddev_pop(value) OVER (PARTITION BY dim ORDER BY t ROWS BETWEEN 30 PRECEDING AND CURRENT ROW), 6) + 0.0 AS rho"))
 def rho_t(spark, sf_dir):
-    return events_hourly(spark, sf_dir).select("t", "dim", r6(sig.rho_tension(30)).alias("rho"))
+    return sig.rho_tension(events_hourly(spark, sf_dir), 30).select("t", "dim", r6("rho").alias("rho"))
 
 
 @query(f"WITH {DISP} SELECT t, dim, round(disp, 6) + 0.0 AS disp FROM disp")
@@ -106,7 +107,7 @@ def displacement(spark, sf_dir):
 
 @query(_window("round((value - avg(value) OVER (PARTITION BY dim)) / stddev_pop(value) OVER (PARTITION BY dim), 6) + 0.0 AS z"))
 def zscore(spark, sf_dir):
-    return events_hourly(spark, sf_dir).select("t", "dim", r6(sig.zscore()).alias("z"))
+    return sig.zscore(events_hourly(spark, sf_dir)).select("t", "dim", r6("z").alias("z"))
 
 
 @query(
@@ -116,8 +117,7 @@ def zscore(spark, sf_dir):
     )
 )
 def rolling_mean_std(spark, sf_dir):
-    mean, sd = sig.rolling(5)
-    return events_hourly(spark, sf_dir).select("t", "dim", r6(mean).alias("mean"), r6(sd).alias("sd"))
+    return sig.rolling(events_hourly(spark, sf_dir), 5).select("t", "dim", r6("mean").alias("mean"), r6("sd").alias("sd"))
 
 
 @query(
@@ -190,11 +190,10 @@ def jump_consistency(spark, sf_dir):
 
 @query(f"WITH {JUMPS}{RESPONSES} SELECT src, dst, lag, sign, round(score, 6) + 0.0 AS score, round(consistency, 6) + 0.0 AS consistency FROM edges")
 def signed_best_lag(spark, sf_dir):
-    return response_edges(spark, sf_dir).select("src", "dst", "lag", "sign", r6("score").alias("score"), r6("consistency").alias("consistency"))
+    return response_edges(jumped(spark, sf_dir)).select("src", "dst", "lag", "sign", r6("score").alias("score"), r6("consistency").alias("consistency"))
 
 
-def response_edges(spark, sf_dir):
-    events = jumped(spark, sf_dir)
+def response_edges(events):
     return jmp.best_response(jmp.signed_responses(events, 5), jmp.jump_consistency(events, 5))
 
 
@@ -249,19 +248,24 @@ bad AS (
 
 @query(f"WITH {JUMPS}{RESPONSES}{_SPURIOUS} SELECT CAST(a AS INTEGER) AS src, CAST(b AS INTEGER) AS dst FROM bad")
 def spurious_filter(spark, sf_dir):
-    return jmp.spurious_edges(response_edges(spark, sf_dir), jumped(spark, sf_dir)).select("src", "dst")
+    events = jumped(spark, sf_dir)
+    return jmp.spurious_edges(response_edges(events), events).select("src", "dst")
 
 
 @query(
-    f"""WITH {JUMPS}{RESPONSES}, near AS (
-      SELECT m.src, m2.dst, j.t + k - m.lag AS t FROM edges m JOIN edges m2 ON m2.src = m.dst AND m2.dst <> m.src
-      JOIN jumps j ON j.dim = m.dst AND j.event <> 0 CROSS JOIN (SELECT unnest([-1, 0, 1]) AS k) WHERE m.lag <= 2 AND m2.lag <= 2
-    ) SELECT e.src, e.dst, count(*) AS n_clean FROM edges e JOIN jumps j ON j.dim = e.src AND j.event <> 0
-    WHERE e.lag <= 2 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.src = e.src AND n.dst = e.dst AND n.t = j.t) GROUP BY ALL"""
+    f"""WITH {JUMPS}{RESPONSES}, med AS (
+      SELECT e.src, e.dst, e.lag, m.dst AS m, m.lag AS m_lag FROM edges e JOIN edges m ON m.src = e.src AND m.dst <> e.dst WHERE m.score > e.score AND e.lag > 0 AND m.lag > 0
+    ) SELECT e.src, e.dst, count(j.t) AS n_jumps, count(j.t) FILTER (NOT EXISTS (
+        SELECT 1 FROM med x JOIN jumps k ON k.dim = x.m AND k.event <> 0 WHERE x.src = e.src AND x.dst = e.dst AND abs(j.t + x.m_lag - k.t) <= 1)) AS n_clean
+    FROM (SELECT DISTINCT src, dst FROM med) e JOIN jumps j ON j.dim = e.src AND j.event <> 0 GROUP BY ALL"""
 )
 def clean_jumps(spark, sf_dir):
-    edges = response_edges(spark, sf_dir).where("lag <= 2")
-    return jmp.clean_jumps(jumped(spark, sf_dir), edges).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_clean"))
+    """Jumps of a source, and those that no mediator of higher score explains."""
+    events = jumped(spark, sf_dir)
+    mediators = jmp.stronger_mediators(response_edges(events))
+    all_ = mediators.select("src", "dst").distinct().join(events.where("event <> 0").select(F.col("dim").alias("src"), "t"), "src").groupBy("src", "dst").agg(F.count("t").alias("n_jumps"))
+    clean = jmp.unexplained_jumps(events, mediators).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_clean"))
+    return all_.join(clean, ["src", "dst"], "left").na.fill(0, ["n_clean"])
 
 
 @query(

@@ -6,15 +6,32 @@ nulls and with every frame 0..T-1 for every dimension of a series.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("series_id", "dim")
+#: Frames of a series whose windows one task computes at once.
+BLOCK = 1 << 16
+
 
+def windowed(
+    rows: DataFrame, add: Callable, before: int = 0, after: int = 0, keys: Sequence[str] = KEYS, size: int | None = None
+) -> DataFrame:
+    """add(rows, w), where w orders the rows of a key by frame, for columns that
+    look at most ``before`` frames back and ``after`` ahead.
 
-def by_dim(order: bool = True):
-    w = Window.partitionBy("series_id", "dim")
-    return w.orderBy("t") if order else w
+    A key's frames are cut into blocks of ``size``, and each block is given the
+    frames around it that its windows reach; those are dropped again. So a
+    series of any length is spread over tasks, and the result is that of one
+    window over the whole of it. Frames must be dense.
+    """
+    size = size or BLOCK
+    reach = F.sequence(F.greatest(F.floor((F.col("t") - after) / size), F.lit(0)), F.floor((F.col("t") + before) / size))
+    copies = rows.withColumn("_block", F.explode(reach))
+    found = add(copies, Window.partitionBy(*keys, "_block").orderBy("t"))
+    return found.where(F.col("_block") == F.floor(F.col("t") / size)).drop("_block")
 
 
 def panelize(
@@ -80,7 +97,8 @@ def frames_between(panel: DataFrame, first: int, end: int) -> DataFrame:
 
 
 def reversed_time(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("t", F.max("t").over(by_dim(False)) - F.col("t"))
+    last = panel.groupBy("series_id", "dim").agg(F.max("t").alias("_last"))
+    return panel.join(last, ["series_id", "dim"]).select(*((F.col("_last") - F.col("t")).alias("t") if c == "t" else c for c in panel.columns))
 
 
 def shape(panel: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ disp AS (
 JUMPS = DISP + """,
 cuts AS (SELECT dim, quantile_cont(abs(disp), 0.9) AS threshold FROM disp GROUP BY dim),
 jumps AS (
-  SELECT d.*, threshold, CAST(CASE WHEN abs(disp) > threshold THEN sign(disp) ELSE 0 END AS INTEGER) AS event
+  SELECT d.*, threshold, CAST(CASE WHEN round(abs(disp), 12) > round(threshold, 12) THEN sign(disp) ELSE 0 END AS INTEGER) AS event
   FROM disp d JOIN cuts USING (dim)
 )"""
 
