@@ -1,15 +1,51 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lagloom.functions.kernels import lasso_cv, precision_pcorr, residual_corr, ridge
-from lagloom.functions.tails import binomial_upper, t_two_sided
+from lagloom.functions import tails
 
 
-def test_tails():
-    assert abs(t_two_sided(2.0, 10) - 0.07338803) < 1e-7
-    assert abs(t_two_sided(1.96, 1e6) - math.erfc(1.96 / math.sqrt(2))) < 1e-5
-    assert abs(binomial_upper(8, 10) - 56 / 1024) < 1e-12
+def _student(t, df):
+    """By the finite series for whole degrees of freedom."""
+    angle = math.atan2(abs(t), math.sqrt(df))
+    c, s = math.cos(angle) ** 2, 1.0
+    if df % 2:
+        for j in range((df - 3) // 2, 0, -1):
+            s = 1 + s * c * 2 * j / (2 * j + 1)
+        return 1 - 2 / math.pi * (angle + (math.sin(angle) * math.cos(angle) * s if df > 1 else 0))
+    for j in range((df - 2) // 2, 0, -1):
+        s = 1 + s * c * (2 * j - 1) / (2 * j)
+    return 1 - math.sin(angle) * s
+
+
+def test_normal_tail(spark):
+    zs = [0.0, 1e-9, 0.3, 1.0, 1.4999, 1.5, 2.0, 2.2, 5.0, 12.0, 30.0, -1.96, None]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", tails.normal_p(F.col("z")).alias("p")).collect()
+    for r in rows:
+        assert r["p"] is None if r["z"] is None else math.isclose(r["p"], math.erfc(abs(r["z"]) / math.sqrt(2)), rel_tol=1e-12)
+
+
+def test_student_tail(spark):
+    cases = [(t, df) for df in (1, 2, 3, 10, 31, 300, 717) for t in (0.0, 1e-6, 0.4, 1.0, 1.74, 2.0, 3.5, -5.0)]
+    rows = spark.createDataFrame(cases + [(None, 3), (2.0, None)], "t double, df int").select("t", "df", tails.student_p(F.col("t"), F.col("df")).alias("p")).collect()
+    for r in rows:
+        if r["t"] is None or r["df"] is None:
+            assert r["p"] is None
+        else:
+            assert math.isclose(r["p"], _student(r["t"], r["df"]), rel_tol=1e-10, abs_tol=1e-14)
+    far = spark.createDataFrame([(1.96, 1e7), (40.0, 30.0), (float("inf"), 5.0), (3.0, 1e8)], "t double, df double").select(tails.student_p(F.col("t"), F.col("df"))).collect()
+    assert math.isclose(far[0][0], math.erfc(1.96 / math.sqrt(2)), rel_tol=1e-5) and 0 < far[1][0] < 1e-25 and far[2][0] == 0.0
+    assert math.isclose(far[3][0], math.erfc(3 / math.sqrt(2)), rel_tol=1e-6)
+
+
+def test_coin_tail(spark):
+    cases = [(k, n) for n in (1, 2, 10, 57, 400, 1000) for k in {0, 1, n // 3, n // 2, n // 2 + 1, n - 1, n, n + 1}]
+    rows = spark.createDataFrame(cases, "k int, n int").select("k", "n", tails.coin_p(F.col("k"), F.col("n")).alias("p")).collect()
+    for r in rows:
+        wanted = sum(math.comb(r["n"], i) for i in range(r["k"], r["n"] + 1)) / 2 ** r["n"]
+        assert math.isclose(r["p"], wanted, rel_tol=1e-10), r
 
 
 def test_residual_corr_equals_direct_regression():
