@@ -13,7 +13,8 @@ from .operators import scores as sc
 from .operators.lagged import covariance
 from .plans import fusion, inverse, jump, network, regime
 from .queries_edges import EDGES, edges
-from .tables import EVENTS, LINEITEM, events_hourly, lineitem_daily, orders_daily, r6
+from .queries_signals import SPURIOUS
+from .tables import ADAPTED, EVENTS, LINEITEM, ORDERS, RESPONSES, events_hourly, lineitem_daily, normal_sql, orders_daily, r6, response_p_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,10 +89,23 @@ def low_freq_ratio(spark, sf_dir):
     return network.low_frequency_share(lineitem_daily(spark, sf_dir)).select(r6("low_share").alias("low_share"))
 
 
+def _diagnosed(name: str, panel: str, n: int) -> str:
+    w, h = max(10, n // 10), max(1, max(10, n // 10) // 2)
+    return f"""SELECT * FROM (WITH {panel},
+      whole AS (SELECT stddev_pop(value) / (avg(abs(value)) + 1e-10) AS vol, stddev_pop(value) AS gstd, count(DISTINCT dim) AS k FROM panel),
+      tmp AS (SELECT avg(s) AS tmp FROM (SELECT stddev_pop(d) AS s FROM (SELECT dim, lead(value) OVER (PARTITION BY dim ORDER BY t) - value AS d FROM panel) GROUP BY dim)),
+      mc AS (SELECT avg(abs(r)) AS mc FROM (SELECT corr(a.value, b.value) AS r FROM panel a JOIN panel b ON a.t = b.t AND a.dim < b.dim GROUP BY a.dim, b.dim)),
+      lv AS (SELECT stddev_pop(s) / (avg(s) + 1e-10) AS lv FROM (
+        SELECT stddev_pop(value) AS s FROM panel JOIN (SELECT range AS k FROM range(0, {n - w}, {h})) b ON t >= k AND t < k + {w} GROUP BY k)),
+      wave AS (SELECT dim, k, sqrt(pow(sum(value * cos(2 * pi() * ((k * t) % {n}) / {n})), 2) + pow(sum(value * sin(2 * pi() * ((k * t) % {n}) / {n})), 2)) AS a
+        FROM panel CROSS JOIN (SELECT CAST(range AS BIGINT) AS k FROM range({max(2, n // 2)})) GROUP BY ALL),
+      low AS (SELECT sum(a) FILTER (k < {max(1, n // 10)}) / (sum(a) + 1e-10) AS low FROM wave)
+      SELECT '{name}' AS panel, {n} AS n, *, 1 - mc AS cx FROM whole, tmp, mc, lv, low)"""
+
+
 @query(
-    """WITH d(series_id, vol, gstd, tmp, cx, mc, n, k, lv, low) AS (VALUES
-      ('t1', 3.0, 1.0, 0.2, 0.8, 0.1, 400, 4, 1.2, 0.9), ('t2', 0.2, 1.0, 2.5, 0.5, 0.5, 500, 60, 0.2, 0.2), ('t3', 1.0, 1.0, 1.0, 0.5, 0.4, 20, 8, 0.5, 0.5))
-    SELECT series_id,
+    f"""WITH d AS ({_diagnosed("lineitem", LINEITEM, 2499)} UNION ALL {_diagnosed("orders", ORDERS, 2405)} UNION ALL {_diagnosed("events", EVENTS, 720)})
+    SELECT panel,
       CAST(round(least(greatest(0.5 + CASE WHEN vol > 2 THEN 0.1 WHEN vol < 0.3 THEN -0.1 ELSE 0 END + CASE WHEN mc > 0.6 THEN 0.1 WHEN mc < 0.2 THEN -0.1 ELSE 0 END
         + CASE WHEN lv > 1 THEN 0.05 ELSE 0 END, 0.15), 0.85), 6) AS DOUBLE) AS sync_threshold,
       CAST(round(least(greatest(0.4 + CASE WHEN tmp < 0.3 * gstd THEN -0.1 WHEN tmp > 2 * gstd THEN 0.1 ELSE 0 END + CASE WHEN k > 50 THEN 0.1 WHEN k <= 5 THEN -0.05 ELSE 0 END
@@ -100,15 +114,29 @@ def low_freq_ratio(spark, sf_dir):
         * CASE WHEN tmp > 2 * gstd THEN 0.8 ELSE 1.0 END), 3), greatest(5, n // 5)) AS INTEGER) AS max_lag FROM d"""
 )
 def adaptive_params(spark, sf_dir):
-    rows = [
-        ("t1", 3.0, 1.0, 0.2, 0.8, 0.1, 400, 4, 1.2, 0.9), ("t2", 0.2, 1.0, 2.5, 0.5, 0.5, 500, 60, 0.2, 0.2), ("t3", 1.0, 1.0, 1.0, 0.5, 0.4, 20, 8, 0.5, 0.5),
-    ]
-    # series, volatility, gstd, temporal, complexity, mean_corr, frames, dims, local, low
-    found = spark.createDataFrame(
-        rows, "series_id string, volatility double, gstd double, temporal double, complexity double, mean_corr double, n_frames int, n_dims int, local_variation double, low_share double"
+    """The parameters of three panels, by the measures of each."""
+    panels = {"lineitem": lineitem_daily, "orders": orders_daily, "events": events_hourly}
+    found = [network.diagnostics(made(spark, sf_dir)).withColumn("series_id", F.lit(name)) for name, made in panels.items()]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    out = network.adaptive_parameters(every, network.NetworkConfig())
+    return out.select(F.col("series_id").alias("panel"), r6("sync_threshold").alias("sync_threshold"), r6("causal_threshold").alias("causal_threshold"), "max_lag")
+
+
+@query(
+    f"""WITH {EDGES}, z AS (
+      SELECT series_id, src AS i, dst AS j, least(raw, 0.99) AS r, lag * sign AS lag, CAST(greatest(100 + b - abs(lag), 1) AS BIGINT) AS n FROM (SELECT *, lag * 10 AS b FROM edges WHERE src < dst)),
+    p AS (SELECT *, least(9 - 2, floor(n / 4)) AS k FROM z),
+    t AS (SELECT *, least(CASE WHEN n - k - 3 >= 1 THEN {normal_sql("(atanh(r) * sqrt(n - k - 3))")} ELSE 1.0 END * 12, 1.0) AS p1 FROM p),
+    d AS (SELECT series_id, i AS src, j AS dst, CASE WHEN lag >= 0 THEN p1 ELSE 1.0 END AS p FROM t UNION ALL SELECT series_id, j, i, CASE WHEN lag <= 0 THEN p1 ELSE 1.0 END FROM t),
+    o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p) AS k, count(*) OVER (PARTITION BY series_id) AS m FROM d)
+    SELECT series_id, src, dst, round(p, 9) + 0.0 AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY series_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) + 0.0 AS q FROM o"""
+)
+def causal_q(spark, sf_dir):
+    pairs = edges(spark, sf_dir).where("src < dst").select(
+        "series_id", F.col("src").alias("i"), F.col("dst").alias("j"), F.least("raw", F.lit(0.99)).alias("r"), (F.col("lag") * F.col("sign")).alias("lag"), (100 + F.col("lag") * 10).alias("n")
     )
-    out = network.adaptive_parameters(found, network.NetworkConfig())
-    return out.select("series_id", r6("sync_threshold").alias("sync_threshold"), r6("causal_threshold").alias("causal_threshold"), "max_lag")
+    rows = sc.causal_q(pairs, 6, F.lit(9), F.col("n"))
+    return rows.select("series_id", "src", "dst", (F.round("p", 9) + 0.0).alias("p"), (F.round("q", 9) + 0.0).alias("q"))
 
 
 @query(f"WITH {LINEITEM} SELECT count(*) AS n_rows, round(sum(value), 2) + 0.0 AS total FROM panel WHERE t >= 3")
@@ -208,15 +236,38 @@ def network_method(spark, sf_dir):
     return fusion.network_method(lineitem_daily(spark, sf_dir))
 
 
-@query()
-def jump_engine(spark, sf_dir):
-    return jump.jump_edges(events_hourly(spark, sf_dir))[0]
+_ENGINE = f"""{ADAPTED}{RESPONSES}{SPURIOUS},
+kept AS (
+  SELECT e.*, {response_p_sql("s.mean", "s.sd", "s.n")} AS p, b.a IS NOT NULL AS filtered
+  FROM edges e JOIN stats s USING (src, dst, lag) LEFT JOIN bad b ON b.a = e.src AND b.b = e.dst
+),
+med AS (
+  SELECT e.src, e.dst, e.lag, m.dst AS m, m.lag AS m_lag FROM kept e JOIN kept m ON m.src = e.src AND m.dst <> e.dst
+  WHERE NOT e.filtered AND NOT m.filtered AND e.score > 0 AND m.score > e.score
+),
+asked_edges AS (SELECT DISTINCT src, dst, lag FROM med),
+clean AS (
+  SELECT e.src, e.dst, e.lag, j.t, j.event FROM asked_edges e JOIN jumps j ON j.dim = e.src AND j.event <> 0 WHERE NOT EXISTS (
+    SELECT 1 FROM med x JOIN jumps k ON k.dim = x.m AND k.event <> 0 WHERE x.src = e.src AND x.dst = e.dst AND abs(j.t + x.m_lag - k.t) <= 1)
+),
+after AS (SELECT c.src, c.dst, avg(y.disp * c.event) AS mean, stddev_samp(y.disp * c.event) AS sd, count(*) AS n FROM clean c JOIN jumps y ON y.dim = c.dst AND y.t = c.t + c.lag GROUP BY ALL),
+given AS (SELECT src, dst, CASE WHEN coalesce(n, 0) < 5 THEN 1.0 ELSE {response_p_sql()} END AS given FROM asked_edges LEFT JOIN after USING (src, dst)),
+final AS (SELECT kept.* EXCLUDE (p), coalesce(given, p) AS p FROM kept LEFT JOIN given USING (src, dst)),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY p) AS k, count(*) OVER (PARTITION BY src) AS m FROM final),
+engine AS (SELECT *, least(1.0, min(p * m / k) OVER (PARTITION BY src ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM ranks)"""
 
 
-@query()
-def response_p_values(spark, sf_dir):
-    events = jmp.jump_events(sig.displacement(events_hourly(spark, sf_dir)))
-    return jmp.response_p(jmp.signed_responses(events, 5))
+@query(
+    f"""WITH {_ENGINE} SELECT src, dst, round(score * if(filtered, 0.05, 1) * if(q >= 0.05, 0.05, 1) * if(consistency <= 0.7, 0.05, 1), 6) + 0.0 AS score,
+      round(score, 6) + 0.0 AS raw_score, filtered, lag, sign, round(p, 6) + 0.0 AS p, round(q, 6) + 0.0 AS q, round(consistency, 6) + 0.0 AS consistency,
+      CAST(q < 0.05 AND NOT filtered AND score > 0 AND consistency > 0.7 AS INTEGER) AS is_edge FROM engine"""
+)
+def jump_engine(spark, sf_dir):
+    rows = jump.jump_edges(events_hourly(spark, sf_dir))[0]
+    return rows.select(
+        "src", "dst", r6("score").alias("score"), r6("raw_score").alias("raw_score"), "filtered", "lag", "sign", r6("p").alias("p"), r6("q").alias("q"),
+        r6("consistency").alias("consistency"), "is_edge",
+    )
 
 
 @query()

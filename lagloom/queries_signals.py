@@ -10,7 +10,7 @@ from .operators import lagged as lg
 from .sources import panel as pn
 from .sources.written import written
 from .tables import (
-    DISP, EVENTS, JUMPS, LAGGED, LINEITEM, ORDERS, RESPONSES, events_hourly, lineitem_daily, orders_daily, r6, table,
+    ADAPTIVE, DISP, EVENTS, JUMPS, LAGGED, LINEITEM, ORDERS, RESPONSES, events_hourly, lineitem_daily, orders_daily, r6, response_p_sql, table,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -183,6 +183,12 @@ def signed_mean_tstat(spark, sf_dir):
     return rows.select("src", "dst", "lag", "n", r6("mean").alias("mean"), r6("t_stat").alias("t_stat"))
 
 
+@query(f"WITH {JUMPS}{RESPONSES} SELECT src, dst, lag, n, round({response_p_sql()}, 6) + 0.0 AS p FROM stats")
+def response_p_values(spark, sf_dir):
+    rows = jmp.response_p(jmp.signed_responses(displaced(spark, sf_dir), 5))
+    return rows.select("src", "dst", "lag", "n", r6("p").alias("p"))
+
+
 @query(f"WITH {JUMPS}{RESPONSES} SELECT src, dst, lag, n_jumps, round(consistency, 6) + 0.0 AS consistency FROM cons")
 def jump_consistency(spark, sf_dir):
     return jmp.jump_consistency(jumped(spark, sf_dir), 5).select("src", "dst", "lag", "n_jumps", r6("consistency").alias("consistency"))
@@ -222,7 +228,8 @@ def conditional_propagation(spark, sf_dir):
     return rows.select("a", "z", "b", r6("p_with").alias("p_with"), r6("p_without").alias("p_without"), "n_with", "n_without")
 
 
-_SPURIOUS = """,
+#: The edges that the conditional tests explain: (a, b) of bad.
+SPURIOUS = """,
 e AS (SELECT * FROM edges WHERE score > 0),
 act AS (SELECT t, dim, abs(event) AS e, max(abs(event)) OVER (PARTITION BY dim ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS active FROM jumps),
 tri AS (
@@ -246,7 +253,7 @@ bad AS (
 )"""
 
 
-@query(f"WITH {JUMPS}{RESPONSES}{_SPURIOUS} SELECT CAST(a AS INTEGER) AS src, CAST(b AS INTEGER) AS dst FROM bad")
+@query(f"WITH {JUMPS}{RESPONSES}{SPURIOUS} SELECT CAST(a AS INTEGER) AS src, CAST(b AS INTEGER) AS dst FROM bad")
 def spurious_filter(spark, sf_dir):
     events = jumped(spark, sf_dir)
     return jmp.spurious_edges(response_edges(events), events).select("src", "dst")
@@ -268,16 +275,7 @@ def clean_jumps(spark, sf_dir):
     return all_.join(clean, ["src", "dst"], "left").na.fill(0, ["n_clean"])
 
 
-@query(
-    f"""WITH {JUMPS}, f AS (SELECT t, dim, abs(event) AS e FROM jumps),
-    co AS (SELECT avg(p) AS c FROM (SELECT avg(a.e * b.e) AS p FROM f a JOIN f b ON a.t = b.t AND a.dim < b.dim GROUP BY a.dim, b.dim)),
-    vol AS (SELECT avg(s) AS v FROM (SELECT stddev_pop(d) AS s FROM (SELECT dim, lead(value) OVER (PARTITION BY dim ORDER BY t) - value AS d FROM panel) GROUP BY dim)),
-    g AS (SELECT (SELECT v FROM vol) / (stddev_pop(value) + 1e-10) AS ratio FROM panel),
-    s AS (SELECT (SELECT avg(e) FROM f) AS density, (SELECT c FROM co) AS cofiring, (SELECT ratio FROM g) AS ratio)
-    SELECT least(CASE WHEN density > 0.15 THEN least(92.0, 97.0) WHEN density < 0.03 THEN 87.0 ELSE 90.0 END + CASE WHEN cofiring > 0.02 THEN 1 ELSE 0 END, 97.0)::DOUBLE AS percentile,
-           CAST(least(greatest(floor(20 * CASE WHEN ratio > 1.5 THEN 0.8 ELSE 1.0 END), 5), 144) AS INTEGER) AS local_window,
-           CAST(least(greatest(floor(30 * CASE WHEN ratio > 1.5 THEN 0.8 ELSE 1.0 END), 5), 144) AS INTEGER) AS rho_window FROM s"""
-)
+@query(f"WITH {ADAPTIVE} SELECT * FROM parameters")
 def adaptive_jump_params(spark, sf_dir):
     panel = events_hourly(spark, sf_dir)
     rows = jmp.adaptive_jump_parameters(jmp.event_statistics(jumped(spark, sf_dir)), pn.shape(panel), jmp.volatility_ratio(panel))
