@@ -56,6 +56,56 @@ def residual_corr(g: np.ndarray, s: np.ndarray, n: float, a: int, b: int, z: lis
     return corr(gaa, gbb, gab, mean[a] - sz @ wa / n, mean[b] - sz @ wb / n)
 
 
+#: From this condition on, of scaled columns, pairs are solved one by one.
+ILL = 1e9
+
+
+def lagged_partials(g: np.ndarray, d: int, k: int) -> np.ndarray:
+    """r[a, b]: correlation of column a at offset 0 and b at offset k given all
+    other dimensions at offsets 0 to k, for every ordered pair at once.
+
+    g: moments of the columns (offset, dimension) in order, and of a last column
+    of ones. The matrix of all columns is inverted once. The rows and columns of
+    its inverse that belong to a pair's dimensions (and to the ones), inverted
+    again, are the moments of what all others leave of them. Where the columns
+    are dependent, or more than half the rows, ``residual_corr`` solves each
+    pair by itself.
+    """
+    r, n, one = np.zeros((d, d)), g[-1, -1], d * (k + 1)
+    use = [*range(one), len(g) - 1]
+    g = g[np.ix_(use, use)]
+    varies = np.sqrt(np.maximum(np.diag(g) / n - (g[-1] / n) ** 2, 0)) > 1e-10
+    kept = np.flatnonzero(np.append(varies[:-1], True))
+    own = [[m for m in range(len(kept) - 1) if kept[m] % d == x] for x in range(d)]  # places in the kept columns
+    inverse = None
+    if d >= 3 and len(kept) - 1 <= n // 2:
+        scale = 1 / np.sqrt(np.diag(g)[kept])
+        a = g[np.ix_(kept, kept)] * np.outer(scale, scale)
+        try:
+            inverse = np.linalg.inv(a)
+            if np.abs(a).sum(axis=0).max() * np.abs(inverse).sum(axis=0).max() > ILL:
+                inverse = None
+        except np.linalg.LinAlgError:
+            pass
+    for a in range(d):
+        for b in range(a + 1, d):
+            if inverse is None:
+                z = [c * d + m for c in range(k + 1) for m in range(d) if m not in (a, b)] if d >= 3 else []
+                for x, y in ((a, b), (b, a)):
+                    r[x, y] = residual_corr(g, g[-1], n, x, k * d + y, z)
+                continue
+            s = [*own[a], *own[b], len(kept) - 1]
+            at = {int(kept[m]): i for i, m in enumerate(s)}
+            left = np.linalg.inv(inverse[np.ix_(s, s)]) / np.outer(scale[s], scale[s]) / n
+            for x, y in ((a, k * d + b), (b, k * d + a)):
+                if x in at and y in at:
+                    i, j, mean = at[x], at[y], left[-1]
+                    v = (left[i, i] - mean[i] ** 2, left[j, j] - mean[j] ** 2)
+                    if min(v) > 1e-20:
+                        r[x, y % d] = np.clip((left[i, j] - mean[i] * mean[j]) / np.sqrt(v[0] * v[1]), -1, 1)
+    return r
+
+
 def ridge(xx: np.ndarray, xy: np.ndarray, alpha: float, smooth: float, blocks: list[list[int]]) -> np.ndarray:
     """Ridge with neighbouring lags of a block drawn together."""
     m = xx + alpha * np.eye(len(xx))

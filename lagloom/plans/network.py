@@ -119,26 +119,28 @@ def view_correlations(panel: DataFrame, parameters: DataFrame, most_lag: int, va
 
     The moments for lag k run over the frames that have it. One sum over the
     frames that have all lags serves every lag; the last few frames are added
-    for the lags they have. Each lag of a series is then solved by itself from
-    a matrix whose size depends on dimensions and lags alone.
+    for the lags they have. Each lag of a series is then solved by itself, all
+    its pairs from one inverse of a matrix whose size depends on dimensions and
+    lags alone.
     """
     ends = panel.groupBy("series_id").agg((F.max("t") + 1).alias("n"))
     wide = embedded_padded(panel, most_lag, value).join(ends, "series_id").withColumn("last", F.col("t") >= F.col("n") - most_lag)
     # Offsets beyond the lag are padding in the last frames; they are never read.
     own = F.when(F.col("last"), F.sequence(F.lit(0), (F.col("n") - F.col("t") - 1).cast("int"))).otherwise(F.array(F.lit(-1)))
     parts = gram_rows(wide.select("series_id", F.explode(own).alias("lag"), "v"), "series_id", "lag")
-    every = F.when(F.col("lag") < 0, F.sequence(F.lit(0), F.lit(most_lag))).otherwise(F.array("lag"))
-    moments = summed(parts.select("series_id", F.explode(every).alias("lag"), "row", "part"), "series_id", "lag")
+    # What all lags share is summed before each lag is given a copy of it.
+    moments = written(summed(parts, "series_id", "lag"), "moments")
+    every = F.when(F.col("lag") < 0, F.sequence(F.lit(0), F.col("max_lag"))).otherwise(F.array("lag"))
     sizes = parameters.select("series_id", "n_dims", "max_lag")
-    rows = moments.join(sizes, "series_id").where("lag <= max_lag")
+    rows = moments.join(sizes, "series_id").where("lag <= max_lag").select("series_id", "n_dims", F.explode(every).alias("lag"), "g")
 
     def solve(pdf):
         import numpy as np
 
-        from ..functions.kernels import precision_pcorr, residual_corr
+        from ..functions.kernels import lagged_partials, precision_pcorr
 
         out, d, k = [], int(pdf["n_dims"].iloc[0]), int(pdf["lag"].iloc[0])
-        g, name = symmetric(pdf["g"].iloc[0]), pdf["series_id"].iloc[0]
+        g, name = sum(symmetric(x) for x in pdf["g"]), pdf["series_id"].iloc[0]
         n, s = g[-1, -1], g[-1, :d]
         if k == 0:
             cov = (g[:d, :d] - np.outer(s, s) / n) / max(n - 1, 1)
@@ -150,11 +152,8 @@ def view_correlations(panel: DataFrame, parameters: DataFrame, most_lag: int, va
                 r = np.where(bottom > 1e-20, cov / np.where(bottom > 1e-20, bottom, 1), 0.0)
             out = [(name, i, j, 0, float(r[i, j])) for i in range(d) for j in range(i + 1, d)]
         elif n > 1:  # a lag of all frames but one or more says nothing
-            for a in range(d):
-                for b in range(d):
-                    if a != b:
-                        z = [c * d + m for c in range(k + 1) for m in range(d) if m not in (a, b)] if d >= 3 else []
-                        out.append((name, a, b, k, residual_corr(g, g[-1], n, a, k * d + b, z)))
+            r = lagged_partials(g, d, k)
+            out = [(name, a, b, k, float(r[a, b])) for a in range(d) for b in range(d) if a != b]
         return pd.DataFrame(out, columns=["series_id", "src", "dst", "lag", "r"])
 
     found = written(rows.groupBy("series_id", "lag").applyInPandas(solve, _LAGGED), "lagged")

@@ -1,9 +1,10 @@
 import math
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lagloom.functions.kernels import lasso_cv, precision_pcorr, residual_corr, ridge
+from lagloom.functions.kernels import lagged_partials, lasso_cv, precision_pcorr, residual_corr, ridge
 from lagloom.functions import tails
 
 
@@ -57,6 +58,57 @@ def test_residual_corr_equals_direct_regression():
     assert abs(residual_corr(g, g[-1], 300, 0, 1, z) - np.corrcoef(ra, rb)[0, 1]) < 1e-10
 
 
+def _embedded(x, k):
+    n = len(x) - k
+    return np.hstack([*(x[c : c + n] for c in range(k + 1)), np.ones((n, 1))])
+
+
+def test_all_lagged_partials_equal_each_pair_by_itself():
+    rng = np.random.default_rng(6)
+    plain = np.cumsum(rng.normal(size=(500, 5)), axis=0) * 0.1 + rng.normal(size=(500, 5)) + 3
+    constant, copied = plain.copy(), plain.copy()
+    constant[:, 2] = 4.0
+    copied[:, 3] = 2 * copied[:, 1]
+    for x, k in ((plain, 1), (plain, 6), (constant, 2), (copied, 2), (plain[:60], 8), (plain[:, :2], 3)):
+        v, d = _embedded(x, k), x.shape[1]
+        g, r = v.T @ v, lagged_partials(v.T @ v, d, k)
+        for a in range(d):
+            for b in range(d):
+                if a != b:
+                    z = [c * d + m for c in range(k + 1) for m in range(d) if m not in (a, b)] if d >= 3 else []
+                    assert abs(r[a, b] - residual_corr(g, g[-1], len(v), a, k * d + b, z)) < 1e-8
+    z = [c * 5 + m for c in range(3) for m in (2, 3, 4)]
+    v = _embedded(plain, 2)
+    ra, rb = (v[:, y] - v[:, z] @ np.linalg.lstsq(v[:, z], v[:, y], rcond=None)[0] for y in (0, 11))
+    assert abs(lagged_partials(v.T @ v, 5, 2)[0, 1] - np.corrcoef(ra, rb)[0, 1]) < 1e-9
+
+
+def test_lagged_partials_of_sixty_dimensions():
+    began = time.perf_counter()
+    x = np.random.default_rng(7).normal(size=(3000, 60))
+    x[12:, 1] += 0.8 * x[:-12, 0]
+    v = _embedded(x, 12)
+    r = lagged_partials(v.T @ v, 60, 12)
+    assert r[0, 1] > 0.5 and np.abs(np.delete(r, 1)).max() < 0.2
+    z = [c * 60 + m for c in range(13) for m in range(2, 60)]
+    g = v.T @ v
+    assert abs(r[0, 1] - residual_corr(g, g[-1], len(v), 0, 12 * 60 + 1, z)) < 1e-8
+    assert time.perf_counter() - began < 30
+
+
+def test_reduced_conditioning_columns():
+    """More columns than half the rows: the directions that hold 95 %."""
+    rng = np.random.default_rng(8)
+    v = np.column_stack([rng.normal(size=(30, 22)) * np.linspace(3, 0.1, 22), np.ones(30)])
+    z = list(range(2, 22))
+    w, e = np.linalg.svd(v[:, z], full_matrices=False)[1:]
+    k = int(np.searchsorted(np.cumsum(w**2) / (w**2).sum(), 0.95)) + 1
+    c = v[:, z] @ e[:k].T
+    ra, rb = (v[:, y] - c @ np.linalg.lstsq(c, v[:, y], rcond=None)[0] for y in (0, 1))
+    g = v.T @ v
+    assert abs(residual_corr(g, g[-1], 30, 0, 1, z) - np.corrcoef(ra, rb)[0, 1]) < 1e-9
+
+
 def test_precision_pcorr_of_three():
     x = np.random.default_rng(2).normal(size=(500, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.5], [0, 0, 1]])
     r = np.corrcoef(x.T)
