@@ -145,16 +145,30 @@ def event_cross_correlation(panel: DataFrame, max_lag: int, percentile: float =
     """Per (src, dst, lag): mean product of large-step flags at that lag."""
     step = difference(panel).withColumn("d", F.abs("d"))
     cut = percentiles(step, ["series_id", "dim"], "d", [percentile / 100])
-    fired = step.join(cut, ["series_id", "dim"]).withColumn("e", (F.col("d") > F.col("q")[0]).cast("double"))
+    # to nine decimals, so that a step that is the threshold isn't above it
+    above = F.round("d", 9) > F.round(F.col("q")[0], 9)
+    fired = step.join(cut, ["series_id", "dim"]).withColumn("e", above.cast("double"))
     return lag_pairs(fired, max_lag, "e").groupBy("series_id", "src", "dst", "lag").agg(F.avg(F.col("x") * F.col("y")).alias("score"))
 
 
+def shuffled(panel: DataFrame, permutations: int, seed: int = 0) -> DataFrame:
+    """panel with run, and in each run the frames of each dimension in an order
+    of their own: that of md5 of seed, run, dimension and frame. A frame's place
+    is counted inside its first four hex digits and over those before, so a long
+    series is spread over tasks."""
+    key = [*(c for c in ("series_id", "run", "dim")), "_part"]
+    mark = F.md5(F.concat_ws(",", F.lit(seed), "run", "dim", "t"))
+    runs = panel.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_mark", mark).withColumn("_part", F.substring("_mark", 1, 4))
+    before = F.sum("_n").over(Window.partitionBy(*key[:3]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).select(*key, F.coalesce(before, F.lit(0)).alias("_base"))
+    place = F.col("_base") + F.row_number().over(Window.partitionBy(*key).orderBy("_mark", "t")) - 1
+    return runs.join(parts, key).withColumn("t", place.cast("long")).drop("_mark", "_part", "_base")
+
+
 def permutation_p(panel: DataFrame, score, best: DataFrame, permutations: int = 30, seed: int = 0) -> DataFrame:
-    """(1 + runs that reach the best score) / (runs + 1), the source's frames
+    """(1 + runs that reach the best score) / (runs + 1), each dimension's frames
     shuffled in each run: one job for all runs, as series of their own."""
-    runs = panel.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    shuffled = Window.partitionBy("series_id", "run", "dim").orderBy(F.xxhash64(F.lit(seed), "run", "dim", "t"))
-    mixed = runs.withColumn("t", (F.row_number().over(shuffled) - 1).cast("long"))
+    mixed = shuffled(panel, permutations, seed)
     named = mixed.withColumn("series_id", F.concat_ws("\u0001", "series_id", F.col("run").cast("string")))
     null = score(named.drop("run"))
     null = null.withColumn("series_id", F.substring_index("series_id", "\u0001", 1)).withColumnRenamed("score", "null_score")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signals as sig
@@ -62,20 +62,29 @@ def diagnostics(panel: DataFrame) -> DataFrame:
 
 
 def block_variation(panel: DataFrame) -> DataFrame:
-    """Spread over mean of the deviation in overlapping blocks of a tenth."""
+    """Spread over mean of the deviation in overlapping blocks of a tenth.
+
+    A block of w frames starts every h = w div 2 frames, so it is two cells of h
+    frames, and the first frame of the next cell where w is odd. Cells are summed
+    once and put together; no frame is copied.
+    """
     n = F.col("n_frames")
     size = F.greatest(F.lit(10), F.floor(n / 10))
-    step = F.greatest(F.lit(1), F.floor(size / 2))
-    rows = panel.join(pn.shape(panel), "series_id").select("series_id", "t", "value", size.alias("w"), step.alias("h"), n.alias("n"))
-    # A frame lies in the blocks k with k * h <= t < k * h + w and k * h < n - w.
-    first = F.greatest(F.lit(0), F.ceil((F.col("t") - F.col("w") + 1) / F.col("h")))
-    last = F.least(F.floor(F.col("t") / F.col("h")), F.ceil((F.col("n") - F.col("w")) / F.col("h")) - 1)
-    blocks = rows.select("series_id", "value", first.alias("k0"), last.alias("k1")).where("k0 <= k1").select(
-        "series_id", "value", F.explode(F.sequence("k0", "k1")).alias("k")
-    )
-    sd = blocks.groupBy("series_id", "k").agg(F.stddev_pop("value").alias("s"))
+    rows = panel.join(pn.shape(panel), "series_id").select("series_id", "t", "value", size.alias("w"), F.floor(size / 2).alias("h"), n.alias("n"))
+    first = F.when(F.col("t") % F.col("h") == 0, F.col("value"))
+    parts = [x for v, tag in ((F.col("value"), ""), (first, "1")) for x in (F.count(v).alias(f"n{tag}"), F.avg(v).alias(f"m{tag}"), F.var_pop(v).alias(f"v{tag}"))]
+    cells = rows.groupBy("series_id", "n", "w", "h", F.floor(F.col("t") / F.col("h")).alias("k")).agg(*(x.alias(f"c{i}") for i, x in enumerate(parts)))
+    cell = F.struct(F.col("c0").alias("n"), F.col("c1").alias("m"), F.col("c2").alias("v"))
+    head = F.struct(F.col("c3").alias("n"), F.col("c4").alias("m"), F.col("c5").alias("v"))
+    w = Window.partitionBy("series_id").orderBy("k")  # some twenty cells
+    odd = F.when(F.col("w") % 2 == 1, F.lead(head, 2).over(w))
+    blocks = cells.select("series_id", "k", "n", "w", "h", F.filter(F.array(cell, F.lead(cell).over(w), odd), lambda c: c.isNotNull()).alias("parts"))
+    blocks = blocks.where(F.col("k") * F.col("h") < F.col("n") - F.col("w"))
+    total = lambda f: F.aggregate(F.transform("parts", f), F.lit(0.0), lambda x, y: x + y)
+    blocks = blocks.withColumn("count", total(lambda c: c["n"].cast("double"))).withColumn("mean", total(lambda c: c["n"] * c["m"]) / F.col("count"))
+    sd = F.sqrt(total(lambda c: c["n"] * (c["v"] + F.pow(c["m"] - F.col("mean"), F.lit(2.0)))) / F.col("count"))
     cv = F.when(F.count("s") > 1, F.stddev_pop("s") / (F.avg("s") + 1e-10)).otherwise(0.5)
-    return sd.groupBy("series_id").agg(cv.alias("local_variation"))
+    return blocks.withColumn("s", sd).groupBy("series_id").agg(cv.alias("local_variation"))
 
 
 def low_frequency_share(panel: DataFrame) -> DataFrame:

@@ -457,17 +457,29 @@ def transfer_entropy(spark, sf_dir):
     return ev.transfer_entropy(lineitem_daily(spark, sf_dir), 3).select("src", "dst", "lag", r6("te").alias("te"))
 
 
-@query(
-    f"""WITH {EVENTS}, s AS (SELECT * FROM (SELECT t, dim, abs(lead(value) OVER (PARTITION BY dim ORDER BY t) - value) AS d FROM panel) WHERE d IS NOT NULL),
-    e AS (SELECT s.t, s.dim, CAST(d > c AS INTEGER) AS e FROM s JOIN (SELECT dim, quantile_cont(d, 0.97) AS c FROM s GROUP BY dim) USING (dim))
-    SELECT a.dim AS src, b.dim AS dst, l.lag, round(avg(a.e * b.e), 6) + 0.0 AS score FROM e a CROSS JOIN (SELECT CAST(range AS INTEGER) AS lag FROM range(1, 6)) l JOIN e b ON b.t = a.t + l.lag AND b.dim <> a.dim GROUP BY ALL"""
-)
+_XCORR = """SELECT run, a.dim AS src, b.dim AS dst, l.lag, avg(a.e * b.e) AS score FROM e a CROSS JOIN (SELECT CAST(range AS INTEGER) AS lag FROM range(1, {})) l
+    JOIN e b USING (run) WHERE b.t = a.t + l.lag AND b.dim <> a.dim GROUP BY ALL"""
+
+
+def _fired(panel: str) -> str:
+    """e: flags of large steps, by run."""
+    return f"""s AS (SELECT * FROM (SELECT run, t, dim, abs(lead(value) OVER (PARTITION BY run, dim ORDER BY t) - value) AS d FROM {panel}) WHERE d IS NOT NULL),
+    e AS (SELECT s.run, s.t, s.dim, CAST(round(d, 9) > round(c, 9) AS INTEGER) AS e FROM s JOIN (SELECT run, dim, quantile_cont(d, 0.97) AS c FROM s GROUP BY ALL) USING (run, dim))"""
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT 0 AS run, * FROM panel), {_fired("r")} SELECT src, dst, lag, round(score, 6) + 0.0 AS score FROM ({_XCORR.format(6)})""")
 def event_xcorr(spark, sf_dir):
     return ev.event_cross_correlation(events_hourly(spark, sf_dir), 5).select("src", "dst", "lag", r6("score").alias("score"))
 
 
-@query()
+@query(
+    f"""WITH {EVENTS}, runs AS (SELECT CAST(range AS INTEGER) AS run FROM range(31)),
+    m AS (SELECT run, dim, value, row_number() OVER (PARTITION BY run, dim ORDER BY CASE WHEN run > 0 THEN md5(concat_ws(',', 0, run, dim, t)) END, t) - 1 AS t FROM panel CROSS JOIN runs),
+    {_fired("m")}, x AS (SELECT run, src, dst, max(score) AS score FROM ({_XCORR.format(4)}) GROUP BY ALL)
+    SELECT a.src, a.dst, round(a.score, 9) + 0.0 AS score, round((1 + count(*) FILTER (b.score >= a.score)) / 31, 6) + 0.0 AS p
+    FROM x a JOIN x b ON a.src = b.src AND a.dst = b.dst AND b.run > 0 WHERE a.run = 0 GROUP BY a.src, a.dst, a.score"""
+)
 def event_xcorr_permuted(spark, sf_dir):
     score = lambda p: ev.event_cross_correlation(p, 3).groupBy("series_id", "src", "dst").agg(F.max("score").alias("score"))
     panel = events_hourly(spark, sf_dir)
-    return ev.permutation_p(panel, score, score(panel), 30).drop("series_id")
+    return ev.permutation_p(panel, score, score(panel), 30).select("src", "dst", (F.round("score", 9) + 0.0).alias("score"), r6("p").alias("p"))

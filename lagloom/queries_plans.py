@@ -40,8 +40,12 @@ _Z = f"{LINEITEM}, z AS (SELECT t, dim, (value - avg(value) OVER (PARTITION BY d
     UNION ALL SELECT 1, 2, round((bc - ab * ac) / sqrt((1 - ab * ab) * (1 - ac * ac)), 6) + 0.0 FROM r"""
 )
 def partial_corr_3d(spark, sf_dir):
-    z = sig.zscore(lineitem_daily(spark, sf_dir))
-    cells = covariance(z, "z").groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", "cov"))).alias("s"))
+    return _partials(lineitem_daily(spark, sf_dir))
+
+
+def _partials(panel):
+    """All pairs given the rest, from the covariances of z-scored values."""
+    cells = covariance(sig.zscore(panel), "z").groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", "cov"))).alias("s"))
 
     def solve(pdf):
         import numpy as np
@@ -57,6 +61,17 @@ def partial_corr_3d(spark, sf_dir):
     return rows.select("i", "j", r6("pcorr").alias("pcorr"))
 
 
+@query(
+    f"""WITH {EVENTS}, r0 AS (SELECT a.dim AS i, b.dim AS j, corr(a.value, b.value) AS r FROM panel a JOIN panel b ON a.t = b.t GROUP BY ALL),
+    r1 AS (SELECT x.i, x.j, y.j AS k, (x.r - y.r * z.r) / sqrt((1 - y.r * y.r) * (1 - z.r * z.r)) AS r FROM r0 x JOIN r0 y ON y.i = x.i AND y.j <> x.j AND y.j <> x.i JOIN r0 z ON z.i = x.j AND z.j = y.j WHERE x.i <> x.j),
+    r2 AS (SELECT x.i, x.j, x.k, y.j AS l, (x.r - y.r * z.r) / sqrt((1 - y.r * y.r) * (1 - z.r * z.r)) AS r FROM r1 x JOIN r1 y ON y.i = x.i AND y.k = x.k AND y.j <> x.j JOIN r1 z ON z.i = x.j AND z.k = x.k AND z.j = y.j),
+    r3 AS (SELECT x.i, x.j, (x.r - y.r * z.r) / sqrt((1 - y.r * y.r) * (1 - z.r * z.r)) AS r FROM r2 x JOIN r2 y ON y.i = x.i AND y.k = x.k AND y.l = x.l AND y.j <> x.j JOIN r2 z ON z.i = x.j AND z.k = x.k AND z.l = x.l AND z.j = y.j WHERE x.k < x.l AND x.l < y.j)
+    SELECT i, j, round(r, 6) + 0.0 AS pcorr FROM r3 WHERE i < j"""
+)
+def partial_corr_5d(spark, sf_dir):
+    return _partials(events_hourly(spark, sf_dir))
+
+
 @query(f"WITH {LINEITEM} SELECT round(stddev_pop(value) / (avg(abs(value)) + 1e-10), 6) + 0.0 AS volatility FROM panel")
 def global_volatility(spark, sf_dir):
     return network.diagnostics(lineitem_daily(spark, sf_dir)).select(r6("volatility").alias("volatility"))
