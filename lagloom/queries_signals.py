@@ -8,9 +8,9 @@ from .functions import signals as sig
 from .operators import jumps as jmp
 from .operators import lagged as lg
 from .sources import panel as pn
-from .sources.written import written
+from .sources.written import fresh_folder, written
 from .tables import (
-    ADAPTIVE, DISP, EVENTS, JUMPS, LAGGED, LINEITEM, ORDERS, RESPONSES, events_hourly, lineitem_daily, orders_daily, r6, response_p_sql, table,
+    ADAPTIVE, DISP, EVENTS, FRAMES, JUMPS, LAGGED, LINEITEM, ORDERS, RESPONSES, events_hourly, lineitem_daily, orders_daily, r6, response_p_sql, table,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -39,6 +39,19 @@ def panel_events_hourly(spark, sf_dir):
     return events_hourly(spark, sf_dir).select("t", "dim", "name", r6("value").alias("value"))
 
 
+@query(f"WITH {EVENTS} SELECT t, dim, name, round(value, 6) + 0.0 AS value FROM panel")
+def panel_streamed(spark, sf_dir):
+    """The hourly panel by way of a stream over the table's files."""
+    from .streaming import panel as live
+
+    # a pattern, as a stream's plain path must be a folder and a table may be one file
+    files = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/[e]vents.parquet")
+    folder = fresh_folder(spark, "streamed")
+    buckets = live.bucketed(files, "ts", "event_type", "value", "HOUR", "60 days")
+    live.writer(buckets, folder, f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
+    return live.read(spark, folder, "2024-01-01 00:00:00", "HOUR", FRAMES).select("t", "dim", "name", r6("value").alias("value"))
+
+
 @query(f"WITH {ORDERS} SELECT t, dim, name, round(value, 2) + 0.0 AS value FROM panel")
 def panel_orders_daily(spark, sf_dir):
     return orders_daily(spark, sf_dir).select("t", "dim", "name", (F.round("value", 2) + 0.0).alias("value"))

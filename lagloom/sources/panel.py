@@ -37,11 +37,9 @@ def windowed(
 def panelize(
     df: DataFrame, ts: str, dim: str, value: str, origin: str, unit: str, frames: int, series: str | None = None
 ) -> DataFrame:
-    """Bucket a timestamped table, sum its values, fill the gaps with 0.
-
-    The sums are partial before the shuffle; the spine has one row for each
-    series, dimension and frame, made by explode, never by a join of facts.
-    """
+    """Bucket a timestamped table, sum its values, fill the gaps with 0. The
+    sums are partial before the shuffle. Rows outside the ``frames`` from origin
+    on, or without time or dimension, belong to no frame."""
     key = F.col(series).cast("string") if series else F.lit("all")
     start = F.lit(origin).cast("timestamp_ntz")
     sums = (
@@ -52,15 +50,26 @@ def panelize(
             F.col(dim).cast("string").alias("name"),
             F.col(value).cast("double").alias("value"),
         )
-        .where(F.col("t").between(0, frames - 1))
         .groupBy("series_id", "name", "t")
         .agg(F.sum("value").alias("value"))
     )
-    names = df.where(F.col(dim).isNotNull()).select(F.col(dim).cast("string").alias("name")).distinct()
+    return dense(sums, frames)
+
+
+def dense(sums: DataFrame, frames: int) -> DataFrame:
+    """(series_id, name, t, value) to a panel: a dimension for every name in
+    sums, also where only frames outside have it, and 0 where nothing is. Names
+    are numbered in order; the spine of a series, dimension and frame is made by
+    explode, never by a join of facts."""
+    names = sums.select("name").distinct()
     dims = names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("dim"))
-    keys = sums.select("series_id").distinct().crossJoin(F.broadcast(dims))
+    inside = sums.where(F.col("t").between(0, frames - 1))
+    # A series' dimensions are made from their count and named by a join on their
+    # number: no series meets a list of all names.
+    many = names.agg(F.count(F.lit(1))).scalar()
+    keys = inside.select("series_id").distinct().withColumn("dim", F.explode(F.sequence(F.lit(0), (many - 1).cast("int")))).join(dims, "dim")
     spine = keys.select("series_id", "dim", "name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long"))).alias("t"))
-    return spine.join(sums, ["series_id", "name", "t"], "left").select(
+    return spine.join(inside, ["series_id", "name", "t"], "left").select(
         "series_id", "t", "dim", "name", F.coalesce("value", F.lit(0.0)).alias("value")
     )
 

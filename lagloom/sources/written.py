@@ -6,24 +6,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df under spark.checkpoint.dir and read it back. The files go when
-    the driver's JVM ends. Without that setting a folder of our own serves, on
-    one machine only."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, removed when the driver's JVM
+    ends. Without that setting a folder of our own serves, on one machine only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        folder = _OWN.setdefault(app, "") or _OWN.update({app: "file://" + tempfile.mkdtemp(prefix="spark-panels-")}) or _OWN[app]
-    path = f"{folder.rstrip('/')}/panels/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-panels-")
+        shared = _OWN[app]
+    path = f"{shared.rstrip('/')}/panels/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to a fresh folder and read it back."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
