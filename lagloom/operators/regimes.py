@@ -111,37 +111,57 @@ def low_frequency(panel: DataFrame, size: int | None = None) -> DataFrame:
     return panel.select("series_id", "t").distinct().join(shares, ["series_id", "t"], "left").na.fill(0.0)
 
 
-def clusters(features: DataFrame, k: int = 3, least: int = 1, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
-    """series_id, t, label: k-means of each series by itself, all series at once.
+def clusters(
+    features: DataFrame, k: int = 3, least: int = 1, rounds: int = 100, tolerance: float = 1e-8, starts: int = 8, seed: int = 0
+) -> DataFrame:
+    """series_id, t, label: k-means of each series by itself, all series and all
+    starts at once; of a series' starts the one of least inertia is kept.
 
     A series has at most one cluster for each ``least`` frames, and one alone if
-    it has fewer than that or than 12. The first clusters are equal parts of the
-    frames in order of their summed features, so nothing is drawn at random. A
-    round joins the frames with their series' k centers and averages anew.
+    it has fewer than that or than 12. A start's first centers are frames drawn
+    one after another with a chance in proportion to their squared distance from
+    those before; a center left without frames is drawn anew. Draws are md5 of
+    seed, start, round and frame, so they don't depend on how rows are dealt.
+    A round sums the frames of each series, start and label; what moves between
+    tasks is sums and centers, never frames.
     """
-    width = features.select(F.size("features").alias("n")).first()
+    rows = written(features.select("series_id", "t", "features"), "frame-features")
+    width = rows.select(F.size("features").alias("n")).first()
     if not width:
-        return features.select("series_id", "t", F.lit(0).alias("label"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    k_of = F.when(n < max(12, least), 1).otherwise(F.least(F.lit(k), F.greatest(F.lit(1), F.floor(n / least)))).cast("int")
-    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
-    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(total, "t")) - 1
-    rows = written(features.select("series_id", "t", "features", F.floor(rank * k_of / n).cast("int").alias("label")), "frame-features")
-    base, centers = rows.drop("label"), None
-    means = [F.avg(F.col("features")[i]) for i in range(width["n"])]
-    for _ in range(rounds):
-        found = rows.groupBy("series_id", "label").agg(F.array(*means).alias("c"))
-        found = found.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("label", "c"))).alias("centers"))
-        found = written(found, "centers")
-        if centers is not None:
-            both = centers.withColumnRenamed("centers", "old").join(found, "series_id")
-            moved = both.select(F.max(F.aggregate(F.zip_with("old", "centers", lambda a, b: _distance(a["c"], b["c"])), F.lit(0.0), lambda x, y: x + F.coalesce(y, F.lit(1.0))))).first()[0]
-            if moved < tolerance * tolerance:
-                break
-        centers = found
-        far = F.transform("centers", lambda c: F.struct(_distance(F.col("features"), c["c"]).alias("d"), c["label"].alias("label")))
-        rows = base.join(centers, "series_id").select("series_id", "t", "features", F.array_min(far)["label"].alias("label"))
-    return rows.select("series_id", "t", "label")
+        return rows.select("series_id", "t", F.lit(0).alias("label"))
+    n = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    k_of = F.when(F.col("n") < max(12, least), 1).otherwise(F.least(F.lit(k), F.greatest(F.lit(1), F.floor(F.col("n") / least)))).cast("int")
+    none = F.array().cast("array<array<double>>")
+    centers = n.select("series_id", k_of.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start"), none.alias("centers"))
+
+    def draw(step):  # above 0, at most 1
+        mark = F.conv(F.substring(F.md5(F.concat_ws(",", F.lit(seed), "start", F.lit(step), "t")), 1, 12), 16, 10)
+        return (mark.cast("double") + 1) / 16.0**12
+
+    near = F.array_min(F.transform("centers", lambda x: _distance(F.col("features"), x)))
+    for step in range(k):
+        chance = F.coalesce(near, F.lit(1.0))
+        wait = F.when(chance > 0, -F.ln(draw(step)) / chance).otherwise(float("inf"))
+        first = rows.join(centers.where(F.size("centers") < F.col("k")), "series_id").groupBy("series_id", "start").agg(F.min_by("features", F.struct(wait, "t")).alias("drawn"))
+        added = F.when(F.col("drawn").isNotNull(), F.concat("centers", F.array("drawn"))).otherwise(F.col("centers"))
+        centers = written(centers.join(first, ["series_id", "start"], "left").select("series_id", "k", "start", added.alias("centers")), "centers")
+    label = F.array_min(F.transform("centers", lambda x, i: F.struct(_distance(F.col("features"), x).alias("d"), i.alias("label"))))
+    sums = [F.avg(F.col("features")[i]) for i in range(width["n"])]
+    for step in range(rounds):
+        told = rows.join(centers, "series_id").select("series_id", "start", "t", "features", label["label"].alias("label"))
+        spare = F.min(F.struct(draw(k + step).alias("u"), F.col("features").alias("x")))
+        found = told.groupBy("series_id", "start", "label").agg(F.array(*sums).alias("c"), spare.alias("spare"))
+        found = found.groupBy("series_id", "start").agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("c"), F.min("spare").alias("spare"))
+        renewed = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.coalesce(F.try_element_at("c", j), F.col("spare.x")))
+        moved = F.aggregate(F.zip_with("centers", "renewed", _distance), F.lit(0.0), lambda x, y: x + y)
+        centers = centers.join(found, ["series_id", "start"]).withColumn("renewed", renewed).withColumn("moved", moved)
+        centers = written(centers.select("series_id", "k", "start", F.col("renewed").alias("centers"), "moved"), "centers")
+        if centers.agg(F.max("moved")).first()[0] < tolerance * tolerance:
+            break
+    inertia = rows.join(centers, "series_id").groupBy("series_id", "start").agg(F.sum(near).alias("inertia"))
+    best = inertia.groupBy("series_id").agg(F.min(F.struct("inertia", "start"))["start"].alias("start"))
+    kept = written(centers.join(best, ["series_id", "start"]).select("series_id", "centers"), "best-centers")
+    return rows.join(kept, "series_id").select("series_id", "t", label["label"].alias("label"))
 
 
 def _distance(a: Column, b: Column) -> Column:
