@@ -226,9 +226,77 @@ def regime_aware(spark, sf_dir):
     return regime.analyze_regimes(lineitem_daily(spark, sf_dir)).edge_frequency
 
 
-@query()
+# The ridge fits of every target: five lags of each source and one of its own,
+# 536 frames to fit and 179 to judge by, forward and in reversed time, solved by
+# elimination on lists of rows.
+_RIDGE = f"""{EVENTS}, z AS (SELECT t, dim, (value - avg(value) OVER (PARTITION BY dim)) / stddev_pop(value) OVER (PARTITION BY dim) AS z FROM panel),
+zz AS (SELECT 'f' AS dir, t, dim, z FROM z UNION ALL SELECT 'b', 719 - t, dim, z FROM z),
+y AS (SELECT dir, dim AS y, t - 5 AS r, z - avg(z) OVER (PARTITION BY dir, dim) AS v FROM zz WHERE t >= 5),
+x AS (
+  SELECT y.dir, y.y, y.r, y.v AS target, s.dim AS s, l.k, CASE WHEN s.dim = y.y THEN 0 ELSE 1 + 10 * s.dim + l.k END AS c, s.z AS v
+  FROM y CROSS JOIN (SELECT range AS k FROM range(1, 6)) l JOIN zz s ON s.dir = y.dir AND s.t = y.r + 5 - l.k WHERE s.dim <> y.y OR l.k = 1
+),
+xx AS (SELECT a.dir, a.y, a.c AS c1, b.c AS c2, sum(a.v * b.v) AS v FROM x a JOIN x b USING (dir, y, r) WHERE r < 536 GROUP BY ALL),
+xy AS (SELECT dir, y, c, sum(v * target) AS v FROM x WHERE r < 536 GROUP BY ALL),
+own AS (SELECT xy.dir, xy.y, xy.v / xx.v AS w FROM xy JOIN xx ON xx.dir = xy.dir AND xx.y = xy.y AND xx.c1 = 0 AND xx.c2 = 0 WHERE xy.c = 0),
+columns AS (SELECT DISTINCT dir, y, s, k, c FROM x),
+part AS (
+  SELECT 'rest' AS kind, dir, y, -1 AS s, c, (c - 1) // 10 AS blk FROM columns WHERE dir = 'f' AND c > 0
+  UNION ALL SELECT 'every', dir, y, -1, c, CASE WHEN c = 0 THEN -1 ELSE (c - 1) // 10 END FROM columns WHERE dir = 'b'
+  UNION ALL SELECT 'pair', c.dir, c.y, o.dim, c.c, CASE WHEN c.c = 0 THEN -1 ELSE o.dim END FROM columns c JOIN dims o ON o.dim <> c.y AND (c.c = 0 OR c.s = o.dim) WHERE c.dir = 'f'
+),
+place AS (
+  SELECT kind, dir, y, s, c, CASE WHEN c = 0 THEN -1 ELSE (c - 1) // 10 END AS blk, row_number() OVER w AS i, count(*) OVER (PARTITION BY kind, dir, y, s) AS p,
+         count(*) OVER (PARTITION BY kind, dir, y, s, CASE WHEN c = 0 THEN -1 ELSE (c - 1) // 10 END) AS width
+  FROM part WINDOW w AS (PARTITION BY kind, dir, y, s ORDER BY c)
+),
+cells AS (
+  SELECT a.kind, a.dir, a.y, a.s, a.i, b.i AS j, xx.v + 0.01 * sqrt(ln(greatest(a.p, 2)) / 536) / 0.1 * (
+           CASE WHEN a.c = b.c THEN 1 + CASE WHEN a.width = 1 THEN 0 WHEN (a.c - 1) % 10 IN (1, 5) THEN 1 ELSE 2 END WHEN a.blk = b.blk AND abs(a.c - b.c) = 1 THEN -1 ELSE 0 END) AS v
+  FROM place a JOIN place b USING (kind, dir, y, s) JOIN xx ON xx.dir = a.dir AND xx.y = a.y AND xx.c1 = a.c AND xx.c2 = b.c
+  UNION ALL
+  SELECT a.kind, a.dir, a.y, a.s, a.i, a.p + 1, xy.v - CASE WHEN a.kind = 'rest' THEN xx.v * own.w ELSE 0 END
+  FROM place a JOIN xy ON xy.dir = a.dir AND xy.y = a.y AND xy.c = a.c JOIN xx ON xx.dir = a.dir AND xx.y = a.y AND xx.c1 = a.c AND xx.c2 = 0 JOIN own ON own.dir = a.dir AND own.y = a.y
+),
+lines AS (SELECT kind, dir, y, s, i, list(v ORDER BY j) AS line FROM cells GROUP BY ALL),
+systems AS (SELECT kind, dir, y, s, list(line ORDER BY i) AS m, count(*) AS p FROM lines GROUP BY ALL),
+solved AS (
+  SELECT kind, dir, y, s, p, list_reduce(list_prepend(m, list_transform(range(1, p + 1), lambda k: [[k::DOUBLE]])), lambda m, k:
+    list_transform(m, lambda line, i: CASE WHEN i = k[1][1] THEN list_transform(line, lambda v: v / m[k[1][1]::INT][k[1][1]::INT])
+      ELSE list_transform(line, lambda v, j: v - line[k[1][1]::INT] * m[k[1][1]::INT][j] / m[k[1][1]::INT][k[1][1]::INT]) END)) AS m FROM systems
+),
+w AS (SELECT p.kind, p.dir, p.y, p.s, p.c, p.blk, q.m[p.i::INT][(q.p + 1)::INT] AS w FROM place p JOIN solved q USING (kind, dir, y, s)),
+weights AS (
+  SELECT dir, y, c, blk, w FROM w WHERE kind <> 'pair' UNION ALL SELECT dir, y, 0, -1, w FROM own WHERE dir = 'f'
+),
+told AS (SELECT x.dir, x.y, x.r, x.target, g.blk, sum(x.v * g.w) AS v FROM x JOIN weights g ON g.dir = x.dir AND g.y = x.y AND g.c = x.c WHERE x.r >= 536 GROUP BY ALL),
+whole AS (SELECT dir, y, r, target, sum(v) AS v FROM told GROUP BY ALL),
+base AS (SELECT dir, y, avg(pow(target - v, 2)) AS base FROM whole GROUP BY ALL),
+drops AS (SELECT w.dir, w.y, t.blk AS s, avg(pow(w.target - w.v + t.v, 2)) AS mse FROM whole w JOIN told t USING (dir, y, r) WHERE t.blk >= 0 GROUP BY ALL),
+means AS (SELECT y, avg(v) AS m FROM y WHERE dir = 'f' AND r < 536 GROUP BY y),
+nulls AS (SELECT y, avg(pow(v - m, 2)) AS null_mse FROM y JOIN means USING (y) WHERE dir = 'f' AND r >= 536 GROUP BY y),
+alone AS (SELECT x.y, avg(pow(target - v * w, 2)) AS self_mse FROM x JOIN own USING (dir, y) WHERE dir = 'f' AND c = 0 AND r >= 536 GROUP BY x.y),
+pairs AS (
+  SELECT y, s, avg(pow(target - v, 2)) AS pair_mse FROM (
+    SELECT x.y, w.s, x.r, x.target, sum(x.v * w.w) AS v FROM x JOIN w ON w.kind = 'pair' AND w.y = x.y AND w.c = x.c WHERE x.dir = 'f' AND x.r >= 536 GROUP BY ALL) GROUP BY ALL
+),
+kernels AS (SELECT y, blk AS s, sqrt(sum(w * w)) AS block_norm, CAST(arg_max((c - 1) % 10, abs(w)) AS INTEGER) AS lag, CAST(sign(arg_max(w, abs(w))) AS INTEGER) AS sign FROM w WHERE kind = 'rest' GROUP BY ALL),
+fits AS (
+  SELECT CAST(s AS INTEGER) AS src, y AS dst, block_norm, lag, sign, f.base AS baseline_mse, null_mse, self_mse, pair_mse, d.mse - f.base AS delta_mse, e.mse - b.base AS delta_mse_backward
+  FROM kernels JOIN base f USING (y) JOIN base b USING (y) JOIN drops d USING (y, s) JOIN drops e USING (y, s) JOIN nulls USING (y) JOIN alone USING (y) JOIN pairs USING (y, s)
+  WHERE f.dir = 'f' AND b.dir = 'b' AND d.dir = 'f' AND e.dir = 'b'
+),
+confident AS (SELECT *, greatest(0, delta_mse - delta_mse_backward) AS asymmetry, greatest(0, delta_mse) + 0.25 * greatest(0, delta_mse - delta_mse_backward) AS confidence FROM fits),
+mixed AS (
+  SELECT *, 0.65 * block_norm / max(block_norm) OVER () + 0.35 * (0.65 * greatest(delta_mse, 0) / max(delta_mse) OVER () + 0.35 * confidence / max(confidence) OVER ()) AS raw FROM confident
+)"""
+_FITTED = ("block_norm", "baseline_mse", "null_mse", "self_mse", "pair_mse", "delta_mse", "delta_mse_backward", "asymmetry", "confidence", "raw")
+
+
+@query(f"WITH {_RIDGE} SELECT src, dst, lag, sign, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _FITTED)} FROM mixed")
 def inverse_ridge(spark, sf_dir):
-    return inverse.inverse_edges(events_hourly(spark, sf_dir), inverse.InverseConfig(solver="ridge")).drop("kernel")
+    rows = inverse.inverse_edges(events_hourly(spark, sf_dir), inverse.InverseConfig(solver="ridge"))
+    return rows.select("src", "dst", "lag", "sign", *(r6(c).alias(c) for c in _FITTED))
 
 
 @query()
