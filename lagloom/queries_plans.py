@@ -163,9 +163,98 @@ def lag_embedding(spark, sf_dir):
     return v.agg((F.count(F.lit(1)) * 3).alias("n_rows"), (F.round(total, 2) + 0.0).alias("total"))
 
 
-@query()
+def _fisher(r: str, n: str, k: str) -> str:
+    z = normal_sql(f"(atanh(least(greatest({r}, -0.9999999999), 0.9999999999)) * sqrt(greatest({n} - ({k}) - 3, 0)))")
+    return f"CASE WHEN {n} - ({k}) - 3 >= 1 AND abs({r}) < 1 THEN {z} WHEN abs({r}) < 1 THEN 1.0 ELSE 0.0 END"
+
+
+# The network of the hourly events with lags 1 to 3 and fixed thresholds. What
+# all other columns leave of a pair's is found by eliminating them from the
+# moments, on lists of rows.
+_NETWORK = f"""{EVENTS},
+near AS (SELECT *, stddev_pop(value) OVER (PARTITION BY dim ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS s FROM panel),
+steps AS (SELECT t, dim, (lead(value) OVER w - value) / (lead(s) OVER w + 1e-10) AS x FROM near WINDOW w AS (PARTITION BY dim ORDER BY t)),
+v AS (
+  SELECT 'd' AS view, t, dim AS m, x FROM steps WHERE x IS NOT NULL
+  UNION ALL SELECT 'r', t, dim, (value - avg(value) OVER (PARTITION BY dim)) / stddev_pop(value) OVER (PARTITION BY dim) FROM panel
+),
+ends AS (SELECT view, max(t) + 1 AS n FROM v GROUP BY view),
+col AS (
+  SELECT view, k, v.t - c AS t, m, c, c * 5 + m AS col, x FROM v JOIN ends USING (view) CROSS JOIN (SELECT range AS k FROM range(4)) CROSS JOIN (SELECT range AS c FROM range(4))
+  WHERE c <= k AND v.t - c >= 0 AND v.t - c < n - k
+  UNION ALL SELECT DISTINCT view, k, t, -1, 0, 99, 1.0 FROM v JOIN ends USING (view) CROSS JOIN (SELECT range AS k FROM range(4)) WHERE t < n - k
+),
+g AS (SELECT a.view, a.k, a.col AS p, a.m AS pm, b.col AS q, b.m AS qm, sum(a.x * b.x) AS v FROM col a JOIN col b USING (view, k, t) GROUP BY ALL),
+ask AS (SELECT DISTINCT view, k, a.dim AS a, b.dim AS b FROM g CROSS JOIN dims a CROSS JOIN dims b WHERE a.dim <> b.dim),
+pick AS (
+  SELECT ask.*, p, CASE WHEN p = a THEN 100 WHEN p = k * 5 + b THEN 101 WHEN p = 99 THEN 102 ELSE p END AS i FROM ask JOIN (SELECT DISTINCT view, k, p, pm FROM g) USING (view, k)
+  WHERE pm NOT IN (a, b) OR p = a OR p = k * 5 + b
+),
+line AS (SELECT x.view, x.k, x.a, x.b, x.i, list(g.v ORDER BY y.i) AS line FROM pick x JOIN pick y USING (view, k, a, b) JOIN g ON g.view = x.view AND g.k = x.k AND g.p = x.p AND g.q = y.p GROUP BY ALL),
+sys AS (SELECT view, k, a, b, list(line ORDER BY i) AS m, count(*)::INT AS s FROM line GROUP BY ALL),
+left_ AS (
+  SELECT view, k, a, b, s, list_reduce(list_prepend(m, list_transform(range(1, s - 2), lambda j: [[j::DOUBLE]])), lambda m, j:
+    list_transform(m, lambda line, i: CASE WHEN i <= j[1][1] THEN line
+      ELSE list_transform(line, lambda v, h: v - line[j[1][1]::INT] * m[j[1][1]::INT][h] / m[j[1][1]::INT][j[1][1]::INT]) END)) AS m FROM sys
+),
+mom AS (SELECT view, k, a, b, n - k AS n, m[s-2][s-2] AS aa, m[s-1][s-1] AS bb, m[s-2][s-1] AS ab, m[s-2][s] AS sa, m[s-1][s] AS sb FROM left_ JOIN ends USING (view)),
+lagged AS (SELECT view, k, a, b, (ab / n - sa * sb / n / n) / sqrt((aa / n - sa * sa / n / n) * (bb / n - sb * sb / n / n)) AS r FROM mom WHERE k > 0),
+centred AS (SELECT view, p AS i, q AS j, (v - v1 * v2 / n) / (n - 1) AS v FROM g JOIN (SELECT view, p, v AS v1 FROM g WHERE k = 0 AND q = 99) USING (view, p) JOIN (SELECT view, p AS q, v AS v2 FROM g WHERE k = 0 AND q = 99) USING (view, q) JOIN ends USING (view) WHERE g.k = 0 AND p < 99 AND q < 99),
+c0 AS (SELECT a.view, a.i, a.j, a.v / sqrt(b.v * c.v) AS r FROM centred a JOIN centred b ON b.view = a.view AND b.i = a.i AND b.j = a.i JOIN centred c ON c.view = a.view AND c.i = a.j AND c.j = a.j WHERE a.i <> a.j),
+c1 AS (SELECT x.view, x.i, x.j, y.j AS k, (x.r - y.r * z.r) / sqrt((1 - y.r * y.r) * (1 - z.r * z.r)) AS r FROM c0 x JOIN c0 y ON y.view = x.view AND y.i = x.i AND y.j <> x.j JOIN c0 z ON z.view = x.view AND z.i = x.j AND z.j = y.j),
+c2 AS (SELECT x.view, x.i, x.j, x.k, y.j AS l, (x.r - y.r * z.r) / sqrt((1 - y.r * y.r) * (1 - z.r * z.r)) AS r FROM c1 x JOIN c1 y ON y.view = x.view AND y.i = x.i AND y.k = x.k AND y.j <> x.j JOIN c1 z ON z.view = x.view AND z.i = x.j AND z.k = x.k AND z.j = y.j),
+sync AS (SELECT x.view, x.i, x.j, (x.r - y.r * z.r) / sqrt((1 - y.r * y.r) * (1 - z.r * z.r)) AS sync FROM c2 x JOIN c2 y ON y.view = x.view AND y.i = x.i AND y.k = x.k AND y.l = x.l AND y.j <> x.j
+  JOIN c2 z ON z.view = x.view AND z.i = x.j AND z.k = x.k AND z.l = x.l AND z.j = y.j WHERE x.k < x.l AND x.l < y.j AND x.i < x.j),
+best AS (
+  SELECT view, least(a, b) AS i, greatest(a, b) AS j, r AS causal, CASE WHEN a > b THEN -k ELSE k END AS lag
+  FROM lagged QUALIFY row_number() OVER (PARTITION BY view, least(a, b), greatest(a, b) ORDER BY abs(r) DESC, k, a > b) = 1
+),
+views AS (SELECT view, i, j, sync, causal, lag FROM sync JOIN best USING (view, i, j)),
+merged AS (
+  SELECT d.i, d.j, use, if(use, r.sync, d.sync) AS sync, if(use, r.causal, d.causal) AS causal, if(use, r.lag, d.lag) AS lag FROM (SELECT * FROM views WHERE view = 'd') d JOIN (SELECT * FROM views WHERE view = 'r') r USING (i, j)
+  CROSS JOIN LATERAL (SELECT abs(d.causal) > 0.1 AND abs(r.causal) > 1.1 * abs(r.sync) AND (NOT abs(d.causal) > 1.1 * abs(d.sync) OR abs(r.causal) > abs(d.causal)) AS use)
+),
+sizes AS (SELECT *, 719 AS n, greatest(719 - abs(lag), 1) AS nl, least(3, floor(greatest(719 - abs(lag), 1) / 4)) AS kl FROM merged),
+tested AS (SELECT *, {_fisher("sync", "n", "3")} AS p_sync, least(({_fisher("causal", "nl", "kl")}) * 6, 1.0) AS p_causal FROM sizes),
+ranked AS (SELECT *, row_number() OVER (ORDER BY p_sync) AS ks, row_number() OVER (ORDER BY p_causal) AS kc, count(*) OVER () AS m FROM tested),
+q AS (
+  SELECT *, least(1.0, min(p_sync * m / ks) OVER (ORDER BY ks ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_sync,
+         least(1.0, min(p_causal * m / kc) OVER (ORDER BY kc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_causal FROM ranked
+),
+causal_links AS (
+  SELECT 'causal' AS link_type, if(lag > 0, i, j) AS src, if(lag > 0, j, i) AS dst, abs(causal) AS score, causal AS corr, CAST(abs(lag) AS INTEGER) AS lag, p_causal AS p, q_causal AS q
+  FROM q WHERE q_causal < 0.5 AND abs(causal) > 0.8 * 0.1 AND abs(causal) > 1.1 * abs(sync)
+),
+explained AS (
+  SELECT DISTINCT ab.src, ab.dst FROM causal_links ab JOIN causal_links za ON za.dst = ab.src AND za.src <> ab.dst JOIN causal_links zb ON zb.src = za.src AND zb.dst = ab.dst
+  WHERE za.score > ab.score AND abs(za.lag + ab.lag - zb.lag) <= greatest(1, zb.lag // 3)
+  UNION
+  SELECT ab.src, ab.dst FROM causal_links ab JOIN causal_links az ON az.src = ab.src AND az.dst <> ab.dst JOIN causal_links zb ON zb.src = az.dst AND zb.dst = ab.dst
+  WHERE least(az.score, zb.score) >= 0.8 * ab.score AND abs(az.lag + zb.lag - ab.lag) <= greatest(2, ab.lag // 2)
+),
+links AS (
+  SELECT 'sync' AS link_type, i AS src, j AS dst, abs(sync) AS score, sync AS corr, 0 AS lag, p_sync AS p, q_sync AS q FROM q WHERE q_sync < 0.5 AND abs(sync) > 0.15
+  UNION ALL SELECT c.* FROM causal_links c LEFT JOIN explained e USING (src, dst) WHERE e.src IS NULL
+)"""
+
+
+def _events_network(spark, sf_dir):
+    return network.analyze(events_hourly(spark, sf_dir), network.NetworkConfig(0.3, 0.1, 3, False, 20, 0.5))
+
+
+@query(f"WITH {_NETWORK} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sync, 6) + 0.0 AS sync, round(causal, 6) + 0.0 AS causal, CAST(lag AS INTEGER) AS lag, CAST(use AS INTEGER) AS from_raw FROM merged")
+def network_pairs(spark, sf_dir):
+    rows = _events_network(spark, sf_dir).pairs
+    return rows.select("i", "j", r6("sync").alias("sync"), r6("causal").alias("causal"), "lag", "from_raw")
+
+
+@query(
+    f"""WITH {_NETWORK} SELECT link_type, CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, round(score, 6) + 0.0 AS score, lag, CAST(sign(corr) AS INTEGER) AS sign,
+      round(p, 6) + 0.0 AS p, round(q, 6) + 0.0 AS q FROM links"""
+)
 def network_analyze(spark, sf_dir):
-    return network.analyze(events_hourly(spark, sf_dir), network.NetworkConfig(0.3, 0.1, 3, False, 20, 0.5)).links
+    rows = _events_network(spark, sf_dir).links
+    return rows.select("link_type", "src", "dst", r6("score").alias("score"), "lag", "sign", r6("p").alias("p"), r6("q").alias("q"))
 
 
 @query()
@@ -290,10 +379,35 @@ confident AS (SELECT *, greatest(0, delta_mse - delta_mse_backward) AS asymmetry
 mixed AS (
   SELECT *, 0.65 * block_norm / max(block_norm) OVER () + 0.35 * (0.65 * greatest(delta_mse, 0) / max(delta_mse) OVER () + 0.35 * confidence / max(confidence) OVER ()) AS raw FROM confident
 )"""
-_FITTED = ("block_norm", "baseline_mse", "null_mse", "self_mse", "pair_mse", "delta_mse", "delta_mse_backward", "asymmetry", "confidence", "raw")
+_DIRECT = f"""{_RIDGE},
+strong AS (SELECT src, dst, raw AS score, lag FROM mixed WHERE raw > 1e-6),
+bad AS (
+  SELECT DISTINCT ab.src, ab.dst FROM strong ab JOIN strong za ON za.dst = ab.src AND za.src <> ab.dst JOIN strong zb ON zb.src = za.src AND zb.dst = ab.dst
+  WHERE za.score >= 0.95 * ab.score AND zb.score >= 0.95 * ab.score AND abs(za.lag + ab.lag - zb.lag) <= 1
+  UNION
+  SELECT ab.src, ab.dst FROM strong ab JOIN strong az ON az.src = ab.src AND az.dst <> ab.dst JOIN strong zb ON zb.src = az.dst AND zb.dst = ab.dst
+  WHERE least(az.score, zb.score) >= 0.85 * ab.score AND abs(az.lag + zb.lag - ab.lag) <= 1
+),
+gains AS (
+  SELECT m.*, CASE WHEN raw > 1e-6 AND b.src IS NULL THEN raw ELSE 0 END AS score, greatest(self_mse - baseline_mse, 0) AS gs, greatest(null_mse - baseline_mse, 0) AS gn
+  FROM mixed m LEFT JOIN bad b ON b.src = m.src AND b.dst = m.dst
+),
+per AS (SELECT *, greatest(gs, 0.25 * gn, 1e-12) AS dn, gs / (gn + 1e-12) AS ra FROM gains),
+sides AS (
+  SELECT *, (greatest(delta_mse, 0) / dn) / (1 + greatest(delta_mse, 0) / dn) AS u, (greatest(self_mse - pair_mse, 0) / dn) / (1 + greatest(self_mse - pair_mse, 0) / dn) AS mg,
+    least(greatest(1 - ra, 0.2), 0.9) AS eta, least(greatest(1 - 0.5 * ra, 0.5), 0.9) AS beta FROM per
+),
+needed AS (SELECT *, eta * u + (1 - eta) * mg AS necessity FROM sides),
+two AS (
+  SELECT e.src, e.dst, max(least(x.raw, y.raw) * least(x.mg + 1e-12, y.mg + 1e-12) * exp(-abs(e.lag - (x.lag + y.lag)))) AS ind
+  FROM needed e JOIN needed x ON x.src = e.src JOIN needed y ON y.src = x.dst AND y.dst = e.dst WHERE x.raw > 0 AND y.raw > 0 GROUP BY ALL
+),
+direct AS (SELECT n.*, least(greatest(necessity / (necessity + coalesce(ind, 0) + 1e-12), 0), 1) AS irreducibility FROM needed n LEFT JOIN two USING (src, dst)),
+scored AS (SELECT *, (0.35 * raw / max(raw) OVER () + 0.65 * necessity / max(necessity) OVER ()) * (beta + (1 - beta) * irreducibility) AS direct_score FROM direct)"""
+_FITTED = ("block_norm", "baseline_mse", "null_mse", "self_mse", "pair_mse", "delta_mse", "delta_mse_backward", "asymmetry", "confidence", "raw", "score", "necessity", "irreducibility", "direct_score")
 
 
-@query(f"WITH {_RIDGE} SELECT src, dst, lag, sign, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _FITTED)} FROM mixed")
+@query(f"WITH {_DIRECT} SELECT src, dst, lag, sign, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _FITTED)} FROM scored")
 def inverse_ridge(spark, sf_dir):
     rows = inverse.inverse_edges(events_hourly(spark, sf_dir), inverse.InverseConfig(solver="ridge"))
     return rows.select("src", "dst", "lag", "sign", *(r6(c).alias(c) for c in _FITTED))
