@@ -168,10 +168,11 @@ def _fisher(r: str, n: str, k: str) -> str:
     return f"CASE WHEN {n} - ({k}) - 3 >= 1 AND abs({r}) < 1 THEN {z} WHEN abs({r}) < 1 THEN 1.0 ELSE 0.0 END"
 
 
-# The network of the hourly events with lags 1 to 3 and fixed thresholds. What
+# The network of the hourly events with fixed thresholds. What
 # all other columns leave of a pair's is found by eliminating them from the
 # moments, on lists of rows.
-_NETWORK = f"""{EVENTS},
+def _network_sql(lags: int, least: float = 0.1, alpha: float = 0.5) -> str:
+    return f"""{EVENTS},
 near AS (SELECT *, stddev_pop(value) OVER (PARTITION BY dim ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS s FROM panel),
 steps AS (SELECT t, dim, (lead(value) OVER w - value) / (lead(s) OVER w + 1e-10) AS x FROM near WINDOW w AS (PARTITION BY dim ORDER BY t)),
 v AS (
@@ -180,9 +181,9 @@ v AS (
 ),
 ends AS (SELECT view, max(t) + 1 AS n FROM v GROUP BY view),
 col AS (
-  SELECT view, k, v.t - c AS t, m, c, c * 5 + m AS col, x FROM v JOIN ends USING (view) CROSS JOIN (SELECT range AS k FROM range(4)) CROSS JOIN (SELECT range AS c FROM range(4))
+  SELECT view, k, v.t - c AS t, m, c, c * 5 + m AS col, x FROM v JOIN ends USING (view) CROSS JOIN (SELECT range AS k FROM range({lags + 1})) CROSS JOIN (SELECT range AS c FROM range({lags + 1}))
   WHERE c <= k AND v.t - c >= 0 AND v.t - c < n - k
-  UNION ALL SELECT DISTINCT view, k, t, -1, 0, 99, 1.0 FROM v JOIN ends USING (view) CROSS JOIN (SELECT range AS k FROM range(4)) WHERE t < n - k
+  UNION ALL SELECT DISTINCT view, k, t, -1, 0, 99, 1.0 FROM v JOIN ends USING (view) CROSS JOIN (SELECT range AS k FROM range({lags + 1})) WHERE t < n - k
 ),
 g AS (SELECT a.view, a.k, a.col AS p, a.m AS pm, b.col AS q, b.m AS qm, sum(a.x * b.x) AS v FROM col a JOIN col b USING (view, k, t) GROUP BY ALL),
 ask AS (SELECT DISTINCT view, k, a.dim AS a, b.dim AS b FROM g CROSS JOIN dims a CROSS JOIN dims b WHERE a.dim <> b.dim),
@@ -215,7 +216,7 @@ merged AS (
   CROSS JOIN LATERAL (SELECT abs(d.causal) > 0.1 AND abs(r.causal) > 1.1 * abs(r.sync) AND (NOT abs(d.causal) > 1.1 * abs(d.sync) OR abs(r.causal) > abs(d.causal)) AS use)
 ),
 sizes AS (SELECT *, 719 AS n, greatest(719 - abs(lag), 1) AS nl, least(3, floor(greatest(719 - abs(lag), 1) / 4)) AS kl FROM merged),
-tested AS (SELECT *, {_fisher("sync", "n", "3")} AS p_sync, least(({_fisher("causal", "nl", "kl")}) * 6, 1.0) AS p_causal FROM sizes),
+tested AS (SELECT *, {_fisher("sync", "n", "3")} AS p_sync, least(({_fisher("causal", "nl", "kl")}) * {2 * lags}, 1.0) AS p_causal FROM sizes),
 ranked AS (SELECT *, row_number() OVER (ORDER BY p_sync) AS ks, row_number() OVER (ORDER BY p_causal) AS kc, count(*) OVER () AS m FROM tested),
 q AS (
   SELECT *, least(1.0, min(p_sync * m / ks) OVER (ORDER BY ks ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_sync,
@@ -223,7 +224,7 @@ q AS (
 ),
 causal_links AS (
   SELECT 'causal' AS link_type, if(lag > 0, i, j) AS src, if(lag > 0, j, i) AS dst, abs(causal) AS score, causal AS corr, CAST(abs(lag) AS INTEGER) AS lag, p_causal AS p, q_causal AS q
-  FROM q WHERE q_causal < 0.5 AND abs(causal) > 0.8 * 0.1 AND abs(causal) > 1.1 * abs(sync)
+  FROM q WHERE q_causal < {alpha} AND abs(causal) > 0.8 * {least} AND abs(causal) > 1.1 * abs(sync)
 ),
 explained AS (
   SELECT DISTINCT ab.src, ab.dst FROM causal_links ab JOIN causal_links za ON za.dst = ab.src AND za.src <> ab.dst JOIN causal_links zb ON zb.src = za.src AND zb.dst = ab.dst
@@ -233,7 +234,7 @@ explained AS (
   WHERE least(az.score, zb.score) >= 0.8 * ab.score AND abs(az.lag + zb.lag - ab.lag) <= greatest(2, ab.lag // 2)
 ),
 links AS (
-  SELECT 'sync' AS link_type, i AS src, j AS dst, abs(sync) AS score, sync AS corr, 0 AS lag, p_sync AS p, q_sync AS q FROM q WHERE q_sync < 0.5 AND abs(sync) > 0.15
+  SELECT 'sync' AS link_type, i AS src, j AS dst, abs(sync) AS score, sync AS corr, 0 AS lag, p_sync AS p, q_sync AS q FROM q WHERE q_sync < {alpha} AND abs(sync) > 0.15
   UNION ALL SELECT c.* FROM causal_links c LEFT JOIN explained e USING (src, dst) WHERE e.src IS NULL
 )"""
 
@@ -242,14 +243,14 @@ def _events_network(spark, sf_dir):
     return network.analyze(events_hourly(spark, sf_dir), network.NetworkConfig(0.3, 0.1, 3, False, 20, 0.5))
 
 
-@query(f"WITH {_NETWORK} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sync, 6) + 0.0 AS sync, round(causal, 6) + 0.0 AS causal, CAST(lag AS INTEGER) AS lag, CAST(use AS INTEGER) AS from_raw FROM merged")
+@query(f"WITH {_network_sql(3)} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sync, 6) + 0.0 AS sync, round(causal, 6) + 0.0 AS causal, CAST(lag AS INTEGER) AS lag, CAST(use AS INTEGER) AS from_raw FROM merged")
 def network_pairs(spark, sf_dir):
     rows = _events_network(spark, sf_dir).pairs
     return rows.select("i", "j", r6("sync").alias("sync"), r6("causal").alias("causal"), "lag", "from_raw")
 
 
 @query(
-    f"""WITH {_NETWORK} SELECT link_type, CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, round(score, 6) + 0.0 AS score, lag, CAST(sign(corr) AS INTEGER) AS sign,
+    f"""WITH {_network_sql(3)} SELECT link_type, CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, round(score, 6) + 0.0 AS score, lag, CAST(sign(corr) AS INTEGER) AS sign,
       round(p, 6) + 0.0 AS p, round(q, 6) + 0.0 AS q FROM links"""
 )
 def network_analyze(spark, sf_dir):
@@ -263,11 +264,6 @@ def network_summary(spark, sf_dir):
     return g.summary(net.links, net.hubs, net.roles)
 
 
-@query()
-def jump_method(spark, sf_dir):
-    return fusion.jump_method(events_hourly(spark, sf_dir))
-
-
 _ROLLED = ", ".join(
     f"{f}({c}) OVER (ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS {c}_{s}{n}" for n in (5, 20, 50) for c in ("f_step", "f_square") for f, s in (("avg", "mean"), ("stddev_pop", "sd"))
 )
@@ -423,16 +419,6 @@ def predict_adjacency(spark, sf_dir):
     return inverse.adjacency_scores(lineitem_daily(spark, sf_dir))
 
 
-@query()
-def direct_irreducibility(spark, sf_dir):
-    return fusion.inverse_method(orders_daily(spark, sf_dir))
-
-
-@query()
-def network_method(spark, sf_dir):
-    return fusion.network_method(lineitem_daily(spark, sf_dir))
-
-
 _ENGINE = f"""{ADAPTED}{RESPONSES}{SPURIOUS},
 kept AS (
   SELECT e.*, {response_p_sql("s.mean", "s.sd", "s.n")} AS p, b.a IS NOT NULL AS filtered
@@ -467,16 +453,6 @@ def jump_engine(spark, sf_dir):
     )
 
 
-@query()
-def fusion_suppress(spark, sf_dir):
-    return fusion.fusion_method(lineitem_daily(spark, sf_dir))
-
-
-@query()
-def triple_fusion(spark, sf_dir):
-    return fusion.triple_fusion_method(lineitem_daily(spark, sf_dir))
-
-
 @query()
 def jump_inverse(spark, sf_dir):
     panel = lineitem_daily(spark, sf_dir)
@@ -532,3 +508,78 @@ def binarize_threshold(spark, sf_dir):
 )
 def tension_variation(spark, sf_dir):
     return jmp.tension_variation(events_hourly(spark, sf_dir)).select(r6("rho_cv").alias("rho_cv"))
+
+
+@query(f"WITH {_ENGINE} SELECT src, dst, round(score * if(filtered, 0.05, 1) * if(q >= 0.05, 0.05, 1) * if(consistency <= 0.7, 0.05, 1), 6) + 0.0 AS score, lag, sign FROM engine")
+def jump_method(spark, sf_dir):
+    return fusion.jump_method(events_hourly(spark, sf_dir)).select("src", "dst", r6("score").alias("score"), "lag", "sign")
+
+
+@query(
+    f"""WITH {_network_sql(3)}, ways AS (
+      SELECT i AS src, j AS dst, abs(sync) + CASE WHEN lag >= 0 THEN abs(causal) ELSE 0 END AS score FROM merged
+      UNION ALL SELECT j, i, abs(sync) + CASE WHEN lag <= 0 THEN abs(causal) ELSE 0 END FROM merged),
+    s AS (SELECT src, dst, sign(corr) AS s_sign FROM links WHERE link_type = 'sync' UNION ALL SELECT dst, src, sign(corr) FROM links WHERE link_type = 'sync'),
+    c AS (SELECT src, dst, sign(corr) AS c_sign, lag AS c_lag FROM links WHERE link_type = 'causal')
+    SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, round(score, 6) + 0.0 AS score, CAST(s_sign IS NOT NULL OR c_sign IS NOT NULL AS INTEGER) AS is_edge,
+      CAST(coalesce(c_lag, 0) AS INTEGER) AS lag, CAST(coalesce(c_sign, s_sign, 0) AS INTEGER) AS sign FROM ways LEFT JOIN s USING (src, dst) LEFT JOIN c USING (src, dst)"""
+)
+def network_method(spark, sf_dir):
+    rows = fusion.network_method(events_hourly(spark, sf_dir), network.NetworkConfig(0.3, 0.1, 3, False, 20, 0.5))
+    return rows.select("src", "dst", r6("score").alias("score"), "is_edge", "lag", "sign")
+
+
+@query(
+    f"""WITH {_DIRECT}, cut AS (SELECT quantile_cont(direct_score, 0.65) AS cut FROM scored WHERE direct_score > 0)
+    SELECT src, dst, round(direct_score, 6) + 0.0 AS score, CAST(direct_score > cut AS INTEGER) AS is_edge, lag, sign FROM scored, cut"""
+)
+def direct_irreducibility(spark, sf_dir):
+    rows = fusion.inverse_method(events_hourly(spark, sf_dir), solver="ridge")
+    return rows.select("src", "dst", r6("score").alias("score"), "is_edge", "lag", "sign")
+
+
+def _of_largest(x: str) -> str:
+    return f"greatest({x}, 0) / max({x}) OVER ()"
+
+
+# The three engines' evidence for each ordered pair, each from its own names.
+_EVIDENCE = f"""n AS (SELECT i, j, causal, lag FROM (WITH {_network_sql(5)} SELECT * FROM merged)),
+t AS (SELECT *, greatest(719 - abs(lag), 1) AS nl, least(3, floor(greatest(719 - abs(lag), 1) / 4)) AS kl FROM n),
+p1 AS (SELECT *, least(({_fisher("causal", "nl", "kl")}) * 10, 1.0) AS p FROM t),
+either AS (
+  SELECT i AS src, j AS dst, abs(causal) AS raw, CASE WHEN lag >= 0 THEN p ELSE 1.0 END AS p FROM p1 UNION ALL SELECT j, i, abs(causal), CASE WHEN lag <= 0 THEN p ELSE 1.0 END FROM p1
+),
+ord AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM either),
+net AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM ord),
+inv AS (SELECT * FROM (WITH {_DIRECT} SELECT src, dst, direct_score AS structure, lag, sign FROM scored)),
+jmp AS (SELECT * FROM (WITH {_ENGINE} SELECT src, dst, score * if(filtered, 0.05, 1) * if(q >= 0.05, 0.05, 1) * if(consistency <= 0.7, 0.05, 1) AS jump, q AS jump_q, consistency, lag AS jump_lag,
+  sign AS jump_sign, q < 0.05 AND NOT filtered AND score > 0 AND consistency > 0.7 AS jump_edge FROM engine)),
+pair AS (
+  SELECT *, {_of_largest("raw")} * (0.7 + 0.3 * {_of_largest("structure")}) * CASE WHEN q < 0.05 THEN 1 ELSE 0.05 END AS two FROM net JOIN inv USING (src, dst) JOIN jmp USING (src, dst)
+),
+three AS (SELECT *, two * (0.3 + 0.7 * {_of_largest("jump")}) * CASE WHEN jump_q < 0.05 THEN 1 ELSE 0.05 END AS three FROM pair)"""
+
+
+def _fused_sql(x: str) -> str:
+    return f"""WITH {_EVIDENCE}, cut AS (SELECT quantile_cont({x}, 0.5) AS tau FROM three WHERE {x} > 0)
+    SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, round({x}, 6) + 0.0 AS score, CAST(q < 0.05 AND {x} > coalesce(tau, 0) AS INTEGER) AS is_edge, lag, sign FROM three LEFT JOIN cut ON TRUE"""
+
+
+@query(_fused_sql("two"))
+def fusion_suppress(spark, sf_dir):
+    return fusion.fusion_method(events_hourly(spark, sf_dir), solver="ridge").select("src", "dst", r6("score").alias("score"), "is_edge", "lag", "sign")
+
+
+@query(_fused_sql("three"))
+def triple_fusion(spark, sf_dir):
+    return fusion.triple_fusion_method(events_hourly(spark, sf_dir), solver="ridge").select("src", "dst", r6("score").alias("score"), "is_edge", "lag", "sign")
+
+
+@query(
+    f"""WITH {_EVIDENCE} SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst,
+      round(jump * (0.3 + 0.7 * {_of_largest("structure")}) * if(jump_q >= 0.05, 0.05, 1) * if(consistency <= 0.7, 0.05, 1), 6) + 0.0 AS score, CAST(jump_edge AS INTEGER) AS is_edge,
+      jump_lag AS lag, jump_sign AS sign FROM three"""
+)
+def jump_inverse_gate(spark, sf_dir):
+    """Jump edges gated by the direct scores, without regimes."""
+    return fusion.jump_inverse_method(events_hourly(spark, sf_dir)).select("src", "dst", r6("score").alias("score"), "is_edge", "lag", "sign")
