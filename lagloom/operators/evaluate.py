@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signals import difference
 from ..sources.panel import windowed
+from ..sources.written import written
 from .lagged import lag_pairs
 from .quantiles import percentiles
 
@@ -116,6 +117,7 @@ def quantile_bins(panel: DataFrame, bins: int = 4) -> DataFrame:
     count once; a constant dimension has bin 0."""
     by = ["series_id", "dim"]
     cuts = [k / bins for k in range(bins + 1)]
+    panel = written(panel, "panel")
     edges = percentiles(panel, by, "value", cuts).select(*by, F.array_sort(F.array_distinct("q")).alias("e"))
     n = F.size("e")
     even = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: F.element_at("e", 1) + (F.element_at("e", -1) - F.element_at("e", 1)) * k / bins)
@@ -143,7 +145,7 @@ def transfer_entropy(panel: DataFrame, max_lag: int, bins: int = 4) -> DataFrame
 
 def event_cross_correlation(panel: DataFrame, max_lag: int, percentile: float = 97.0) -> DataFrame:
     """Per (src, dst, lag): mean product of large-step flags at that lag."""
-    step = difference(panel).withColumn("d", F.abs("d"))
+    step = written(difference(panel).withColumn("d", F.abs("d")), "steps")
     cut = percentiles(step, ["series_id", "dim"], "d", [percentile / 100])
     # to nine decimals, so that a step that is the threshold isn't above it
     above = F.round("d", 9) > F.round(F.col("q")[0], 9)

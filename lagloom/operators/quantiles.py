@@ -53,7 +53,8 @@ def _inside(rows: DataFrame, ranges: DataFrame, many: int, keys: list[str]) -> D
 def percentiles(rows: DataFrame, keys: Sequence[str], value: str | Column, shares: Sequence[float], few: int = FEW, buckets: int = BUCKETS) -> DataFrame:
     """keys and q: for each share (0 to 1) the value that lies so far up a
     group's values in order, between two by their distance. Null values are
-    left out; a group without others has no row. Keys must not be null."""
+    left out; a group without others has no row. Keys must not be null. The rows
+    are read once for each round, so they should be a table."""
     keys = list(keys)
     rows = rows.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).where("v IS NOT NULL")
     first = rows.groupBy(*keys, _magnitude(F.col("v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -65,18 +66,20 @@ def percentiles(rows: DataFrame, keys: Sequence[str], value: str | Column, share
     each = upto.select("*", F.explode(F.filter(wanted, lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).alias("at"))
     state = each.select(*keys, "at", F.col("all"), "lo", "hi", "n", (F.col("at") - F.col("upto") + F.col("n")).alias("rank"))
     state = written(state, "ranks")
-    while many := state.where(F.col("n") > few).where("lo < hi").count():
+    wide = (F.col("n") > few) & F.expr("lo < hi")
+    while True:
+        many, narrow = state.agg(F.count_if(wide), F.count_if(F.expr("lo < hi"))).first()
+        if not many:
+            break
         at = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * buckets), F.lit(buckets - 1))
-        open_ = state.where(F.col("n") > few).where("lo < hi")
         by = [*keys, "at"]
-        inside = _inside(rows, open_.drop("n"), many, keys)
+        inside = _inside(rows, state.where(wide).drop("n"), many, keys)
         histogram = inside.groupBy(*by, "all", "rank", at.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         narrowed = _holding(histogram, by).select(state.columns)
-        state = written(state.where((F.col("n") <= few) | ~F.expr("lo < hi")).unionByName(narrowed), "ranks")
+        state = written(state.where(~wide).unionByName(narrowed), "ranks")
     # lo = hi: the rank's value; else a few rows are put in order
     told = state.where("NOT lo < hi").select(*keys, "at", "all", F.col("lo").alias("x"))
-    close = state.where("lo < hi")
-    listed = _inside(rows, close.drop("n"), state.count(), keys).groupBy(*keys, "at", "all", "rank").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    listed = _inside(rows, state.where("lo < hi").drop("n"), narrow, keys).groupBy(*keys, "at", "all", "rank").agg(F.sort_array(F.collect_list("v")).alias("vs"))
     told = told.unionByName(listed.select(*keys, "at", "all", F.get("vs", F.col("rank").cast("int")).alias("x")))
     held = told.groupBy(*keys, "all").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("x"))
 

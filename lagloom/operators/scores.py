@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signals import clipped, of_largest, saturated
 from ..functions.tails import fisher_p
+from ..sources.written import written
 from .graph import indirect_support, rank_share, with_bh
 from .quantiles import percentiles
 
@@ -15,6 +16,7 @@ EDGE = ["series_id", "src", "dst"]
 
 def _with_percentile(rows: DataFrame, value: Column, share: float, keys=("series_id",), name: str = "_cut") -> DataFrame:
     """rows with the percentile of a value over the rows of their keys."""
+    rows = written(rows, "scored")
     cut = percentiles(rows, keys, value, [share]).select(*keys, F.col("q")[0].alias(name))
     return rows.join(cut, list(keys), "left")
 
