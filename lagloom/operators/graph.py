@@ -134,26 +134,31 @@ def rank_share(x: str, *keys: str) -> Column:
 
 
 def hubs(links: DataFrame, dims: DataFrame) -> DataFrame:
-    """Dimensions whose summed strength exceeds mean + deviation of all."""
+    """Dimensions whose summed strength exceeds mean + deviation of all, with
+    their place among them."""
     ends = links.select("series_id", F.col("src").alias("dim"), "score").unionByName(links.select("series_id", F.col("dst").alias("dim"), "score"))
     sums = ends.groupBy("series_id", "dim").agg(F.sum("score").alias("connectivity"))
     every = dims.join(sums, ["series_id", "dim"], "left").na.fill(0.0, ["connectivity"])
     w = Window.partitionBy("series_id")
-    return every.select(
+    every = every.select(
         "series_id", "dim", "connectivity",
         (F.avg("connectivity").over(w) + F.stddev_pop("connectivity").over(w)).alias("cut"),
-    ).where("connectivity > cut").select("series_id", "dim", "connectivity")
+    ).where("connectivity > cut")
+    return ranked(every, "connectivity", "dim").select("series_id", "dim", "connectivity", "place")
 
 
 def roles(causal: DataFrame, dims: DataFrame) -> DataFrame:
-    """out and in strength; driver, follower or null."""
+    """out and in strength; driver, follower or null, and the place among those
+    of one role by the strength that makes it."""
     out = causal.groupBy("series_id", F.col("src").alias("dim")).agg(F.sum("score").alias("out_strength"))
     into = causal.groupBy("series_id", F.col("dst").alias("dim")).agg(F.sum("score").alias("in_strength"))
     every = dims.join(out, ["series_id", "dim"], "left").join(into, ["series_id", "dim"], "left").na.fill(0.0)
     role = F.when(F.expr("out_strength > 0 AND out_strength > 1.5 * in_strength"), "driver").when(
         F.expr("in_strength > 0 AND in_strength > 1.5 * out_strength"), "follower"
     )
-    return every.withColumn("role", role)
+    strength = F.when(F.col("role") == "driver", F.col("out_strength")).otherwise(F.col("in_strength"))
+    placed = ranked(every.withColumn("role", role).withColumn("_s", strength), "_s", "dim", keys=("series_id", "role")).drop("_s")
+    return placed.withColumn("place", F.when(F.col("role").isNotNull(), F.col("place")))
 
 
 def pattern(links: DataFrame, series: DataFrame) -> DataFrame:
@@ -172,7 +177,8 @@ def pattern(links: DataFrame, series: DataFrame) -> DataFrame:
 
 def initiators(panel: DataFrame, event_frame: int, lookback: int = 24) -> DataFrame:
     """Dimensions whose weighted displacement in the frames up to the event
-    exceeds mean + deviation of all; later steps weigh more (0.5 to 2)."""
+    exceeds mean + deviation of all, with their place; later steps weigh more
+    (0.5 to 2)."""
     first = max(0, event_frame - lookback)
     w = Window.partitionBy("series_id", "dim").orderBy("t")
     part = panel.where(F.col("t").between(first, event_frame)).withColumn("d", F.abs(F.col("value") - F.lag("value").over(w))).where("d IS NOT NULL")
@@ -181,7 +187,8 @@ def initiators(panel: DataFrame, event_frame: int, lookback: int = 24) -> DataFr
     sums = part.withColumn("weight", 0.5 + 1.5 * k / F.greatest(m - 1, F.lit(1))).withColumn("m", m).where("m >= 2")
     sums = sums.groupBy("series_id", "dim").agg(F.sum(F.col("d") * F.col("weight")).alias("score"))
     s = Window.partitionBy("series_id")
-    return sums.withColumn("cut", F.avg("score").over(s) + F.stddev_pop("score").over(s)).where("score > cut").select("series_id", "dim", "score")
+    found = sums.withColumn("cut", F.avg("score").over(s) + F.stddev_pop("score").over(s)).where("score > cut")
+    return ranked(found, "score", "dim").select("series_id", "dim", "score", "place")
 
 
 def propagation_order(panel: DataFrame, event_frame: int, lookback: int = 24) -> DataFrame:
@@ -214,7 +221,7 @@ def summary(links: DataFrame, hubs: DataFrame, roles: DataFrame) -> DataFrame:
     tail = F.when(F.col("link_type") == "sync", F.lit("")).otherwise(F.format_string(", lag %d", F.col("lag")))
     text = F.concat(F.col("src").cast("string"), arrow, F.col("dst").cast("string"), F.format_string(": %.3f", F.col("score")), tail)
     first = ranked(links, "score", "src", "dst", keys=("series_id", "link_type")).select("series_id", F.col("link_type").alias("section"), "place", text.alias("line"))
-    hub = ranked(hubs, "connectivity", "dim").select("series_id", F.lit("hub").alias("section"), "place", F.format_string("%d: %.3f", "dim", "connectivity").alias("line"))
+    hub = hubs.select("series_id", F.lit("hub").alias("section"), "place", F.format_string("%d: %.3f", "dim", "connectivity").alias("line"))
     some = roles.where("role IS NOT NULL").withColumn("strength", F.when(F.col("role") == "driver", F.col("out_strength")).otherwise(F.col("in_strength")))
-    role = ranked(some, "strength", "dim", keys=("series_id", "role")).select("series_id", F.col("role").alias("section"), "place", F.format_string("%d: %.3f", "dim", "strength").alias("line"))
+    role = some.select("series_id", F.col("role").alias("section"), "place", F.format_string("%d: %.3f", "dim", "strength").alias("line"))
     return first.unionByName(hub).unionByName(role)

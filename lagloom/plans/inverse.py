@@ -204,13 +204,23 @@ def solvers(panel: DataFrame, c: InverseConfig) -> DataFrame:
     return gate.withColumn("solver", auto if c.solver == "auto" else F.lit(c.solver))
 
 
+def fit_status(panel: DataFrame, config: InverseConfig = InverseConfig()) -> DataFrame:
+    """series_id, n_frames and status: fitted, or too_short for these lags."""
+    enough = F.col("n_frames") - max(config.max_lag, config.ar_lag) >= max(config.min_train_size, 10)
+    return pn.shape(panel).select("series_id", "n_frames", F.when(enough, "fitted").otherwise("too_short").alias("status"))
+
+
 def inverse_edges(panel: DataFrame, config: InverseConfig = InverseConfig()) -> DataFrame:
     """Every ordered pair with its fit, score (after the filters), raw (before
-    them) and, unless switched off, direct_score."""
+    them) and, unless switched off, direct_score. Series with too few frames
+    have no rows (``fit_status`` names them); if all have, that is an error."""
     panel = written(panel, "panel")
-    short = pn.shape(panel).where(F.col("n_frames") - max(config.max_lag, config.ar_lag) < max(config.min_train_size, 10)).first()
-    if short:
-        raise ValueError(f"series {short['series_id']} has too few frames: {short['n_frames']}")
+    status = written(fit_status(panel, config), "status")
+    if not status.where("status = 'fitted'").take(1):
+        short = status.first()
+        if short:
+            raise ValueError(f"series {short['series_id']} has too few frames: {short['n_frames']}")
+    panel = panel.join(status.where("status = 'fitted'"), "series_id", "left_semi")
     gate = solvers(panel, config)
     fits = written(target_fits(panel, config, gate.select("series_id", "solver")), "fits")
     score = {

@@ -153,22 +153,23 @@ def rank_norm(spark, sf_dir):
     f"""WITH {EDGES}{_DIMS}, ends AS (SELECT series_id, src AS dim, score FROM edges UNION ALL SELECT series_id, dst, score FROM edges),
     s AS (SELECT series_id, dim, sum(score) AS c FROM ends GROUP BY ALL),
     w AS (SELECT *, avg(c) OVER (PARTITION BY series_id) + stddev_pop(c) OVER (PARTITION BY series_id) AS cut FROM s)
-    SELECT series_id, dim, round(c, 6) + 0.0 AS connectivity FROM w WHERE c > cut"""
+    SELECT series_id, dim, round(c, 6) + 0.0 AS connectivity, CAST(row_number() OVER (PARTITION BY series_id ORDER BY c DESC, dim) AS INTEGER) AS place FROM w WHERE c > cut"""
 )
 def hubs(spark, sf_dir):
-    return g.hubs(edges(spark, sf_dir), dims(spark, sf_dir)).select("series_id", "dim", r6("connectivity").alias("connectivity"))
+    return g.hubs(edges(spark, sf_dir), dims(spark, sf_dir)).select("series_id", "dim", r6("connectivity").alias("connectivity"), "place")
 
 
 @query(
     f"""WITH {EDGES}{_DIMS}, x AS (
       SELECT d.series_id, d.dim, coalesce((SELECT sum(score) FROM edges e WHERE e.series_id = d.series_id AND e.src = d.dim AND is_edge = 1), 0) AS o,
              coalesce((SELECT sum(score) FROM edges e WHERE e.series_id = d.series_id AND e.dst = d.dim AND is_edge = 1), 0) AS i FROM d
-    ) SELECT series_id, dim, round(o, 6) + 0.0 AS out_strength, round(i, 6) + 0.0 AS in_strength,
-      CASE WHEN o > 0 AND o > 1.5 * i THEN 'driver' WHEN i > 0 AND i > 1.5 * o THEN 'follower' END AS role FROM x"""
+    ), r AS (SELECT *, CASE WHEN o > 0 AND o > 1.5 * i THEN 'driver' WHEN i > 0 AND i > 1.5 * o THEN 'follower' END AS role FROM x)
+    SELECT series_id, dim, round(o, 6) + 0.0 AS out_strength, round(i, 6) + 0.0 AS in_strength, role,
+      CAST(CASE WHEN role IS NOT NULL THEN row_number() OVER (PARTITION BY series_id, role ORDER BY CASE WHEN role = 'driver' THEN o ELSE i END DESC, dim) ELSE 0 END AS INTEGER) AS place FROM r"""
 )
 def roles(spark, sf_dir):
     rows = g.roles(edges(spark, sf_dir).where("is_edge = 1"), dims(spark, sf_dir))
-    return rows.select("series_id", "dim", r6("out_strength").alias("out_strength"), r6("in_strength").alias("in_strength"), "role")
+    return rows.select("series_id", "dim", r6("out_strength").alias("out_strength"), r6("in_strength").alias("in_strength"), "role", F.coalesce("place", F.lit(0)).alias("place"))
 
 
 @query(
@@ -326,10 +327,10 @@ def direct_scores(spark, sf_dir):
     f"""WITH {EVENTS}, s AS (SELECT dim, t, abs(value - lag(value) OVER (PARTITION BY dim ORDER BY t)) AS d FROM panel WHERE t BETWEEN 376 AND 400),
     k AS (SELECT dim, d, row_number() OVER (PARTITION BY dim ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY dim) AS m FROM s WHERE d IS NOT NULL),
     x AS (SELECT dim, sum(d * (0.5 + 1.5 * k / (m - 1))) AS score FROM k GROUP BY dim)
-    SELECT dim, round(score, 5) + 0.0 AS score FROM (SELECT *, avg(score) OVER () + stddev_pop(score) OVER () AS cut FROM x) WHERE score > cut"""
+    SELECT dim, round(score, 5) + 0.0 AS score, CAST(row_number() OVER (ORDER BY score DESC, dim) AS INTEGER) AS place FROM (SELECT *, avg(score) OVER () + stddev_pop(score) OVER () AS cut FROM x) WHERE score > cut"""
 )
 def initiators(spark, sf_dir):
-    return g.initiators(events_hourly(spark, sf_dir), 400).select("dim", (F.round("score", 5) + 0.0).alias("score"))
+    return g.initiators(events_hourly(spark, sf_dir), 400).select("dim", (F.round("score", 5) + 0.0).alias("score"), "place")
 
 
 @query(
@@ -369,6 +370,24 @@ def label_smoothing(spark, sf_dir):
     return rg.smoothed(labels(spark, sf_dir)).select("t", "smooth")
 
 
+@query(
+    f"""WITH RECURSIVE {_LABELS}, v AS (SELECT a.t, b.label, count(*) AS n FROM labels a JOIN labels b ON b.t BETWEEN a.t - 2 AND a.t + 2 GROUP BY ALL),
+    smooth AS (SELECT t, label FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, label) AS k FROM v) WHERE k = 1),
+    found AS (SELECT list(t ORDER BY t) AS f FROM (SELECT t, label IS DISTINCT FROM lag(label) OVER (ORDER BY t) AS new FROM labels) WHERE new),
+    truth AS (SELECT list(t ORDER BY t) AS b FROM (SELECT t, label IS DISTINCT FROM lag(label) OVER (ORDER BY t) AS new FROM smooth) WHERE new),
+    taken(i, left_) AS (
+      SELECT 0, f FROM found
+      UNION ALL
+      SELECT i + 1, list_filter(left_, lambda y: y IS DISTINCT FROM list_filter(left_, lambda x: abs(b[i + 1] - x) <= 2)[1]) FROM taken, truth WHERE i < len(b)
+    ) SELECT round(2 * (len(f) - len(left_)) / (len(f) + len(b)), 6) + 0.0 AS boundary_f1 FROM taken, found, truth WHERE i = len(b)"""
+)
+def boundary_f1(spark, sf_dir):
+    """How well boundaries of the hourly labels meet those of the smoothed ones."""
+    smooth = rg.smoothed(labels(spark, sf_dir))
+    found, truth = (rg.segments(smooth, c).select("series_id", F.col("start").alias("t")) for c in ("label", "smooth"))
+    return ev.boundary_f1(found, truth, 2).select(r6("boundary_f1").alias("boundary_f1"))
+
+
 @query(
     f"""WITH {_LABELS}, s AS (SELECT label AS a, lead(label) OVER (ORDER BY t) AS b FROM labels), n AS (SELECT a, b, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY ALL)
     SELECT a, b, round(n / (sum(n) OVER (PARTITION BY a) + 1e-12), 6) + 0.0 AS share FROM n"""

@@ -127,3 +127,40 @@ def test_ridge_and_lasso_find_the_support():
     w = lasso_cv(folds)
     assert abs(w[2] - 1.5) < 0.05 and abs(w[5] + 1) < 0.05 and np.abs(np.delete(w, [2, 5])).max() < 0.05
     assert np.allclose(ridge(x.T @ x, x.T @ y, 1e-6, 0.0, []), np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-4)
+
+
+def _lasso(x, y, alpha, w):
+    """Weights for |y - Xw|^2 / 2n + alpha |w|_1 of centred rows, one at a time."""
+    x, y, w, n = x - x.mean(0), y - y.mean(), w.copy(), len(y)
+    d = (x * x).sum(0)
+    for _ in range(3000):
+        before = w.copy()
+        for j in range(len(w)):
+            rest = x[:, j] @ (y - x @ w) + d[j] * w[j]
+            w[j] = np.sign(rest) * max(abs(rest) - alpha * n, 0) / d[j]
+        if np.abs(w - before).max() < 1e-10:
+            break
+    return w
+
+
+def test_lasso_equals_the_path_over_the_rows():
+    """The penalty and the weights from the rows themselves, fold by fold."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 6)) @ (np.eye(6) + 0.3 * rng.normal(size=(6, 6))) + 1.0
+    y = 0.8 * x[:, 1] - 0.4 * x[:, 4] + 0.8 * rng.normal(size=120) + 2.0
+    parts = np.array_split(np.arange(120), 5)
+    folds = [{"n": float(len(p)), "x": x[p].sum(0), "xx": x[p].T @ x[p], "xy": x[p].T @ y[p], "y": y[p].sum(), "yy": y[p] @ y[p]} for p in parts]
+    top = np.abs((x - x.mean(0)).T @ (y - y.mean())).max() / 120
+    alphas, errors = np.geomspace(top, top * 1e-3, 30), np.zeros(30)
+    for out in parts:
+        rest, w = np.setdiff1d(np.arange(120), out), np.zeros(6)
+        for k, alpha in enumerate(alphas):
+            w = _lasso(x[rest], y[rest], alpha, w)
+            b = y[rest].mean() - x[rest].mean(0) @ w
+            errors[k] += ((y[out] - b - x[out] @ w) ** 2).mean()
+    w = np.zeros(6)
+    for alpha in alphas[: int(errors.argmin()) + 1]:
+        w = _lasso(x, y, alpha, w)
+    assert 0 < errors.argmin() < 29
+    assert np.allclose(lasso_cv(folds, tol=1e-9, grid=30), w, atol=1e-6)
+    assert np.allclose(lasso_cv(folds, grid=30), w, atol=5e-3)

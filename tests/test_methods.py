@@ -113,9 +113,14 @@ def test_inverse_ridge_equals_direct_fit(driven):
     assert fits[0, 1]["lag"] == 2 and fits[0, 1]["sign"] == 1 and fits[0, 2]["lag"] == 1 and fits[0, 2]["sign"] == -1
 
 
-def test_inverse_refuses_short_series(spark):
+def test_inverse_of_short_series(spark):
     with pytest.raises(ValueError, match="too few frames"):
         inverse.inverse_edges(_panel(spark, a=_driven(30)))
+    both = _panel(spark, a=_driven(120), b=_driven(30))
+    status = {r["series_id"]: (r["n_frames"], r["status"]) for r in inverse.fit_status(both).collect()}
+    assert status == {"a": (120, "fitted"), "b": (30, "too_short")}
+    rows = inverse.inverse_edges(both, inverse.InverseConfig(solver="ridge", max_lag=2, backward_check=False)).collect()
+    assert {r["series_id"] for r in rows} == {"a"} and len(rows) == 12
 
 
 def test_jump_edges_equal_direct_computation(driven):
