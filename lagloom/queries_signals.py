@@ -48,8 +48,8 @@ def panel_streamed(spark, sf_dir):
     files = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/[e]vents.parquet")
     folder = fresh_folder(spark, "streamed")
     buckets = live.bucketed(files, "ts", "event_type", "value", "HOUR", "60 days")
-    live.writer(buckets, folder, f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
-    return live.read(spark, folder, "2024-01-01 00:00:00", "HOUR", FRAMES).select("t", "dim", "name", r6("value").alias("value"))
+    live.writer(buckets, f"{folder}/buckets", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return live.read(spark, f"{folder}/buckets", "2024-01-01 00:00:00", "HOUR", FRAMES).select("t", "dim", "name", r6("value").alias("value"))
 
 
 @query(f"WITH {ORDERS} SELECT t, dim, name, round(value, 2) + 0.0 AS value FROM panel")
