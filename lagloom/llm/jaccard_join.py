@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from itertools import groupby
+from itertools import chain, groupby
 from math import log2
 
 import numpy as np
@@ -42,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, partitions, slices, stored, unused
-from .components import components
+from .common import BATCH, Scratch, documents, partitions, slices, stored, unused
+from .components import components, stars
 from .shingles import shingle_sets
 
 #: Shingles in at least this share of a batch's documents are ordered last;
@@ -153,18 +153,27 @@ class Cell:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Per document its set's size and digest; per batch its common shingles."""
+    """Per document its set's size and digest; per BATCH documents their common shingles."""
+
+    def counted(sets):
+        every, n = np.unique(np.concatenate([np.empty(0, "u8"), *sets]), return_counts=True)
+        common = n >= max(COMMON_LEAST, COMMON_SHARE * len(sets))
+        return every[common], n[common]
 
     def rows(batches):
-        for b in slices(batches):
-            sizes, one, two, sets = [], [], [], []
+        sets, last = [], pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], ["doc_id", "text"])
+        for b in chain(slices(batches), [None]):
+            if b is not None and len(sets) + b.num_rows > BATCH or b is None:
+                every, n = counted(sets)
+                sets = []
+            else:
+                every, n = counted([])
+            b = last if b is None else b
+            sizes, one, two = [], [], []
             for s in shingle_sets(b.column("text").to_pylist()):
                 d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "i8")
                 sizes.append(len(s)), one.append(d[0]), two.append(d[1])
                 sets.append(s)
-            every, n = np.unique(np.concatenate([np.empty(0, "u8"), *sets]), return_counts=True)
-            common = n >= max(COMMON_LEAST, COMMON_SHARE * len(sets))
-            every, n = every[common], n[common]
             k, c = len(sizes), len(every)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -224,8 +233,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         "slot div 32 AS word", "shiftleft(1L, cast(slot % 32 AS int)) AS bit"
     )
     bits = np.zeros(SLOTS // 32, "u4")
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        bits[r["word"]] = r["bits"]
+    # At most SLOTS / 32 rows, by one job (an iterator would run one for each partition).
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype("u4")
     marked = docs.select("doc_id", "text", F.expr(f"pmod(xxhash64(doc_id), {SLOTS})").alias("slot"))
 
     def rows(batches):
@@ -240,7 +250,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _searched(routes: DataFrame, docs: DataFrame, within: bool, stored) -> DataFrame:
-    """Links (a, b) that joined two components in a cell.
+    """Pairs (a, b) of components that links of a cell join, as stars: of what a
+    cell ties together, each with the least.
 
     routes: name (a document), n, component, block, asks (0: a set of the block,
     1: a query of it). A block with many queries is held by several cells.
@@ -254,31 +265,33 @@ def _searched(routes: DataFrame, docs: DataFrame, within: bool, stored) -> DataF
     needed = dealt.join(_sets_of(docs, dealt.select("doc_id").distinct()).hint("merge"), "doc_id")
 
     def search(batches):
-        where, cell, held = None, None, ([], [], [])
+        where, cell, held, own, tied = None, None, ([], [], []), {}, []
 
         def opened():
             made = Cell(*held)
-            return made, (list(made.own_links()) if within else [])
+            own.update(zip(held[0], held[1], strict=True))
+            if within:
+                tied.extend((own[a], own[b]) for a, b in made.own_links())
+            return made
+
+        def closed():
+            if within and where and not cell:
+                opened()
+            return _pairs(stars(tied))
 
         for b in slices(batches):
-            out = []
             for block, k, asks, name, group, raw in zip(*(b.column(c).to_pylist() for c in ("block", "cell", "asks", "doc_id", "component", "shingles")), strict=True):
                 if (block, k) != where:
-                    if within and where and not cell:
-                        out += opened()[1]
-                    where, cell, held = (block, k), None, ([], [], [])
+                    yield closed()
+                    where, cell, held, own, tied = (block, k), None, ([], [], []), {}, []
                 s = np.frombuffer(raw, "u8")
                 if not asks:
                     for column, v in zip(held, (name, group, s), strict=True):
                         column.append(v)
                     continue
-                if not cell:
-                    cell, own = opened()
-                    out += own
-                out += cell.links(name, group, s)
-            yield _pairs(out)
-        if within and where and not cell:
-            yield _pairs(opened()[1])
+                cell = cell or opened()
+                tied += ((group, own[other]) for _, other in cell.links(name, group, s))
+        yield closed()
 
     return stored(
         needed.select("block", "cell", "asks", "doc_id", "component", "shingles")
@@ -387,12 +400,14 @@ def _components_of(docs: DataFrame, stored) -> DataFrame:
     second = second.join(routes.select("block").distinct().hint("merge"), "block", "left_semi")
     second = routes.unionByName(second.select(F.col("class").alias("name"), "n", "component", "block", F.lit(0).alias("asks")))
     more = _searched(second, docs, False, stored)
-    whole = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    # They join components, so only those are put together anew.
+    moved = components(more).select(F.col("node").alias("component"), F.col("component").alias("moved"))
 
     by_id = classed.groupBy("doc_id").agg(F.min("class").alias("class"))
-    named = by_id.join(whole.withColumnRenamed("node", "class").hint("merge"), "class", "left").select(
+    named = by_id.join(known.withColumnRenamed("node", "class").hint("merge"), "class", "left").select(
         "doc_id", F.coalesce("component", "class").alias("component")
     )
+    named = named.join(moved.hint("merge"), "component", "left").select("doc_id", F.coalesce("moved", "component").alias("component"))
     return (
         scanned.where("kind = 0")
         .select("doc_id", F.col("n").alias("n_shingles"))

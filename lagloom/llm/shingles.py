@@ -8,7 +8,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text that are hashed together; a longer text is hashed alone.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
