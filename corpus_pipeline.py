@@ -13,8 +13,9 @@ from lagloom.llm.toxicity import reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go."""
-    return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents scored as toxic go. Written here, so that texts pass between the
+    JVM and Python in batches of few rows, however the caller writes the result."""
+    return stored(reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "not-toxic")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-#: Rows of an Arrow batch.
-BATCH = 2048
+#: Rows that are worked on together, and rows of an Arrow batch.
+BATCH, ARROW = 2048, 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +46,7 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     a batch is held by the executor's JVM and by its Python worker at once."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    spark.conf.set(key, str(min(int(before), ARROW) if int(before) > 0 else ARROW))
     try:
         df.write.parquet(path)
     finally:

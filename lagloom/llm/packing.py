@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, stored
-from .tokens import TOKENIZER, encoder
+from .tokens import TOKENIZER, encoder, forgetting
 
 CAPACITY = 2048
 #: Search steps in all and for the fillings around one length (with STEPS the
@@ -275,7 +275,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, token
             )
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_in.mapInArrow(rows, ", ".join(f"{n} {t}" for n, t in _PIECE))
+    return rows_in.mapInArrow(forgetting(rows, tokenizer), ", ".join(f"{n} {t}" for n, t in _PIECE))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -45,6 +46,9 @@ def byte_chars() -> dict[int, str]:
     hidden = (b for b in range(256) if b not in table)
     return table | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
+#: Arrays of C's unsigned int are what the ids are written as.
+NATIVE = array("I").itemsize == 4 and array("I", [1]).tobytes() == b"\1\0\0\0"
+
 
 class Remembered(dict):
     """piece -> make(piece), emptied when it holds too many; long pieces are
@@ -91,7 +95,11 @@ class LibraryEncoder:
             shown = piece.translate(self.ascii)
         else:
             shown = piece.encode().decode("latin-1").translate(self.chars)
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        ids = array("I", [t.id for t in self.model.tokenize(shown)])
+        return (ids if NATIVE else np.array(ids, dtype="<u4")).tobytes()
+
+    def forget(self) -> None:
+        self.pieces.clear()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -110,3 +118,16 @@ def encoder(name: str = TOKENIZER) -> LibraryEncoder:
     if name not in _ENCODERS:
         _ENCODERS[name] = LibraryEncoder(name)
     return _ENCODERS[name]
+
+
+def forgetting(rows, name: str = TOKENIZER):
+    """rows(batches) for mapInArrow; what the encoder remembered goes when the
+    task ends, as its worker is kept for other work."""
+
+    def task(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            encoder(name).forget()
+
+    return task

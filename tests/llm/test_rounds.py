@@ -1,9 +1,10 @@
 """Few jobs for links that are put together; little kept by a worker."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lagloom.llm import common, jaccard_join
+from lagloom.llm import common, jaccard_join, packing, tokens
 from lagloom.llm.components import components, stars
 
 
@@ -40,3 +41,24 @@ def test_wanted_sets_are_marked_by_one_job(spark):
     assert len(jobs) <= 3
     got = {r["doc_id"]: len(np.frombuffer(r["shingles"], "u8")) for r in sets.where(F.col("doc_id") % 4 == 0).collect()}
     assert got == {k: 2 for k in range(0, 200, 4)}
+
+
+def test_written_batches_are_small(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    got = [r["n"] for r in common.stored(spark.range(0, 4000, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(got) == 4000 and max(got) <= 512
+
+
+def test_workers_forget_pieces_after_packing(spark):
+    def held(batches):
+        for _ in batches:
+            n = sum(len(e.pieces) for e in tokens._ENCODERS.values())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([len(tokens._ENCODERS)], pa.int64())], ["n", "made"])
+
+    docs = spark.createDataFrame([(k, f"some words {k} of text") for k in range(400)], "doc_id long, text string")
+    assert packing.cut_pieces(docs).count() == 400
+    got = spark.range(0, 8, 1, 8).mapInArrow(held, "n long, made long").collect()
+    assert sum(r["made"] for r in got) > 0 and sum(r["n"] for r in got) == 0
