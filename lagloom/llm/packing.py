@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,16 +171,39 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, steps: int =
 
 
 def _within(counts: dict[int, int], capacity: int, target: int, budget: list[int]) -> Plan | None:
-    """A plan of at most ``target`` sequences, if the search finds one."""
+    """A plan of at most ``target`` sequences, if the search finds one.
+
+    Counts grow with the corpus, what is held doesn't: how often a filling is
+    applied is counted down, not listed, and the lengths left are one table,
+    put back on the way up.
+    """
     total = sum(x * n for x, n in counts.items())
     slack = target * capacity - total
     tight = bool(counts) and len(counts) <= COMPARED and slack < min(counts)
     around: dict[int, list] = {}  # if tight, the fillings around each length
+    now, bins, spare = dict(counts), 0, slack  # lengths left, sequences made, what may still be wasted
     path: Plan = []
-    stack: list[list] = []
-
-    def frame(now: dict[int, int], bins: int, waste: int):
-        spare = target * capacity - total - waste  # may still be wasted
+    stack: list[Iterator] = []
+
+    def apply(sequence: tuple[int, ...], times: int):
+        nonlocal bins, spare
+        bins, spare = bins + times, spare - times * (capacity - sum(sequence))
+        for x in sequence:
+            now[x] = now.get(x, 0) - times
+            if not now[x]:
+                del now[x]
+
+    def tries(top: int, found: list[tuple[int, ...]]):
+        """Each filling as often as can be, then each less often."""
+        for less in (False, True):
+            for f in found:
+                sequence = (top, *f)
+                lost = capacity - sum(sequence)
+                times = min([now[x] // sequence.count(x) for x in set(sequence)] + ([spare // lost] if lost else []))
+                for n in range(times - 1, 0, -1) if less else [max(times, 1)]:
+                    yield sequence, n
+
+    def frame():
         if tight:
             fewest = None
             for x in sorted(now, reverse=True):
@@ -194,36 +218,26 @@ def _within(counts: dict[int, int], capacity: int, target: int, budget: list[int
                     fewest = (x, can)
                 if len(can) < 2:
                     break
-            top, found = fewest
-        else:
-            top = max(now)
-            found = fillings(now | {top: now[top] - 1}, capacity - top, spare, budget)
-        most = []
-        for f in found:
-            need = {x: (top, *f).count(x) for x in (top, *f)}
-            lost = capacity - top - sum(f)
-            times = min([now[x] // k for x, k in need.items()] + ([spare // lost] if lost else []))
-            most.append((f, need, lost, max(times, 1)))
-        tries = [(*m[:3], m[3]) for m in most] + [(*m[:3], n) for m in most for n in range(m[3] - 1, 0, -1)]
-        return [now, top, tries, 0, bins, waste]
-
-    stack.append(frame(counts, 0, 0))
+            return tries(*fewest)
+        top = max(now)
+        return tries(top, fillings(now | {top: now[top] - 1}, capacity - top, spare, budget))
+
+    stack.append(frame())
     while stack and budget[0] > 0:
-        now, top, tries, at, bins, waste = stack[-1]
-        del path[len(stack) - 1 :]
-        if at == len(tries):
+        if len(path) == len(stack):  # back from below
+            sequence, times = path.pop()
+            apply(sequence, -times)
+        if (step := next(stack[-1], None)) is None:
             stack.pop()
             continue
-        stack[-1][3] += 1
         budget[0] -= 10
-        filling, need, lost, times = tries[at]
-        left = {x: n for x, n in ((x, n - times * need.get(x, 0)) for x, n in now.items()) if n}
-        if bins + times + lower_bound(left, capacity) > target:
+        apply(*step)
+        path.append(step)
+        if bins + lower_bound(now, capacity) > target:
             continue
-        path.append(((top, *filling), times))
-        if not left:
-            return list(path)
-        stack.append(frame(left, bins + times, waste + times * lost))
+        if not now:
+            return path
+        stack.append(frame())
     return None
 
 

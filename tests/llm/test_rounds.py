@@ -1,4 +1,8 @@
-"""Few jobs for links that are put together; little kept by a worker."""
+"""Few jobs for links that are put together; little kept by a worker or the driver."""
+
+import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -62,3 +66,23 @@ def test_workers_forget_pieces_after_packing(spark):
     assert packing.cut_pieces(docs).count() == 400
     got = spark.range(0, 8, 1, 8).mapInArrow(held, "n long, made long").collect()
     assert sum(r["made"] for r in got) > 0 and sum(r["n"] for r in got) == 0
+
+
+def test_plan_of_many_pieces_takes_no_more_memory():
+    rng = random.Random(1)
+    drawn = Counter(rng.randint(300, 1400) for _ in range(150))
+    counts = {x: 50_000 * n for x, n in drawn.items()}
+    tracemalloc.start()
+    try:
+        plan = packing.complete_bins(counts, steps=20_000)  # best-fit misses the bound: the search runs
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    used = Counter()
+    for lengths, n in plan:
+        assert sum(lengths) <= packing.CAPACITY
+        for x in lengths:
+            used[x] += n
+    fewest = sum(n for _, n in packing.best_fit(counts, packing.CAPACITY))
+    assert packing.lower_bound(counts, packing.CAPACITY) < fewest and sum(n for _, n in plan) <= fewest
+    assert used == counts and peak < 4e6
